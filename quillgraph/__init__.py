@@ -1,3 +1,10 @@
 """Spark-native analytics over labelled property graphs and the text attached to them."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
