@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import copies, handwritten, neardup
+from quillgraph.llm import copies, handwritten, mixing, neardup, packing, tokens
 from quillgraph.session import table
 
 
@@ -49,7 +49,47 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(*_p3(spark, folder)).select(F.col("a").alias("meta_a"), F.col("b").alias("meta_b"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_collapsed": p1_collapsed, "p2_found": p2_found, "p2_reasons": p2_reasons, "p3_found": p3_found}
+def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    items = tokens.with_tokens(table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
+    budgets = table(spark, folder, "token_budgets")
+    return packing.pack(items, budgets), budgets
+
+
+def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)[0]
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill_report(*_packed(spark, folder))
+
+
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    docs = tokens.with_tokens(table(spark, folder, "documents").select("doc_id", "text", "source"), "text")
+    weights = table(spark, folder, "source_weights")
+    listed = mixing.canonical_source(F.col("source"))
+    docs = docs.where(listed.isin(*(r[0] for r in weights.select(listed).collect())))
+    return mixing.mix(mixing.one_of_each_text(docs, "text"), weights)
+
+
+def p7_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[0]
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_collapsed": p1_collapsed,
+    "p2_found": p2_found,
+    "p2_reasons": p2_reasons,
+    "p3_found": p3_found,
+    "p6_packed": p6_packed,
+    "p6_fill": p6_fill,
+    "p7_mixed": p7_mixed,
+    "p7_shares": p7_shares,
+}
 
 _FIELD = r"([\p{L}\p{N}_-]+)\s*=\s*([\p{L}\p{N}_-]+)"
 _BARE = r"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
