@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm import copies, handwritten, mixing, neardup, packing, tokens
+from quillgraph.llm import subjects as subject_areas
 from quillgraph.session import table
 
 
@@ -79,6 +80,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixed(spark, folder)[1]
 
 
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    return subject_areas.subjects(*(table(spark, folder, n) for n in ("documents", "subject_areas", "doc_labels")))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _subjects(spark, folder).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by subject, and the documents' worth of statements that deal with it."""
+    return _subjects(spark, folder).groupBy("subject").agg(F.count(F.lit(1)).alias("documents"), F.sum("share").alias("weight"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -89,6 +103,8 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
 }
 
 _FIELD = r"([\p{L}\p{N}_-]+)\s*=\s*([\p{L}\p{N}_-]+)"
