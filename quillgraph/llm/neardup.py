@@ -26,9 +26,8 @@ def word_count(x: Column) -> Column:
     return F.when(x == "", 0).otherwise(F.size(F.split(x, " ")))
 
 
-def shingles(x: Column, k: int) -> Column:
-    """Distinct 64-bit hashes of the sequences of ``k`` words in a text made by :func:`words`."""
-    w = F.split(x, " ")
+def shingles(w: Column, k: int) -> Column:
+    """Distinct 64-bit hashes of the sequences of ``k`` words. ``w`` must be a column of a projection of its own: a lambda evaluates an expression for each element."""
     gram = lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k)))
     return F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - k), gram))).otherwise(F.array().cast("array<bigint>"))
 
@@ -164,7 +163,8 @@ def text_classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     members = groups.where("size = 1").select(F.col("class_id").alias("id"), "class_id").unionByName(
         rows.select("id", "k1", "k2", "k3").join(several, ["k1", "k2", "k3"]).select("id", "class_id")
     )
-    return members, groups.select(F.col("class_id").alias("id"), shingles(F.col("words"), k).alias("s"))
+    sets = groups.select(F.col("class_id").alias("id"), F.split("words", " ").alias("w")).select("id", shingles(F.col("w"), k).alias("s"))
+    return members, sets
 
 
 def near_duplicates(rows: DataFrame, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
