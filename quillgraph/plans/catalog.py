@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import integrity
+from quillgraph.plans import integrity, structure
 
-MODULES = (integrity,)
+MODULES = (integrity, structure)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
