@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import integrity, structure
+from quillgraph.plans import integrity, structure, walking
 
-MODULES = (integrity, structure)
+MODULES = (integrity, structure, walking)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
