@@ -35,6 +35,7 @@ CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 ADDRESS = re.compile(r"`[^`\n]*`|\S*[\w)]/\S+|\b\w+_\w+\b|\b[a-zà-ÿ]+[A-ZÀ-Þ]\w*\b")
 LEAD = re.compile(r"^\s*(?:\"\"\"|'''|/\*+|//+|--+|#+(?=\s)|>+|[-*+](?=\s)|\d+[.)](?=\s))*\s*")
 VERSION = re.compile(r"^v?\d+(?:\.\d+)+:?\s+")
+INITIAL = re.compile(r"\s[^\W\d_]\.$")
 END = re.compile(r"(?<=[.!])[\"'`)]*\s+(?=[\"'`(¿¡]*[^\W\d_a-zà-ÿ]|`|\d)")
 
 
@@ -50,7 +51,7 @@ def statements(text: str | None, title: str | None = None) -> list[tuple[int, st
     """(section, statement) of a text: sentences without comment and list marks, a question with its answer as one.
 
     Blank lines and headings begin sections. Headings, the title and lines without the end of a sentence are no
-    statements. An upper-case text ends its sentences only at full stops before at least two letters' words.
+    statements. A full stop after a single letter does not end a sentence.
     """
     out: list[tuple[int, str]] = []
     section, named = 0, (title or "").strip().lower()
@@ -65,7 +66,7 @@ def statements(text: str | None, title: str | None = None) -> list[tuple[int, st
             continue
         for part in END.split(body):
             if part and part[-1] in ".!?:)`" and WORD.search(part):
-                if out and len(WORD.findall(out[-1][1])[-1:]) and len(WORD.findall(out[-1][1])[-1]) <= 1 and out[-1][0] == section:
+                if out and out[-1][0] == section and INITIAL.search(out[-1][1]):
                     out[-1] = (section, out[-1][1] + " " + part)
                 else:
                     out.append((section, part))
@@ -232,7 +233,7 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int =
         some = max(mass[:, 1:].sum(), 1e-9)
         prior = np.maximum(mass.sum(0), 1e-6)
         prior /= prior.sum()
-        agree = np.clip((mass[:, None, 1:] * hit).sum((0, 2)) / some, 1e-3, 0.999)
+        agree = np.clip((mass[:, None, 1:] * hit).sum((0, 2)) / some, 1e-3, 0.99)
         silent = np.clip((mass[:, 1:].sum(1)[:, None] * none).sum(0) / some, 1e-3, 0.999 - agree)
         # The lexicon defines what a statement without a subject is, so its rate of false votes stays low.
         false = np.clip((mass[:, :1] * ~none).sum(0) / max(mass[:, 0].sum(), 1e-9), 1e-3, 0.99)
