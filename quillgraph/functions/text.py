@@ -81,7 +81,8 @@ def plain_html(x: Column) -> Column:
 
 
 def escaped_cypher(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\", r"\\\\\\\\"), "'", r"\\\\'"), r"[\r\n]+", " ")
+    plain = F.regexp_replace(x, r"[\r\n]+", " ")
+    return F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
 
 
 def escaped_xml(x: Column) -> Column:

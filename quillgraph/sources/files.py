@@ -28,7 +28,7 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 def scan_text(spark: SparkSession, root: str) -> DataFrame:
     """(path, text): the files below ``root`` as text."""
     rows = scan(spark, root)
-    return rows.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return rows.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def file_class(path: Column, head: Column | None = None) -> Column:

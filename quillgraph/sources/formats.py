@@ -60,7 +60,7 @@ def parse_notes(notes: DataFrame) -> DataFrame:
     """(path, type, date, question, outcome, correction, nodes) of notes (path, text) with frontmatter."""
     front = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---", 1)
     value = lambda k: F.regexp_replace(F.nullif(F.trim(F.regexp_extract(F.col("front"), rf"(?m)^{k}:\s*(.*)$", 1)), F.lit("")), r"^[\"']|[\"']$", "")
-    nodes = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(value("source_nodes"), F.lit("")), r"[\[\]\"']", ""), ","), F.trim), lambda n: n != "")
+    nodes = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(value("source_nodes"), F.lit("")), r"[\[\]\"']", ""), ","), lambda n: F.trim(n)), lambda n: n != "")
     return notes.withColumn("front", front).select(
         "path", value("type").alias("type"), value("date").try_cast("timestamp").alias("date"), value("question").alias("question"), value("outcome").alias("outcome"),
         value("correction").alias("correction"), nodes.alias("nodes"),

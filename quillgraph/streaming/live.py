@@ -25,7 +25,8 @@ def batches(events: DataFrame, pause: str = "3 seconds", late: str = "10 seconds
 
     On a stream the watermark closes sessions; on a table the same plan gives all of them.
     """
-    keys = [F.session_window("ts", pause).alias("w"), *([F.col(by)] if by else [])]
+    # A stream sessions by key only: without one, a column that is always 0 takes its place.
+    keys = [F.session_window("ts", pause).alias("w"), F.col(by) if by else (F.length("path") * 0).alias("one")]
     rows = events.withWatermark("ts", late) if events.isStreaming else events
     sums = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count_if(F.col("kind") == "deleted").alias("deletions"))
     return sums.select(*([by] if by else []), F.col("w.start").alias("from"), F.col("w.end").alias("to"), "paths", "deletions")
