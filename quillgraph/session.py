@@ -29,20 +29,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where none is set (tests) is a local one made and set."""
+    """The folder all executors share, as the session names it. Only a local session without one (tests) gets a folder of its own."""
     found = spark.conf.get(CHECKPOINT_KEY, None)
-    if not found:
-        context = spark.sparkContext._jsc.sc()
-        current = context.getCheckpointDir()
-        if current.isDefined():
-            found = current.get()
-        else:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
-            found = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
-        spark.conf.set(CHECKPOINT_KEY, found)
-    return found
+    if found:
+        return found
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="quillgraph-")
+    return _own[context.applicationId]
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
