@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bloom import FAN_IN
+from quillgraph.operators.walks import components
 from quillgraph.session import cut
 
 CHUNK = 1 << 18
@@ -161,7 +162,7 @@ def text_classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     groups = cut(rows.groupBy("k1", "k2", "k3").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("words").alias("words")), "classes")
     several = groups.where("size > 1").select("k1", "k2", "k3", "class_id")
     members = groups.where("size = 1").select(F.col("class_id").alias("id"), "class_id").unionByName(
-        rows.select("id", "k1", "k2", "k3").join(several, ["k1", "k2", "k3"]).select("id", "class_id")
+        rows.select("id", "k1", "k2", "k3").join(several, ["k1", "k2", "k3"]).select("id", "class_id").distinct()
     )
     sets = groups.select(F.col("class_id").alias("id"), F.split("words", " ").alias("w")).select("id", shingles(F.col("w"), k).alias("s"))
     return members, sets
@@ -171,7 +172,7 @@ def near_duplicates(rows: DataFrame, k: int = 5, threshold: float = 0.8) -> tupl
     """(members, pairs) of ``rows`` (id, words): members (id, class_id) and the similar pairs (a, b, similarity) of class ids.
 
     Rows of the same word sequence form one class and are compared once. Rows with fewer than ``k`` words are only
-    members of their class. Null ids or words are left out.
+    members of their class. Null ids or words are left out; repeated rows count once, an id has one text.
     """
     members, sets = text_classes(rows.where("id is not null and words is not null"), k)
     members = cut(members, "members")
@@ -184,3 +185,16 @@ def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     across = pairs.select("a", "b").join(one, "a").join(two, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
     inside = one.join(two.withColumnRenamed("b", "a"), "a").where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
     return across.unionByName(inside)
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, class_id, group_id, copies, links): a row for each document.
+
+    ``copies`` is the size of its class, ``links`` the number of similar classes, ``group_id`` the least class that
+    chains of similar classes lead to.
+    """
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("copies"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    linked = components(ends.select(F.col("class_id").alias("id")), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    rows = members.join(sizes, "class_id").join(ends, "class_id", "left").join(linked.select(F.col("id").alias("class_id"), "component"), "class_id", "left")
+    return rows.select("id", "class_id", F.coalesce("component", "class_id").alias("group_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))

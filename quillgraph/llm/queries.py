@@ -50,6 +50,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.all_pairs(*_p3(spark, folder)).select(F.col("a").alias("meta_a"), F.col("b").alias("meta_b"))
 
 
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(*_p3(spark, folder)).withColumnRenamed("id", "meta_id")
+
+
 def _packed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     items = tokens.with_tokens(table(spark, folder, "documents").select("doc_id", "text"), "text").drop("text")
     budgets = table(spark, folder, "token_budgets")
@@ -99,6 +103,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
     "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
     "p7_mixed": p7_mixed,

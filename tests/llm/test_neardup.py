@@ -71,6 +71,16 @@ def test_salted_tokens_give_the_same(spark):
     assert a == b and a
 
 
+def test_groups_and_repeated_rows(spark):
+    base = [f"w{i}" for i in range(40)]
+    a, b, c = " ".join(base), " ".join([*base[:36], "x", *base[37:]]), " ".join([*base[:30], *(f"z{i}" for i in range(40))])
+    rows = [(1, a), (1, a), (2, a), (3, b), (4, c)]
+    df = spark.createDataFrame(rows, "id bigint, words string")
+    members, pairs = N.near_duplicates(df, 3, 0.6)
+    got = {r.id: (r.class_id, r.group_id, r.copies, r.links) for r in N.groups(members, pairs).collect()}
+    assert got == {1: (1, 1, 2, 1), 2: (1, 1, 2, 1), 3: (3, 1, 1, 1), 4: (4, 4, 1, 0)}
+
+
 def test_words(spark):
     df = spark.createDataFrame([("  Foo_BAR-7\nbaz é ",), ("",), (None,)], "x string")
     assert [r[0] for r in df.select(N.words(F.col("x"))).collect()] == ["foo bar 7 baz", "", None]
