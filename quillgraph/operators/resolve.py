@@ -134,3 +134,44 @@ def secret_references(nodes: DataFrame) -> DataFrame:
     sides = nodes.where("name is not null").groupBy("kind", "name").agg(F.bool_or("defines").alias("defined"), F.bool_or(~F.col("defines")).alias("used"))
     state = F.when(F.col("defined") & F.col("used"), "resolved").when(F.col("defined"), "unused").otherwise("missing")
     return sides.select("kind", "name", state.alias("state"))
+
+
+def indirect_calls(uses: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, dst, relation, score): references to functions (src, dst) that no call joins yet, as indirect calls."""
+    callable_ = nodes.where(F.col("node_kind").isin("function", "method")).select(F.col("id").alias("dst"))
+    called = edges.where(F.col("relation").isin("calls", "indirect_call")).select("src", "dst").distinct()
+    rows = uses.select("src", "dst").distinct().where("src != dst").join(callable_, "dst", "left_semi").join(called, ["src", "dst"], "left_anti")
+    return rows.select("src", "dst", F.lit("indirect_call").alias("relation"), F.lit(0.85).alias("score"))
+
+
+def follow_aliases(aliases: DataFrame, hops: int = 5) -> DataFrame:
+    """(alias, target): where chains of re-exports (alias, target) end, after at most 2 ** ``hops`` steps; rings end nowhere."""
+    from quillgraph.session import cut
+
+    one = cut(aliases.groupBy("alias").agg(F.count_distinct("target").alias("n"), F.min("target").alias("target")).where("n = 1 and alias != target").select("alias", "target"), "alias")
+    at = one
+    for _ in range(hops):
+        step = at.select(F.col("alias").alias("target"), F.col("target").alias("next"))
+        at = cut(at.join(step, "target", "left").select("alias", F.coalesce("next", "target").alias("target")), "alias")
+    return at.join(one.select(F.col("alias").alias("target")), "target", "left_anti").select("alias", "target")
+
+
+def cross_repo_calls(parked: DataFrame, types: DataFrame, members: DataFrame) -> DataFrame:
+    """(src, dst, relation, score): calls on types of another repository, if type and member are unique there.
+
+    ``parked`` (caller, repo, receiver_type, callee), ``types`` (name, type_id, repo), ``members`` (type_id, name, id, relation): a
+    ``defines`` member counts where there is no ``method`` of that name.
+    """
+    rank = F.when(F.col("relation") == "method", 0).otherwise(1)
+    best = members.withColumn("r", rank).withColumn("m", F.min("r").over(Window.partitionBy("type_id", "name"))).where("r = m")
+    one = best.groupBy("type_id", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("dst")).where("n = 1").select("type_id", F.col("name").alias("callee"), "dst")
+    hits = parked.join(types.select(F.col("name").alias("receiver_type"), "type_id", F.col("repo").alias("home")), "receiver_type").where("repo != home")
+    single = hits.groupBy("caller", "receiver_type", "callee").agg(F.count_distinct("type_id").alias("n"), F.min("type_id").alias("type_id")).where("n = 1")
+    return single.join(one, ["type_id", "callee"]).select(F.col("caller").alias("src"), "dst", F.lit("calls").alias("relation"), F.lit(0.8).alias("score")).distinct()
+
+
+def twins(nodes: DataFrame) -> DataFrame:
+    """(twin, kept): document nodes of a quick scan that a closer reading of the same file gave again under another id."""
+    docs = nodes.where((F.col("file_type") == "document") & F.col("source_file").isNotNull()).select("id", "source_file", F.lower("label").alias("l"), F.coalesce("origin", F.lit("")).alias("origin"))
+    kept = docs.where("origin = 'semantic'").groupBy("source_file", "l").agg(F.count_distinct("id").alias("n"), F.min("id").alias("kept")).where("n = 1").select("source_file", "l", "kept")
+    return docs.where("origin != 'semantic'").join(kept, ["source_file", "l"]).where("id != kept").select(F.col("id").alias("twin"), "kept")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillgraph.plans import integrity, keeping, structure, walking
+from quillgraph.plans import briefings, integrity, keeping, structure, walking
 
-MODULES = (integrity, structure, walking, keeping)
+MODULES = (integrity, structure, walking, keeping, briefings)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
