@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
 from quillgraph.functions import vocabulary as V
-from quillgraph.functions.ids import canonical_id
 from quillgraph.operators import analyze as A
 from quillgraph.operators import build as B
+from quillgraph.plans import rules_sql as Q
 from quillgraph.plans.graphs import EDGES, GRAPH, KINDS, NODES, canon, code_edges, code_graph, code_nodes, listed, sql_path
 from quillgraph.session import table
 
@@ -359,3 +359,14 @@ ORACLES = {
     "context_edges": f"""{_WITH} SELECT coalesce(CASE {" ".join(f"WHEN context IN {listed(names.split())} THEN '{c}'" for c, names in reversed(V.CONTEXT_ALIASES.items()))} END, context, '') AS context,
       relation, count(*) AS edges, sum(weight) AS weight FROM e GROUP BY ALL""",
 }
+
+_FILE_CATEGORY = _CATEGORY.replace("f,", "source_file,").replace("(f", "(source_file")
+ORACLES |= {
+    "node_categories": f"WITH {NODES}, {Q.RULED} SELECT id, {Q.CATEGORY} AS category FROM w",
+    "architecture": f"WITH {NODES}, {Q.RULED}, r AS (SELECT {Q.ROLE} AS role, {Q.AREA} AS area FROM w) SELECT {Q.STAGE} AS stage, role, area, count(*) AS nodes FROM r GROUP BY ALL",
+    "stage_flows": f"""WITH {GRAPH}, {Q.RULED}, r AS (SELECT id, {Q.ROLE} AS role FROM w), t AS (SELECT id, {Q.STAGE} AS stage FROM r)
+      SELECT u.stage AS from_stage, v.stage AS to_stage, count(*) AS edges FROM e JOIN t u ON u.id = src JOIN t v ON v.id = dst WHERE u.stage <> v.stage GROUP BY ALL""",
+    "file_properties": f"""WITH {NODES}, {Q.RULED} SELECT DISTINCT source_file, {_FILE_CATEGORY} AS category, split_part(source_file, '/', 1) AS top, {_family("source_file", V.EDGE_FAMILIES)} AS family,
+      {Q.environment("source_file")} AS environment, {Q.SENSITIVE} AS sensitive, {Q.AREA} AS area FROM w WHERE source_file IS NOT NULL""",
+    "test_share": f"""WITH {NODES}, {Q.RULED} SELECT file_type, count(*) FILTER ({Q.TEST}) AS tests, count(*) FILTER ({Q.API}) AS apis, count(*) FILTER ({Q.INFRA}) AS infrastructure, count(*) AS nodes FROM w GROUP BY file_type""",
+}

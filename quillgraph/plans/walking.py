@@ -12,6 +12,7 @@ from quillgraph.operators import communities as C
 from quillgraph.operators import search as S
 from quillgraph.operators import walks as W
 from quillgraph.operators.build import Graph
+from quillgraph.plans import rules_sql as Q
 from quillgraph.plans.graphs import GRAPH, KINDS, NODES, code_graph, code_nodes, listed
 from quillgraph.session import cut, table
 
@@ -328,3 +329,47 @@ ORACLES = {
       r AS (SELECT *, min(distance) OVER (PARTITION BY term) AS least FROM d), x AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY m) AS rk FROM r WHERE distance = least)
       SELECT term, m AS match, CAST(distance AS INTEGER) AS distance FROM x WHERE rk <= 3""",
 }
+
+
+def _levels(depth: int) -> str:
+    """Shortest paths level by level, each node's least path."""
+    steps = ["d AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), v0 AS MATERIALIZED (SELECT id AS seed, id, [id] AS path FROM g)"]
+    for k in range(1, depth + 1):
+        seen = " UNION ALL ".join(f"SELECT seed, id FROM v{j}" for j in range(k))
+        steps.append(f"""v{k} AS MATERIALIZED (SELECT seed, dst AS id, list_append(min(path), dst) AS path FROM v{k - 1} v JOIN d ON d.src = v.id
+          WHERE (seed, dst) NOT IN ({seen}) GROUP BY seed, dst)""")
+    return ", ".join(steps)
+
+
+_LABEL = "lower(strip_accents(label))"
+_WORDS = r"array_to_string(regexp_extract_all(lower(strip_accents({x})), '[\p{{L}}\p{{N}}]+'), ' ')"
+
+
+def _label_scores(terms: list[str]) -> str:
+    q = " ".join(terms)
+    idf = {t: f"(SELECT ln(1 + count(*) / (1 + count(*) FILTER (contains({_LABEL}, '{t}')))) FROM n)" for t in terms}
+    exact, begins = "(lb = '{t}' OR bare = '{t}')", "(starts_with(lb, '{t}') OR starts_with(bare, '{t}'))"
+    tier = " + ".join(f"CASE WHEN {exact.format(t=t)} THEN 1000.0 * i{k} WHEN {begins.format(t=t)} THEN 100.0 * i{k} ELSE 0 END" for k, t in enumerate(terms))
+    inside = " + ".join(f"CASE WHEN {exact.format(t=t)} OR {begins.format(t=t)} THEN 0 WHEN contains(lb, '{t}') THEN i{k} ELSE 0 END + CASE WHEN contains(f, '{t}') THEN 0.5 * i{k} ELSE 0 END" for k, t in enumerate(terms))
+    matched = " + ".join(f"CASE WHEN contains(lb, '{t}') THEN 1 ELSE 0 END" for t in terms)
+    top = "greatest(" + ", ".join(f"i{k}" for k in range(len(terms))) + ")"
+    return f"""x AS (SELECT id, label, {_LABEL} AS lb, regexp_replace({_LABEL}, '[()]+$', '') AS bare, lower(coalesce(source_file, '')) AS f, {_WORDS.format(x="label")} AS w FROM n),
+      y AS (SELECT {", ".join(f"{idf[t]} AS i{k}" for k, t in enumerate(terms))}),
+      ls AS (SELECT id, label, CASE WHEN '{q}' IN (lb, bare, w, lower(id)) THEN 10000.0 * {top} WHEN starts_with(lb, '{q}') OR starts_with(bare, '{q}') OR starts_with(w, '{q}') THEN 1000.0 * {top} ELSE 0 END
+        + {inside} + ({tier}) * power(({matched}) / {float(len(terms))}, 2) AS score, CAST({matched} AS INTEGER) AS matched FROM x, y)"""
+
+
+ORACLES |= {
+    "shortest_paths": f"WITH {GRAPH}, {_gods_sql(1)}, {_levels(8)} " + " UNION ALL ".join(f"SELECT seed, id, CAST({k} AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM v{k}" for k in range(9)),
+    "execution_flows": f"""WITH RECURSIVE {GRAPH}, {Q.RULED}, c AS MATERIALIZED (SELECT id, {Q.CATEGORY} AS category FROM w), {_SIMPLE},
+      p AS (SELECT id AS start, id AS stop, [id] AS path FROM c WHERE category IN {listed(P.ENTRY_CATEGORIES)}
+        UNION ALL SELECT start, fw.dst, list_append(path, fw.dst) FROM p JOIN fw ON fw.src = stop WHERE NOT list_contains(path, fw.dst) AND len(path) <= 3)
+      SELECT start, stop AS sink, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS path FROM p JOIN c ON c.id = stop WHERE category IN {listed(P.SINK_CATEGORIES)} AND len(path) > 1""",
+    "label_scores": f"WITH {NODES}, {_label_scores(['build', 'symbol'])} SELECT id, round(score, 6) AS score, matched FROM ls WHERE score > 0",
+    "search_seeds": f"""WITH {NODES}, {_label_scores(['build', 'symbol'])}, o AS (SELECT id, score, row_number() OVER (PARTITION BY lower(label) ORDER BY score DESC, id DESC) AS r FROM ls WHERE score > 0)
+      SELECT id, round(score, 6) AS score FROM o WHERE r = 1 AND score >= 0.2 * (SELECT max(score) FROM o) ORDER BY o.score DESC, id LIMIT 3""",
+    "node_lookup": f"""WITH {NODES}, x AS (SELECT id, {_LABEL} AS lb, regexp_replace({_LABEL}, '[()]+$', '') AS bare, {_WORDS.format(x="label")} AS w, {_WORDS.format(x="coalesce(source_file, '')")} AS f, lower(id) AS k FROM n),
+      t AS (SELECT id, CASE WHEN f = 'build symbol' THEN 0 WHEN 'build symbol' IN (lb, bare, w, k) OR 'build_symbol' IN (lb, bare, k) THEN 1
+        WHEN {" OR ".join(f"starts_with({c}, '{q}')" for c in ("lb", "bare", "w", "k") for q in ("build symbol", "build_symbol"))} THEN 2 WHEN contains(lb, 'build symbol') OR contains(w, 'build symbol') OR contains(lb, 'build_symbol') THEN 3 END AS tier FROM x)
+      SELECT id, CAST(tier AS INTEGER) AS tier FROM t WHERE tier = (SELECT min(tier) FROM t)""",
+}
