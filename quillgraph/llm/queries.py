@@ -137,6 +137,6 @@ ORACLES = {
     "p3_found": f"""WITH w AS (SELECT meta_id, regexp_extract_all(lower(coalesce(label, '') || chr(10) || content), '[a-z0-9]+') AS w FROM node_metadata
         WHERE len(regexp_extract_all(lower(content), '[a-z0-9]+')) >= {P3_LEAST}),
       s AS MATERIALIZED (SELECT meta_id, unnest(list_distinct(list_transform(range(1, len(w) - {P3_WORDS} + 2), lambda i: array_to_string(w[i:i + {P3_WORDS} - 1], ' ')))) AS g FROM w),
-      n AS (SELECT meta_id, count(*) AS c FROM s GROUP BY meta_id), b AS (SELECT x.meta_id AS a, y.meta_id AS b, count(*) AS both FROM s x JOIN s y ON x.g = y.g AND x.meta_id < y.meta_id GROUP BY ALL)
-      SELECT a AS meta_a, b AS meta_b FROM b JOIN n p ON p.meta_id = a JOIN n q ON q.meta_id = b WHERE both / (p.c + q.c - both) >= {P3_SIMILARITY}""",
+      n AS (SELECT meta_id, count(*) AS c FROM s GROUP BY meta_id), b AS (SELECT x.meta_id AS a, y.meta_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.meta_id < y.meta_id GROUP BY ALL)
+      SELECT a AS meta_a, b AS meta_b FROM b JOIN n p ON p.meta_id = a JOIN n q ON q.meta_id = b WHERE i / (p.c + q.c - i) >= {P3_SIMILARITY}""",
 }
