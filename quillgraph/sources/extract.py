@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quillgraph.operators.build import Graph
+from quillgraph.sources.yaml_lite import documents
 
 Row = tuple[str, str, str, str, str, str, str]
 FRAGMENT = "part string, id string, label string, kind string, target string, location string, source_file string"
@@ -384,6 +385,198 @@ def extract_shell(path: str, text: str) -> Fragment:
     return out
 
 
+def _dict(x: object) -> dict:
+    return x if isinstance(x, dict) else {}
+
+
+def _list(x: object) -> list:
+    return x if isinstance(x, list) else [] if x is None else [x]
+
+
+def extract_compose(path: str, text: str) -> Fragment:
+    """Services of a container composition: images, builds, dependencies, networks, volumes, secrets."""
+    out = Fragment(path)
+    for doc in documents(text):
+        for name, s in _dict(_dict(doc).get("services")).items():
+            s = _dict(s)
+            key = out.node(_key("service", name), name, "service")
+            out.edge(out.file, key, "defines")
+            if s.get("image"):
+                out.edge(key, out.stub(f"Image:{s['image']}", "image"), "uses_image")
+            if s.get("build"):
+                out.edge(key, out.stub(f"Build:{s['build'] if isinstance(s['build'], str) else _dict(s['build']).get('context', '.')}", "build"), "builds_with")
+            for relation, kind, names in (("depends_on", "service", s.get("depends_on")), ("connects_to", "network", s.get("networks")), ("references_secret", "secret", s.get("secrets"))):
+                for n in names if isinstance(names, dict) else _list(names):
+                    out.edge(key, out.stub(f"{kind} {n if isinstance(n, str) else _dict(n).get('source', '')}", kind), relation)
+            for v in _list(s.get("volumes")):
+                out.edge(key, out.stub(f"volume {str(v if isinstance(v, str) else _dict(v).get('source', '')).split(':')[0]}", "volume"), "mounts")
+    return out
+
+
+def extract_workflow(path: str, text: str) -> Fragment:
+    """Jobs and steps of a build workflow: triggers, needs, actions with their pins, secrets."""
+    out = Fragment(path)
+    for doc in documents(text):
+        doc = _dict(doc)
+        flow = out.node(_key(path, "workflow"), str(doc.get("name") or path.rsplit("/", 1)[-1]), "workflow")
+        out.edge(out.file, flow, "defines")
+        on = doc.get("on", doc.get("True"))
+        for t in on if isinstance(on, dict) else _list(on):
+            out.edge(flow, out.stub(f"Trigger:{t}", "trigger"), "triggered_by")
+        for name, job in _dict(doc.get("jobs")).items():
+            job = _dict(job)
+            key = out.node(_key(path, "job", name), name, "job")
+            out.edge(flow, key, "defines")
+            for need in _list(job.get("needs")):
+                out.edge(key, _key(path, "job", str(need)), "depends_on")
+            if isinstance(job.get("uses"), str):
+                out.edge(key, out.stub(f"Workflow:{job['uses']}", "workflow"), "calls_workflow")
+            for i, step in enumerate(_list(job.get("steps"))):
+                step = _dict(step)
+                s = out.node(_key(path, name, "step", str(i)), str(step.get("name") or step.get("uses") or f"step {i}"), "step")
+                out.edge(key, s, "has_step")
+                if isinstance(step.get("uses"), str):
+                    out.edge(s, out.stub(f"Action:{step['uses']}", "action"), "uses_action")
+    for secret in set(re.findall(r"secrets\.([A-Za-z_]\w*)", text)):
+        out.edge(out.file, out.stub(f"secret {secret}", "secret"), "references_secret")
+    return out
+
+
+def extract_kubernetes(path: str, text: str) -> Fragment:
+    """Resources: what they select, the images they run, the configuration and secrets they mount, where routes lead."""
+    out = Fragment(path)
+    for doc in documents(text):
+        doc = _dict(doc)
+        kind, meta = doc.get("kind"), _dict(doc.get("metadata"))
+        if not kind or not meta.get("name"):
+            continue
+        key = out.node(_key("k8s", str(kind), str(meta["name"])), f"K8s:{kind}:{meta['name']}", "resource")
+        out.edge(out.file, key, "contains")
+
+        def walk(x: object) -> None:
+            if isinstance(x, list):
+                for y in x:
+                    walk(y)
+            elif isinstance(x, dict):
+                for k, v in x.items():
+                    if k == "image" and isinstance(v, str):
+                        out.edge(key, out.stub(f"Image:{v}", "image"), "uses_image")  # noqa: B023
+                    elif k in ("secretName", "configMapName") and isinstance(v, str):
+                        out.edge(key, out.stub(f"k8s {'Secret' if k == 'secretName' else 'ConfigMap'} {v}", "resource"), "mounts")  # noqa: B023
+                    elif k in ("secretKeyRef", "configMapKeyRef", "secretRef", "configMapRef") and _dict(v).get("name"):
+                        out.edge(key, out.stub(f"k8s {'Secret' if k.startswith('secret') else 'ConfigMap'} {v['name']}", "resource"), "references_secret" if k.startswith("secret") else "references_env")  # noqa: B023
+                    elif k == "service" and _dict(v).get("name"):
+                        out.edge(key, out.stub(f"k8s Service {v['name']}", "resource"), "routes_to")  # noqa: B023
+                    walk(v)
+
+        spec = _dict(doc.get("spec"))
+        walk(spec)
+        if kind == "Service":
+            for k, v in _dict(spec.get("selector")).items():
+                out.edge(key, out.stub(f"label {k}={v}", "label"), "selects")
+        if kind == "Application":
+            for source in _list(spec.get("source")) + _list(spec.get("sources")):
+                out.edge(key, out.stub(f"Source:{_dict(source).get('repoURL', '')}/{_dict(source).get('path', '')}", "source"), "syncs_from")
+            out.edge(key, out.stub(f"Namespace:{_dict(spec.get('destination')).get('namespace', '')}", "namespace"), "deploys_to")
+        for k, v in _dict(_dict(_dict(spec.get("template")).get("metadata")).get("labels")).items():
+            out.edge(out.stub(f"label {k}={v}", "label"), key, "owns")
+    return out
+
+
+def extract_chart(path: str, text: str) -> Fragment:
+    """A chart and what it depends on."""
+    out = Fragment(path)
+    for doc in documents(text):
+        doc = _dict(doc)
+        if doc.get("name"):
+            key = out.node(_key("chart", str(doc["name"])), f"Helm:Chart:{doc['name']}", "chart")
+            out.edge(out.file, key, "defines")
+            for d in _list(doc.get("dependencies")):
+                out.edge(key, out.stub(f"chart {_dict(d).get('name', '')}", "chart"), "depends_on")
+    return out
+
+
+def extract_yaml(path: str, text: str) -> Fragment:
+    """By what the file is: workflow, composition, chart, resources; other YAML gives its file only."""
+    name = path.rsplit("/", 1)[-1].lower()
+    if "/.github/workflows/" in "/" + path:
+        return extract_workflow(path, text)
+    if re.search(r"(^|-)compose", name) or re.search(r"(?m)^services:\s*$", text):
+        return extract_compose(path, text)
+    if name == "chart.yaml":
+        return extract_chart(path, text)
+    if re.search(r"(?m)^apiVersion:", text) and re.search(r"(?m)^kind:", text):
+        return extract_kubernetes(path, text)
+    return Fragment(path)
+
+
+def extract_bazel(path: str, text: str) -> Fragment:
+    """Targets of a build file, their dependencies and sources, and what it loads."""
+    out = Fragment(path)
+    try:
+        tree = ast.parse(text)
+    except (SyntaxError, ValueError):
+        return out
+    package = path.rsplit("/", 1)[0] if "/" in path else ""
+    for n in tree.body:
+        call = n.value if isinstance(n, ast.Expr) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Name) else None
+        if call is None:
+            continue
+        strings = lambda x: [e.value for e in ast.walk(x) if isinstance(e, ast.Constant) and isinstance(e.value, str)]
+        args = {k.arg: k.value for k in call.keywords if k.arg}
+        if call.func.id == "load" and call.args:
+            out.edge(out.file, out.stub(strings(call.args[0])[0] if strings(call.args[0]) else "load"), "loads", n.lineno)
+        elif "name" in args and strings(args["name"]):
+            name = strings(args["name"])[0]
+            key = out.node(_key(package, name), name, call.func.id, n.lineno)
+            out.edge(out.file, key, "declares_external_repo" if call.func.id.endswith(("repository", "http_archive", "bazel_dep")) else "defines_target", n.lineno)
+            for d in strings(args["deps"]) if "deps" in args else ():
+                out.edge(key, _key(package, d[1:]) if d.startswith(":") else out.stub(d, "target"), "depends_on", n.lineno)
+            for s in strings(args["srcs"]) if "srcs" in args else ():
+                out.edge(key, out.stub(f"{package}/{s}".lstrip("/"), "file"), "contains_source", n.lineno)
+    return out
+
+
+def extract_project(path: str, text: str) -> Fragment:
+    """Projects of a solution, and package and project references of a project file."""
+    out = Fragment(path)
+    for m in re.finditer(r'^Project\("[^"]*"\)\s*=\s*"([^"]+)",\s*"([^"]+)"', text, re.M):
+        out.edge(out.file, out.node(_key("project", m[1]), m[1], "project", _line(text, m.start())), "contains")
+    for m in re.finditer(r'<(ProjectReference|PackageReference|Reference|Project)\s+(?:Path|Include)="([^"]+)"', text):
+        name = re.split(r"[\\/]", m[2])[-1].removesuffix(".csproj").removesuffix(".fsproj").removesuffix(".vbproj") if m[1].startswith("Project") else m[2].split(",")[0]
+        out.edge(out.file, out.stub(name, "package" if m[1] != "Project" else "project"), "contains" if m[1] == "Project" else "imports" if m[1] == "ProjectReference" else "references", _line(text, m.start()))
+    return out
+
+
+def extract_markup(path: str, text: str) -> Fragment:
+    """Classes, named elements, components and bindings of view files (XAML, Razor, Blade, single-file components)."""
+    out = Fragment(path)
+    for pattern, kind, relation in (
+        (r'x:Class="([^"]+)"', "class", "defines"), (r'x:Name="([^"]+)"', "element", "contains"), (r"\{Binding\s+(?:Path=)?([\w.]+)", "property", "references"),
+        (r"@(?:model|inherits|inject)\s+([\w.<>]+)", "class", "references"), (r"@using\s+([\w.]+)", "module", "imports"),
+        (r"@(?:include|extends|component)\(\s*['\"]([^'\"]+)", "view", "includes"), (r"<x-([\w.-]+)", "component", "uses_component"), (r"wire:\w+=\"(\w+)", "method", "binds_method"),
+        (r"\bfrom\s+['\"]([^'\"]+)['\"]", "module", "imports_from"), (r"<([A-Z]\w+)", "component", "references"),
+    ):
+        for m in re.finditer(pattern, text):
+            out.edge(out.file, out.stub(m[1], kind), relation, _line(text, m.start()))
+    return out
+
+
+def extract_properties(path: str, text: str) -> Fragment:
+    """Topics, brokers and registries of a message client's or connector's properties."""
+    out = Fragment(path)
+    for m in re.finditer(r"(?m)^\s*([\w.-]+)\s*[=:]\s*(.+?)\s*$", text):
+        key, line = m[1].lower(), _line(text, m.start())
+        for value in m[2].split(","):
+            if key.endswith("bootstrap.servers"):
+                out.edge(out.file, out.stub(f"Broker:{value.strip()}", "broker"), "connects_to", line)
+            elif key.endswith("schema.registry.url"):
+                out.edge(out.file, out.stub(f"Registry:{value.strip()}", "registry"), "configures_registry", line)
+            elif re.search(r"(^|\.)topics?(\.name)?$", key):
+                out.edge(out.file, out.stub(f"Topic:{value.strip()}", "topic"), "references_topic", line)
+    return out
+
+
 # Declarations and imports of languages whose grammar is not at hand: what a line shows. Calls are left to name resolution.
 LINE_RULES = {
     "js": (("js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "cts"), r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", r"\bfrom\s+[\"']([^\"']+)[\"']|\brequire\(\s*[\"']([^\"']+)|^\s*import\s+[\"']([^\"']+)", r"\bextends\s+([\w.]+)"),
@@ -421,16 +614,14 @@ def extract_lines(path: str, text: str) -> Fragment:
     return out
 
 
-def _api_schema(path: str, text: str) -> Fragment:
-    return extract_json_schema(path, text)
-
-
 Extractor = Callable[[str, str], Fragment]
 BY_NAME: dict[str, Extractor] = {n: extract_manifest for n in ("pyproject.toml", "cargo.toml", "go.mod", "pom.xml", "package.json", "requirements.txt", "poetry.lock")}
 BY_ENDING: dict[str, Extractor] = {
     "py": extract_python, "pyi": extract_python, "sql": extract_sql, "md": extract_markdown, "mdx": extract_markdown, "qmd": extract_markdown, "rst": extract_markdown,
     "json": extract_json, "avsc": extract_avro, "html": extract_html, "htm": extract_html, "proto": extract_protobuf, "tf": extract_terraform, "hcl": extract_terraform,
-    "sh": extract_shell, "bash": extract_shell, **{e: extract_lines for r in LINE_RULES.values() for e in r[0]},
+    "yaml": extract_yaml, "yml": extract_yaml, "bzl": extract_bazel, "bazel": extract_bazel, "sln": extract_project, "slnx": extract_project, "csproj": extract_project,
+    "fsproj": extract_project, "vbproj": extract_project, "xaml": extract_markup, "razor": extract_markup, "cshtml": extract_markup, "vue": extract_markup, "svelte": extract_markup,
+    "astro": extract_markup, "properties": extract_properties, "sh": extract_shell, "bash": extract_shell, **{e: extract_lines for r in LINE_RULES.values() for e in r[0]},
 }
 
 
@@ -442,6 +633,10 @@ def extractor_for(path: str, text: str) -> Extractor | None:
     if name.startswith("dockerfile") or name.endswith(".dockerfile"):
         return extract_dockerfile
     last = name.rsplit(".", 1)[-1] if "." in name else ""
+    if name in ("build", "workspace") or name.startswith("module.bazel"):
+        return extract_bazel
+    if name.endswith(".blade.php"):
+        return extract_markup
     if last == "json" and ('"$schema"' in text[:2000] or '"openapi"' in text[:2000]) and ('"properties"' in text or '"definitions"' in text or '"$defs"' in text):
         return extract_json_schema
     if last in BY_ENDING:

@@ -10,6 +10,7 @@ from quillgraph.operators.build import Graph
 from quillgraph.sources import extract as X
 from quillgraph.sources import files as Fi
 from quillgraph.sources import formats as Fo
+from quillgraph.sources.yaml_lite import documents
 from quillgraph.streaming import live
 
 
@@ -56,6 +57,46 @@ def test_markdown_json_docker_and_others():
     assert ("x_json_a", "references_schema", "x_json_b") in edges_of(X.extract_json_schema("x.json", '{"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {}}}'))
 
 
+def test_yaml():
+    text = """# c
+name: x  # note
+on: {push: {}, pull_request: [a, b]}
+list:
+- a
+- k: v
+  n:
+    - 1
+    - "two: 2"
+text: |
+  one: 1
+    two
+empty:
+flow: [1, {a: b}]
+---
+- 7
+"""
+    assert documents(text) == [{"name": "x", "on": {"push": {}, "pull_request": ["a", "b"]}, "list": ["a", {"k": "v", "n": [1, "two: 2"]}], "text": "one: 1\ntwo", "empty": None, "flow": [1, {"a": "b"}]}, [7]]
+    assert documents("") == [] and documents("a: [1,\n 2]") == [{"a": [1, 2]}]
+
+
+def test_configuration_formats():
+    f = X.extract_yaml(".github/workflows/ci.yml", "on: [push]\njobs:\n  a:\n    steps:\n      - uses: actions/checkout@v4\n      - run: echo ${{ secrets.KEY }}\n  b:\n    needs: a\n")
+    got = edges_of(f)
+    assert ("github_workflows_ci_yml_job_b", "depends_on", "github_workflows_ci_yml_job_a") in got and ("github_workflows_ci_yml_a_step_0", "uses_action", "action_actions_checkout_v4") in got
+    assert ("github_workflows_ci_yml", "references_secret", "secret_key") in got
+    f = X.extract_yaml("docker-compose.yml", "services:\n  web:\n    image: app:1\n    depends_on: [db]\n    volumes:\n      - data:/x\n  db:\n    build: ./db\n")
+    assert {("service_web", "uses_image", "image_app_1"), ("service_web", "depends_on", "service_db"), ("service_web", "mounts", "volume_data"), ("service_db", "builds_with", "build_db")} <= edges_of(f)
+    f = X.extract_yaml("k.yaml", "apiVersion: v1\nkind: Deployment\nmetadata:\n  name: web\nspec:\n  template:\n    metadata:\n      labels:\n        app: web\n    spec:\n      containers:\n        - image: app:1\n          env:\n            - name: K\n              valueFrom:\n                secretKeyRef:\n                  name: s\n---\napiVersion: v1\nkind: Service\nmetadata: {name: front}\nspec:\n  selector:\n    app: web\n")
+    assert {("k8s_deployment_web", "uses_image", "image_app_1"), ("k8s_deployment_web", "references_secret", "k8s_secret_s"), ("k8s_service_front", "selects", "label_app_web"), ("label_app_web", "owns", "k8s_deployment_web")} <= edges_of(f)
+    f = X.extract_bazel("pkg/BUILD", 'load("//r:d.bzl", "x")\nx(name = "a", srcs = ["a.c"], deps = [":b", "//o:c"])\n')
+    assert {("pkg_a", "depends_on", "pkg_b"), ("pkg_a", "depends_on", "o_c"), ("pkg_a", "contains_source", "pkg_a_c")} <= edges_of(f)
+    f = X.extract_project("a.csproj", '<ProjectReference Include="..\\b\\B.csproj" /><PackageReference Include="Json" Version="1" />')
+    assert {("a_csproj", "imports", "b"), ("a_csproj", "references", "json")} <= edges_of(f)
+    f = X.extract_properties("c.properties", "bootstrap.servers=k:9092\ntopics=a,b\n")
+    assert {("c_properties", "connects_to", "broker_k_9092"), ("c_properties", "references_topic", "topic_a")} <= edges_of(f)
+    assert X.extractor_for("a/BUILD", "") is X.extract_bazel and X.extractor_for("x.blade.php", "") is X.extract_markup and X.extractor_for("none", "text") is None
+
+
 def test_extract_runs_over_files(spark, tmp_path):
     (tmp_path / "p").mkdir()
     (tmp_path / "p" / "a.py").write_text("def f():\n    pass\n")
