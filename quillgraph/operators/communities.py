@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.analyze import cohesion, degrees, value_at_percentile
+from quillgraph.operators.skew import global_rank
 from quillgraph.operators.walks import both_ways
 from quillgraph.session import cut
 
@@ -28,10 +29,12 @@ def _level(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
     """One level of modularity moves over weighted links (src, dst, w), both ways, loops once: (id, community).
 
     All nodes choose at the same time, in halves told by a hash of node and round so that neighbours do not swap for
-    ever; a node moves to the neighbouring community with the greatest gain, the least id among equals.
+    ever; a node moves to the neighbouring community with the greatest gain, its own among equals. It ends when at most one node in
+    500 moves.
     """
     strength = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "strength")
-    total = strength.agg(F.sum("k")).head()[0] or 1.0
+    total, size = strength.agg(F.sum("k"), F.count(F.lit(1))).head()
+    total, few = total or 1.0, size // 500
     label = strength.select("id", F.col("id").alias("community"))
     for r in range(rounds):
         mass = label.join(strength, "id").groupBy("community").agg(F.sum("k").alias("mass"))
@@ -46,12 +49,12 @@ def _level(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
         new = cut(new, "moves")
         moved = new.where("to != community").count()
         label = new.select("id", F.col("to").alias("community"))
-        if not moved and r:
+        if r and moved <= few:
             break
     return label
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 4, rounds: int = 8) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6) -> DataFrame:
     """(id, community): modularity moves, then the same over the graph of communities, up to ``levels`` times. Isolated nodes are communities of their own."""
     links = cut(both_ways(edges).withColumn("w", F.lit(1.0)), "links")
     label = nodes.select("id", F.col("id").alias("community")).distinct()
@@ -70,9 +73,9 @@ def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels:
 
 def numbered(members: DataFrame) -> DataFrame:
     """(id, community): communities numbered from 0 by size, then by their least id."""
-    sizes = members.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    rank = (F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).alias("number")
-    return members.join(sizes.select("community", rank), "community").select("id", F.col("number").alias("community"))
+    sizes = members.groupBy("community").agg((-F.count(F.lit(1))).alias("n"), F.min("id").alias("first"))
+    ranked = global_rank(sizes, ["n", "first"], "number").select("community", F.col("number").cast("int").alias("number"))
+    return members.join(ranked, "community").select("id", F.col("number").alias("community"))
 
 
 def detect(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, hub_percentile: float | None = None) -> DataFrame:

@@ -24,9 +24,8 @@ def entity_keys(nodes: DataFrame) -> DataFrame:
     return rows.where("key != '' and file_type != 'code'")
 
 
-def signature(key: Column, seed_count: int = BANDS * ROWS) -> Column:
-    """MinHash of the three-character runs of a key: for each seed the least hash."""
-    grams = T.windows(key, 3)
+def signature(grams: Column, seed_count: int = BANDS * ROWS) -> Column:
+    """MinHash of a column of three-character runs: for each seed the least hash."""
     return F.array(*(F.array_min(F.transform(grams, lambda g: F.xxhash64(g, F.lit(s)))) for s in range(seed_count)))  # noqa: B023
 
 
@@ -36,7 +35,7 @@ def candidate_pairs(keys: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     Keys that agree in the ``rows`` minima of a band are nearly all true matches, so what a bucket gives is close to
     what it must give; equal keys never meet here.
     """
-    runs = keys.select("key").distinct().withColumn("sig", signature(F.col("key"), bands * rows))
+    runs = keys.select("key").distinct().withColumn("grams", T.windows(F.col("key"), 3)).withColumn("sig", signature(F.col("grams"), bands * rows))
     each = F.explode(F.array(*(F.struct(F.lit(b).alias("band"), F.xxhash64(F.slice("sig", b * rows + 1, rows), numbers(F.col("key"))).alias("h")) for b in range(bands))))
     banded = cut(runs.select("key", each.alias("x")).select("key", "x.band", "x.h"), "bands")
     several = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")

@@ -11,14 +11,16 @@ from quillgraph.operators.build import Graph
 
 
 def last_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key in a total order; ``dropDuplicates`` would take any."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)))
-    return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
+    """The last row of each key in a total order; ``dropDuplicates`` would take any. Candidates are combined before the shuffle."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_x"))
+    return best.select(*keys, "_x.*").select(*rows.columns)
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("_r", rank).where("_r = 1").drop("_r")
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("_x"))
+    return best.select(*keys, "_x.*").select(*rows.columns)
 
 
 def union_fragments(fragments: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:

@@ -289,3 +289,9 @@ def test_prefix_sums_of_a_hot_group(spark):
         for before, v in mine:
             assert before == at
             at += v
+
+
+def test_global_rank(spark):
+    rows = [(i * 7919 % 503, f"k{i}") for i in range(503)]
+    got = {r.a: r.place for r in skew.global_rank(frame(spark, rows, "a int, b string").repartition(5), ["a"], "place").collect()}
+    assert got == {i: i for i in range(503)}
