@@ -73,7 +73,7 @@ def statements(text: str | None, title: str | None = None) -> list[tuple[int, st
     return out
 
 
-def _scores(words: list[str], lexicon: dict[str, list[tuple[int, float]]], n: int) -> list[float]:
+def _scores(words: set[str], lexicon: dict[str, list[tuple[int, float]]], n: int) -> list[float]:
     s = [0.0] * (n + 1)
     for w in words:
         for k, x in lexicon.get(w, ()):
@@ -82,12 +82,15 @@ def _scores(words: list[str], lexicon: dict[str, list[tuple[int, float]]], n: in
 
 
 def _best(scores: list[float], least: float, lead: float) -> int:
-    first = max(range(1, len(scores)), key=scores.__getitem__)
-    top = scores[first]
-    if top < least:
-        return ABSTAIN
-    second = max((x for i, x in enumerate(scores) if i not in (0, first)), default=0.0)
-    return first if top - second >= lead else ABSTAIN
+    """The subject that scores ``least`` and leads the next by ``lead``; place 0 of ``scores`` is unused."""
+    top = second = 0.0
+    first = ABSTAIN
+    for i, x in enumerate(scores):
+        if x > top:
+            first, top, second = i, x, top
+        elif x > second:
+            second = x
+    return first if top >= least and top - second >= lead else ABSTAIN
 
 
 def _seed_lexicon(subjects: list[str], descriptions: dict[str, str]) -> dict[str, list[tuple[int, float]]]:
@@ -108,27 +111,34 @@ def _learn(docs: DataFrame, lexicon: dict[str, list[tuple[int, float]]], labels:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, labelled = sent.value
-        counts: dict[tuple[str, str], np.ndarray] = {}
+        words: dict[str, list[int]] = {}
+        sources: dict[str, list[int]] = {}
 
         def flush() -> pd.DataFrame:
-            rows = [(kind, key, v.tolist()) for (kind, key), v in counts.items()]
-            counts.clear()
+            rows = [("word", w, c) for w, c in words.items()] + [("source", k, c) for k, c in sources.items()]
+            if sources:
+                rows.append(("base", "", [sum(c) for c in zip(*sources.values())]))
+            words.clear()
+            sources.clear()
             return pd.DataFrame(rows, columns=["kind", "key", "counts"])
 
         for batch in batches:
             for doc_id, text, title, source in zip(batch.doc_id, batch.text, batch.title, batch.source):
                 label = labelled.get(doc_id, ABSTAIN)
+                mine = sources.setdefault(source or "", [0] * (n + 1))
                 for _, s in statements(text, title):
-                    words = set(plain_words(s))
-                    scores = _scores(list(words), known, n)
+                    found = set(plain_words(s))
+                    scores = _scores(found, known, n)
                     if label:
                         scores[label] += 0.7
                     v = _best(scores, 0.6, 0.5)
-                    for key in (("base", ""), ("source", source or ""), *(("word", w) for w in words)):
-                        if key not in counts:
-                            counts[key] = np.zeros(n + 1, np.int64)
-                        counts[key][v] += 1
-            if len(counts) > 200_000:
+                    mine[v] += 1
+                    for w in found:
+                        c = words.get(w)
+                        if c is None:
+                            c = words[w] = [0] * (n + 1)
+                        c[v] += 1
+            if len(words) > 200_000:
                 yield flush()
         yield flush()
 
@@ -182,19 +192,18 @@ def _votes(docs: DataFrame, lexicon, sources: dict[str, int], n: int) -> DataFra
             rows = []
             for row, text, title, source in zip(batch.row, batch.text, batch.title, batch.source):
                 parts = statements(text, title)
-                words = [plain_words(s) for _, s in parts]
-                scored = [_scores(list(set(w)), known, n) for w in words]
-                around: dict[int, np.ndarray] = {}
-                for (k, _), s in zip(parts, scored):
-                    around[k] = around.get(k, 0) + np.array(s)
+                scored = [_scores(set(plain_words(s)), known, n) for _, s in parts]
+                around: dict[int, list[float]] = {}
+                for (k, _), score in zip(parts, scored):
+                    around[k] = [a + x for a, x in zip(around[k], score)] if k in around else score
                 lean = leaning.get(source or "", ABSTAIN)
                 found: dict[int, int] = defaultdict(int)
                 for (k, s), score in zip(parts, scored):
                     address = [w for a in ADDRESS.findall(s) for w in plain_words(a)]
                     votes = (
                         _best(score, 0.8, 0.25),
-                        _best(_scores(list(set(address)), known, n), 0.8, 0.25) if address else ABSTAIN,
-                        _best(list(around[k] - np.array(score)), 0.8, 0.25),
+                        _best(_scores(set(address), known, n), 0.8, 0.25) if address else ABSTAIN,
+                        _best([a - x for a, x in zip(around[k], score)], 0.8, 0.25),
                         lean,
                     )
                     code = 0
