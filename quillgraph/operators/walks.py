@@ -162,13 +162,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(id, betweenness): shortest paths through each node from the ``pivots`` (id), scaled to all nodes, both ways, normalised.
-
-    Levels forward count shortest paths for each (pivot, node), levels backward sum dependencies; with all nodes as
-    pivots the result is exact.
-    """
-    links = cut(both_ways(edges), "links")
+def _shortest_counts(links: DataFrame, pivots: DataFrame, most_depth: int) -> list[DataFrame]:
+    """Levels of (pivot, id, sigma, depth): how many shortest paths lead from each pivot to each node."""
     level = cut(pivots.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")), "sigma")
     levels = [level]
     for d in range(1, most_depth + 1):
@@ -178,24 +173,54 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_dept
         if level.isEmpty():
             break
         levels.append(level)
-    below = None
-    deltas = []
+    return levels
+
+
+def _dependencies(links: DataFrame, levels: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Brandes' accumulation, level by level backwards: (pivot, id, delta) of nodes and (pivot, a, b, share) of edges."""
+    below, nodes, edges = None, [], []
     for k in range(len(levels) - 1, 0, -1):
         own = levels[k] if below is None else levels[k].join(below, ["pivot", "id"], "left")
         share = (F.lit(1.0) + (F.coalesce("delta", F.lit(0.0)) if below is not None else F.lit(0.0))) / F.col("sigma")
-        up = own.select("pivot", F.col("id").alias("src"), share.alias("share")).join(links, "src").select("pivot", F.col("dst").alias("id"), "share")
-        got = up.join(levels[k - 1].select("pivot", "id", "sigma"), ["pivot", "id"]).groupBy("pivot", "id", "sigma").agg(F.sum("share").alias("share"))
-        below = cut(got.select("pivot", "id", (F.col("sigma") * F.col("share")).alias("delta")), "delta")
-        deltas.append(below)
-    n, k = nodes.select("id").distinct().count(), pivots.count()
-    scale = n / max(k, 1) / max((n - 1) * (n - 2), 1)
-    sums = reduce(DataFrame.unionByName, deltas).where("pivot != id").groupBy("id").agg(F.sum("delta").alias("delta")) if deltas else None
+        up = own.select("pivot", F.col("id").alias("src"), share.alias("share")).join(links, "src").select("pivot", "src", F.col("dst").alias("id"), "share")
+        back = up.join(levels[k - 1].select("pivot", "id", "sigma"), ["pivot", "id"])
+        back = cut(back.select("pivot", "id", "src", (F.col("sigma") * F.col("share")).alias("share")), "delta")
+        edges.append(back.select("pivot", F.least("id", "src").alias("a"), F.greatest("id", "src").alias("b"), "share"))
+        below = back.groupBy("pivot", "id").agg(F.sum("share").alias("delta"))
+        nodes.append(below)
+    return nodes, edges
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(id, betweenness): shortest paths through each node from the ``pivots`` (id), scaled to all nodes, both ways, normalised.
+
+    Levels forward count shortest paths for each (pivot, node), levels backward sum dependencies; with all nodes as
+    pivots the result is exact.
+    """
+    links = cut(both_ways(edges), "links")
+    deltas, _ = _dependencies(links, _shortest_counts(links, pivots, most_depth))
     ids = nodes.select("id").distinct()
-    if sums is None:
+    if not deltas:
         return ids.withColumn("betweenness", F.lit(0.0))
+    n, k = ids.count(), pivots.count()
+    scale = n / max(k, 1) / max((n - 1) * (n - 2), 1)
+    sums = reduce(DataFrame.unionByName, deltas).where("pivot != id").groupBy("id").agg(F.sum("delta").alias("delta"))
     return ids.join(sums, "id", "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def edge_betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_depth: int = 64) -> DataFrame:
+    """(a, b, betweenness): shortest paths over each undirected edge from the ``pivots``, scaled to all nodes, normalised by n * (n - 1)."""
+    links = cut(both_ways(edges), "links")
+    _, shares = _dependencies(links, _shortest_counts(links, pivots, most_depth))
+    pairs = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    if not shares:
+        return pairs.withColumn("betweenness", F.lit(0.0))
+    n, k = nodes.select("id").distinct().count(), pivots.count()
+    scale = n / max(k, 1) / max(n * (n - 1), 1)
+    sums = reduce(DataFrame.unionByName, shares).groupBy("a", "b").agg(F.sum("share").alias("share"))
+    return pairs.join(sums, ["a", "b"], "left").select("a", "b", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def impact(graph: Graph, targets: DataFrame, communities: DataFrame, ranks: DataFrame, depth: int = 10) -> DataFrame:
     """A row for each of ``targets`` (id): what depends on it, by kind, with a risk score and tier.
 

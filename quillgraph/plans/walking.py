@@ -134,6 +134,15 @@ def central_nodes(spark: SparkSession, folder: str) -> DataFrame:
     return W.betweenness(g.nodes, g.edges, pivots)
 
 
+def central_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges that most shortest paths from up to 50 hashed pivots cross."""
+    g = _graph(spark, folder)
+    n = g.nodes.count()
+    k = n if n <= 500 else min(50, max(20, int(n * 0.01)))
+    pivots = cut(g.nodes.select("id").orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k), "pivots")
+    return W.edge_betweenness(g.nodes, g.edges, pivots)
+
+
 def label_communities(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
     return C.label_propagation(g.nodes, g.edges)
@@ -219,7 +228,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     callers, references_elsewhere, neighbourhood, neighbourhood_gated, neighbourhood_edges, affected, impact_closure, impact_scores, shortest_paths, implementations,
-    execution_flows, method_flows, page_rank, personal_rank, components, central_nodes, label_communities, communities, community_overlaps, keywords, node_keywords,
+    execution_flows, method_flows, page_rank, personal_rank, components, central_nodes, central_edges, label_communities, communities, community_overlaps, keywords, node_keywords,
     vocabulary, label_subtokens, label_entropy, term_idf, bm25, bm25_top, substring_search, fuzzy_terms, label_scores, search_seeds, node_lookup, hybrid_search,
 )}
 

@@ -84,6 +84,7 @@ def test_betweenness_with_all_pivots_is_exact(spark, seed):
     names, pairs = random_edges(seed, 14, 22)
     near = neighbours(pairs)
     want = dict.fromkeys(names, 0.0)
+    over = dict.fromkeys(((a, b) for a in near for b in near[a] if a < b), 0.0)
     for s, t in itertools.permutations(names, 2):
         dist = bfs(s, near)
         if t in dist:
@@ -97,9 +98,13 @@ def test_betweenness_with_all_pivots_is_exact(spark, seed):
             for p in paths:
                 for x in p[1:-1]:
                     want[x] += 1 / len(paths)
+                for x, y in zip(p, p[1:]):
+                    over[min(x, y), max(x, y)] += 1 / len(paths)
     n = len(names)
     got = {r.id: r.betweenness for r in W.betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names)).collect()}
     assert all(got[k] == pytest.approx(v / ((n - 1) * (n - 2))) for k, v in want.items())
+    got = {(r.a, r.b): r.betweenness for r in W.edge_betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names)).collect()}
+    assert got.keys() == over.keys() and all(got[k] == pytest.approx(v / (n * (n - 1))) for k, v in over.items())
 
 
 def test_page_rank(spark):
