@@ -88,13 +88,13 @@ def survivors(nodes: DataFrame) -> DataFrame:
 
 def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges whose both ends are nodes."""
-    ids = nodes.select("id").distinct()
+    ids = nodes.select("id")
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, endpoint, node_id, relation): ends that are no node."""
-    ids = nodes.select(F.col("id").alias("node_id")).distinct()
+    ids = nodes.select(F.col("id").alias("node_id"))
     ends = edges.select("edge_id", "relation", F.explode(F.array(*(F.struct(F.lit(n).alias("endpoint"), F.col(c).alias("node_id")) for n, c in (("source", "src"), ("target", "dst"))))).alias("x"))
     return ends.select("edge_id", "x.endpoint", "x.node_id", "relation").join(ids, "node_id", "left_anti").select("edge_id", "endpoint", "node_id", "relation")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
 from quillgraph.functions import vocabulary as V
+from quillgraph.session import cut
 
 FINDING = ("rule", "severity", "subject", "detail")
 
@@ -57,7 +58,8 @@ def unpinned_actions(actions: DataFrame) -> DataFrame:
 
 
 def lint(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All findings on a graph whose edges may dangle: (rule, severity, subject, detail)."""
+    """All findings on a graph whose edges may dangle: (rule, severity, subject, detail). The edges are read once for all rules."""
+    edges = cut(edges.select("edge_id", "src", "dst", "relation"), "lint")
     return reduce(DataFrame.unionByName, (f(edges, nodes) for f in (dangling_references, orphan_nodes, dead_code)))
 
 
