@@ -74,7 +74,7 @@ class Engine:
         return self.neighbours(name).where(~F.col("relation").isin(*V.NOT_A_REFERENCE) & (F.col("direction") == "in"))
 
     def implementations(self, name: str) -> DataFrame:
-        return walks.dependents(self.graph.edges.where(~F.col("relation").isin(*V.MEMBER)), self._seeds(name), V.SUBTYPE, 16)
+        return walks.dependents(self.graph.edges.where(~F.col("relation").isin(*V.MEMBER)), self._seeds(name), V.SUBTYPE, None)
 
     def affected(self, name: str, depth: int = 2) -> DataFrame:
         return walks.dependents(self.graph.edges, self._seeds(name), V.AFFECTED, depth)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,16 +21,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int, gated: DataFrame | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, gated: DataFrame | None = None) -> DataFrame:
     """(seed, id, depth): what is reached from ``seeds`` (seed, id) along (src, dst) in at most ``depth`` steps, at its least depth.
 
+    Without a ``depth`` it walks until a level is empty; the levels are then put together every 16, so that the plan stays small.
     Nodes of ``gated`` (id) are reached but, unless they are seeds, not left; this is also what keeps hubs from
     multiplying the frontier. Each level meets the edges once and drops what was visited.
     """
     edges = cut(edges.select("src", "dst").distinct(), "edges")
     level = cut(seeds.select("seed", "id").distinct().withColumn("depth", F.lit(0)), "level")
     levels = [level]
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         frontier = level if gated is None or d == 1 else level.join(gated.select("id"), "id", "left_anti")
         visited = reduce(DataFrame.unionByName, levels).select("seed", "id")
         found = frontier.join(edges.withColumnRenamed("src", "id"), "id").select("seed", F.col("dst").alias("id")).distinct()
@@ -37,9 +39,17 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, gated: DataFrame | Non
         if level.isEmpty():
             break
         levels.append(level)
+        if depth is None and len(levels) >= 16:
+            levels = [cut(reduce(DataFrame.unionByName, levels), "levels")]
     return reduce(DataFrame.unionByName, levels)
 
 
+def implementations(edges: DataFrame) -> DataFrame:
+    """(seed, id, depth >= 1): all subtypes of each node that has one directly, at their least distance, however deep."""
+    back = cut(edges.where(F.col("relation").isin(*V.SUBTYPE)).select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "subtypes")
+    return reach(back, back.select(F.col("src").alias("seed"), F.col("src").alias("id")), None).where("depth > 0")
+
+
 def hubs(nodes: DataFrame, edges: DataFrame, percentile: float = 99, least: int = 50) -> DataFrame:
     """(id): nodes whose degree is at least the one at index n * percentile / 100, and at least ``least``."""
     degree = degrees(nodes, edges)
@@ -58,7 +68,7 @@ def with_members(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return seeds.select("seed", "id").unionByName(seeds.join(members, "id").select("seed", F.col("dst").alias("id"))).distinct()
 
 
-def dependents(edges: DataFrame, seeds: DataFrame, relations: tuple[str, ...], depth: int) -> DataFrame:
+def dependents(edges: DataFrame, seeds: DataFrame, relations: tuple[str, ...], depth: int | None) -> DataFrame:
     """(seed, id, depth >= 1): what depends on the seeds or their members along ``relations``, backwards."""
     back = edges.where(F.col("relation").isin(*relations)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return reach(back, with_members(edges, seeds), depth).where("depth > 0")

@@ -89,12 +89,17 @@ def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def implementations(spark: SparkSession, folder: str) -> DataFrame:
-    """All subtypes of each type that has one directly, by least distance up to 8."""
+    """Subtypes of the 20 best connected nodes, by least distance up to 8, as its SQL has them; ``all_implementations`` takes every type."""
     g = _graph(spark, folder)
     back = g.edges.where(F.col("relation").isin(*V.SUBTYPE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return W.reach(back, _gods(g, 20).select(F.col("id").alias("seed"), "id"), 8).where("depth > 0")
 
 
+def all_implementations(spark: SparkSession, folder: str) -> DataFrame:
+    """All subtypes of each type that has one directly, by least distance."""
+    return W.implementations(_graph(spark, folder).edges)
+
+
 def execution_flows(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
     kind = g.nodes.select("id", P.node_category(F.col("label"), F.col("id"), F.col("node_kind"), F.col("source_file")).alias("category"))
@@ -227,7 +232,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    callers, references_elsewhere, neighbourhood, neighbourhood_gated, neighbourhood_edges, affected, impact_closure, impact_scores, shortest_paths, implementations,
+    callers, references_elsewhere, neighbourhood, neighbourhood_gated, neighbourhood_edges, affected, impact_closure, impact_scores, shortest_paths, implementations, all_implementations,
     execution_flows, method_flows, page_rank, personal_rank, components, central_nodes, central_edges, label_communities, communities, community_overlaps, keywords, node_keywords,
     vocabulary, label_subtokens, label_entropy, term_idf, bm25, bm25_top, substring_search, fuzzy_terms, label_scores, search_seeds, node_lookup, hybrid_search,
 )}

@@ -141,6 +141,18 @@ def test_flows_and_shortest_paths(spark):
     assert paths == {"a": "a", "b": "ab", "c": "ac", "d": "ad"}
 
 
+def test_implementations_of_every_type(spark):
+    chain = [(f"t{i + 1}", f"t{i}") for i in range(40)]
+    pairs = [*chain, *((f"x{i}", f"y{i}") for i in range(30)), ("l1", "l2"), ("l2", "l1"), ("self", "self")]
+    e = frame(spark, [(a, b, "inherits") for a, b in pairs] + [("t0", "other", "calls")], "src string, dst string, relation string")
+    below = {}
+    for a, b in pairs:
+        below.setdefault(b, set()).add(a)
+    want = {(s, x, d) for s in below for x, d in bfs(s, below).items() if d}
+    rows = [tuple(r) for r in W.implementations(e).select("seed", "id", "depth").collect()]
+    assert set(rows) == want and len(rows) == len(want) and max(r[2] for r in rows) == 40
+
+
 def test_pair_collapse_rules(spark):
     rows = [("a", "b", "calls"), ("b", "a", "calls"), ("a", "b", "uses"), ("c", "d", "uses"), ("c", "d", "mentions"), ("e", "e", "calls"), ("x", "y", "imports"), ("x", "y", "references"), ("y", "x", "contains")]
     got = {(r.a, r.b): (r.src, r.dst, r.relation) for r in B.collapse_pairs(frame(spark, rows, "src string, dst string, relation string")).collect()}
