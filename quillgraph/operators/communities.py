@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,49 +27,60 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
     return label
 
 
-def _level(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """One level of modularity moves over weighted links (src, dst, w), both ways, loops once: (id, community).
+def _level(links: DataFrame, resolution: float, least: float) -> tuple[DataFrame, float]:
+    """One level of modularity moves over weighted links (src, dst, w), both ways, loops once: (id, community), and the modularity gained.
 
     All nodes choose at the same time, in halves told by a hash of node and round so that neighbours do not swap for
-    ever; a node moves to the neighbouring community with the greatest gain, its own among equals. It ends when at most one node in
-    500 moves.
+    ever; a node moves to the neighbouring community with the greatest gain, its own among equals. It ends when no node wants
+    to move, or when two rounds running, so that most nodes had their turn, each add less than ``least`` to the greatest
+    modularity so far; the labels that had the greatest are returned.
     """
-    strength = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "strength")
-    total, size = strength.agg(F.sum("k"), F.count(F.lit(1))).head()
-    total, few = total or 1.0, size // 500
-    label = strength.select("id", F.col("id").alias("community"))
-    for r in range(rounds):
-        mass = label.join(strength, "id").groupBy("community").agg(F.sum("k").alias("mass"))
-        to = links.where("src != dst").join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
-        own = label.select("id", F.col("community").alias("own")).join(strength, "id")
-        options = to.unionByName(label.withColumn("w", F.lit(0.0))).groupBy("id", "community").agg(F.sum("w").alias("w")).join(own, "id").join(mass, "community")
-        inside = F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mass") - inside) / total, 9)
-        best = options.groupBy("id").agg(F.max_by("community", F.struct(gain.alias("g"), (F.col("community") == F.col("own")).alias("s"))).alias("new"), F.max(gain).alias("g"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        new = label.join(best, "id").select("id", "community", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("to"))
+    strength = cut(links.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)).alias("loops")), "strength")
+    total, loops = strength.agg(F.sum("k"), F.sum("loops")).head()
+    total, loops = total or 1.0, loops or 0.0
+    links = cut(links.where("src != dst"), "others")
+    label = strength.select("id", "k", F.col("id").alias("community"))
+    first, best, kept, idle = None, None, label, 0
+    for r in count():
+        mass = label.groupBy("community").agg(F.sum("k").alias("mass"))
+        to = links.join(label.select(F.col("id").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
+        own = label.select("id", F.col("community").alias("own"), "k")
+        options = to.unionByName(label.select("id", "community", F.lit(0.0).alias("w"))).groupBy("id", "community").agg(F.sum("w").alias("w")).join(own, "id").join(mass, "community")
+        stays = F.col("community") == F.col("own")
+        gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 9)
+        new = options.groupBy("id").agg(
+            F.max_by("community", F.struct(gain.alias("g"), stays.alias("s"))).alias("new"), F.first("own").alias("community"), F.first("k").alias("k"),
+            F.max(F.when(stays, F.col("w"))).alias("inside"),
+        )
         new = cut(new, "moves")
-        moved = new.where("to != community").count()
-        label = new.select("id", F.col("to").alias("community"))
-        if r and moved <= few:
-            break
-    return label
+        sums = new.groupBy("community").agg(F.sum("k").alias("mass"), F.sum("inside").alias("inside"), F.count_if(F.col("new") != F.col("community")).alias("wish"))
+        inside, squares, wish = sums.agg(F.sum("inside"), F.sum(F.col("mass") * F.col("mass")), F.sum("wish")).head()
+        value = ((inside or 0.0) + loops) / total - resolution * (squares or 0.0) / total**2
+        first = value if first is None else first
+        idle = 0 if best is None or value >= best + least else idle + 1
+        if best is None or value > best:
+            best, kept = value, new.select("id", "community")
+        if not wish or idle == 2:
+            return kept, best - first
+        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+        label = new.select("id", "k", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 6) -> DataFrame:
-    """(id, community): modularity moves, then the same over the graph of communities, up to ``levels`` times. Isolated nodes are communities of their own."""
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, least: float = 1e-4) -> DataFrame:
+    """(id, community): modularity moves, then the same over the graph of communities. Isolated nodes are communities of their own.
+
+    It ends with the level that adds less than ``least`` to the modularity, or after ``levels``.
+    """
     links = cut(both_ways(edges).withColumn("w", F.lit(1.0)), "links")
     label = nodes.select("id", F.col("id").alias("community")).distinct()
-    before = None
     for _ in range(levels):
-        step = cut(_level(links, resolution, rounds), "step")
+        step, gained = _level(links, resolution, least)
+        step = cut(step, "step")
         label = cut(label.join(step.select(F.col("id").alias("community"), F.col("community").alias("up")), "community", "left").select("id", F.coalesce("up", "community").alias("community")), "label")
+        if gained < least:
+            break
         side = lambda a, b: step.select(F.col("id").alias(a), F.col("community").alias(b))  # noqa: B023, E731
         links = cut(links.join(side("src", "s"), "src").join(side("dst", "d"), "dst").groupBy(F.col("s").alias("src"), F.col("d").alias("dst")).agg(F.sum("w").alias("w")), "links")
-        count = step.select("community").distinct().count()
-        if count == before or count <= 1:
-            break
-        before = count
     return label
 
 

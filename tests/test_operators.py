@@ -170,6 +170,20 @@ def test_communities_find_two_cliques(spark):
     assert kept["a1"] == 5 and kept["b1"] == 9 and kept["alone"] == 0
 
 
+def test_louvain_runs_until_modularity_stands_still(spark):
+    """A ring of 2,000 nodes takes more than three levels to come near its best modularity, that of some 45 equal arcs."""
+    n = 2000
+    names = [f"n{i:04}" for i in range(n)]
+    pairs = [(names[i], names[(i + 1) % n]) for i in range(n)]
+    got = {r.id: r.community for r in C.louvain(ids(spark, names), edges(spark, pairs)).collect()}
+    size = {}
+    for x in got:
+        size[got[x]] = size.get(got[x], 0) + 1
+    value = sum(got[a] == got[b] for a, b in pairs) / n - sum(k * k for k in size.values()) / n**2
+    best = max(1 - k / n - 1 / k for k in range(2, n))
+    assert value > best - 0.02, (value, best, len(size))
+
+
 PAIRS = [("manager", "managr"), ("martha", "marhta"), ("dixon", "dicksonx"), ("", "a"), ("same", "same"), ("ca", "abc"), ("abcd", "badc")]
 
 
