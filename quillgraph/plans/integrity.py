@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.hierarchy import containment_links, hierarchy, paths
+from quillgraph.operators.hierarchy import containment_links, descendants, hierarchy, paths
 from quillgraph.operators.references import missing_endpoints, orphan_report
 from quillgraph.session import cut, table
 
@@ -31,14 +31,19 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Path, parent, root, depth and number of descendants of each node; loops have no path."""
+    """Path, parent, root, depth, interval and number of descendants of each node; loops have no path and no interval."""
     tree = cut(_tree(spark, folder), "tree")
     return tree.join(paths(tree), "node_id", "left").select(
-        "node_id", "parent_id", "root_id", "depth", (F.col("exit") - F.col("entry") - 1).alias("descendants"), "path", "on_loop"
+        "node_id", "parent_id", "root_id", "depth", "entry", "exit", (F.col("exit") - F.col("entry") - 1).alias("descendants"), "path", "on_loop"
     )
 
 
-QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy}
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """All pairs of a node and a node below it, with their distance."""
+    return descendants(cut(_tree(spark, folder), "tree"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p5_found": p5_found, "p5_hierarchy": p5_hierarchy, "p5_descendants": p5_descendants}
 
 
 def canon(x: str) -> str:

@@ -64,3 +64,16 @@ def test_links_of_edges(spark):
     rows = [("A", "b", "contains"), ("c", "A", "Part-Of"), ("x", "y", "calls"), ("", "y", "contains"), (None, "y", "method"), ("A", "b", "contains")]
     df = spark.createDataFrame(rows, "source string, target string, relation string")
     assert sorted(map(tuple, H.containment_links(df).collect())) == [("b", "a"), ("c", "a")]
+
+
+def test_descendants_of_a_whole_table(spark, tmp_path):
+    from quillgraph.plans import integrity
+
+    links = [(f"n{i}", f"n{(i - 1) // 3}") for i in range(1, 60)] + [(f"c{i + 1}", f"c{i}") for i in range(40)] + [("l0", "l1"), ("l1", "l0")]
+    spark.createDataFrame([(p, c, "contains") for c, p in links], "source string, target string, relation string").write.parquet(f"{tmp_path}/edges.parquet")
+    want = brute(links)
+    pairs = {(a, k, len(v[2]) - 1 - v[2].index(a)) for k, v in want.items() if v[2] for a in v[2][:-1]}
+    rows = [tuple(r) for r in integrity.QUERIES["p5_descendants"](spark, str(tmp_path)).select("node_id", "descendant_id", "distance").collect()]
+    assert set(rows) == pairs and len(rows) == len(pairs)
+    tree = integrity.p5_hierarchy(spark, str(tmp_path)).collect()
+    assert all(r.exit - r.entry - 1 == r.descendants == sum(a == r.node_id for a, _, _ in pairs) for r in tree if not r.on_loop)
