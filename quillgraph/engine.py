@@ -87,7 +87,7 @@ class Engine:
         found = walks.shortest_paths(self.graph.edges, self._seeds(source), hops)
         return found.join(self._seeds(target).select("id"), "id", "left_semi").orderBy("depth", "path").limit(1)
 
-    def flow(self, source: str, sink: str, depth: int = 6) -> DataFrame:
+    def flow(self, source: str, sink: str, depth: int = 15) -> DataFrame:
         return walks.flows(self.graph, self._seeds(source).select("id"), self._seeds(sink).select("id"), depth, 50)
 
     def query(self, question: str, top: int = 20) -> DataFrame:

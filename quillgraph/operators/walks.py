@@ -90,7 +90,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, depth: int = 8) -> DataFr
     return reduce(DataFrame.unionByName, levels)
 
 
-def flows(graph: Graph, starts: DataFrame, sinks: DataFrame, depth: int = 4, per_start: int | None = None) -> DataFrame:
+def flows(graph: Graph, starts: DataFrame, sinks: DataFrame, depth: int = 15, per_start: int | None = None) -> DataFrame:
     """(start, sink, length, path): simple paths along forward relations from ``starts`` (id) to ``sinks`` (id), at most ``depth`` steps.
 
     Only nodes that can still reach a sink in the steps left are walked to. ``per_start`` keeps the shortest, then least paths.

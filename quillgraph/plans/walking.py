@@ -100,18 +100,37 @@ def all_implementations(spark: SparkSession, folder: str) -> DataFrame:
     return W.implementations(_graph(spark, folder).edges)
 
 
-def execution_flows(spark: SparkSession, folder: str) -> DataFrame:
+def _execution_flows(spark: SparkSession, folder: str, depth: int) -> DataFrame:
     g = _graph(spark, folder)
     kind = g.nodes.select("id", P.node_category(F.col("label"), F.col("id"), F.col("node_kind"), F.col("source_file")).alias("category"))
     starts, sinks = (kind.where(F.col("category").isin(*c)).select("id") for c in (P.ENTRY_CATEGORIES, P.SINK_CATEGORIES))
-    return W.flows(g, starts, sinks, 3).select("start", "sink", "length", F.array_join("path", ">").alias("path"))
+    return W.flows(g, starts, sinks, depth).select("start", "sink", "length", F.array_join("path", ">").alias("path"))
 
 
-def method_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """Simple forward paths of at most three steps from headings to packages' resources."""
+def _method_flows(spark: SparkSession, folder: str, depth: int) -> DataFrame:
     g = _graph(spark, folder)
     starts, sinks = (g.nodes.where(F.col("node_kind") == k).select("id") for k in ("heading", "resource"))
-    return W.flows(g, starts, sinks, 3).select("start", "sink", "length", F.array_join("path", ">").alias("path"))
+    return W.flows(g, starts, sinks, depth).select("start", "sink", "length", F.array_join("path", ">").alias("path"))
+
+
+def execution_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Simple forward paths of at most three steps from entries to sinks, as its SQL has them; ``all_execution_flows`` goes 15 deep."""
+    return _execution_flows(spark, folder, 3)
+
+
+def all_execution_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """All simple forward paths of at most 15 steps from entries to sinks. Their number grows about 2.6 times with each step."""
+    return _execution_flows(spark, folder, 15)
+
+
+def method_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """Simple forward paths of at most three steps from headings to packages' resources, as its SQL has them; ``all_method_flows`` goes 15 deep."""
+    return _method_flows(spark, folder, 3)
+
+
+def all_method_flows(spark: SparkSession, folder: str) -> DataFrame:
+    """All simple forward paths of at most 15 steps from headings to packages' resources."""
+    return _method_flows(spark, folder, 15)
 
 
 def page_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -233,7 +252,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     callers, references_elsewhere, neighbourhood, neighbourhood_gated, neighbourhood_edges, affected, impact_closure, impact_scores, shortest_paths, implementations, all_implementations,
-    execution_flows, method_flows, page_rank, personal_rank, components, central_nodes, central_edges, label_communities, communities, community_overlaps, keywords, node_keywords,
+    execution_flows, all_execution_flows, method_flows, all_method_flows, page_rank, personal_rank, components, central_nodes, central_edges, label_communities, communities, community_overlaps, keywords, node_keywords,
     vocabulary, label_subtokens, label_entropy, term_idf, bm25, bm25_top, substring_search, fuzzy_terms, label_scores, search_seeds, node_lookup, hybrid_search,
 )}
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import os
 import random
 
 import pytest
@@ -141,6 +142,28 @@ def test_flows_and_shortest_paths(spark):
     assert paths == {"a": "a", "b": "ab", "c": "ac", "d": "ad"}
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_all_method_flows_go_15_deep(spark):
+    from quillgraph.functions import vocabulary as V
+    from quillgraph.plans import walking
+    from quillgraph.plans.graphs import code_graph
+
+    g = code_graph(spark, "/root/testdata/sf0.001")
+    kind = {r.id: r.node_kind for r in g.nodes.select("id", "node_kind").collect()}
+    out = {}
+    for r in g.edges.where(F.col("relation").isin(*V.FORWARD, "") & (F.col("src") != F.col("dst"))).select("src", "dst").distinct().collect():
+        out.setdefault(r.src, []).append(r.dst)
+    want, stack = set(), [(x,) for x in kind if kind[x] == "heading"]
+    while stack:
+        path = stack.pop()
+        if len(path) > 1 and kind[path[-1]] == "resource":
+            want.add(">".join(path))
+        if len(path) <= 15:
+            stack += [(*path, y) for y in out.get(path[-1], ()) if y not in path]
+    rows = walking.all_method_flows(spark, "/root/testdata/sf0.001").collect()
+    assert {r.path for r in rows} == want and len(rows) == len(want) and max(r.length for r in rows) == 15
+
+
 def test_implementations_of_every_type(spark):
     chain = [(f"t{i + 1}", f"t{i}") for i in range(40)]
     pairs = [*chain, *((f"x{i}", f"y{i}") for i in range(30)), ("l1", "l2"), ("l2", "l1"), ("self", "self")]
