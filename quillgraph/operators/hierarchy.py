@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import canonical_id, filled
-from quillgraph.operators.skew import prefix_sums
-from quillgraph.session import cut
+from quillgraph.operators.skew import hot_codes, is_one_of
+from quillgraph.session import cut, cut_counted, partitions
 
 # Relations that say that one node lies inside another, by the end that is the parent.
 PARENT_IS_SOURCE = ("contains", "method", "parent_of", "has_part")
 PARENT_IS_TARGET = ("part_of",)
 
-TREE_SCHEMA = "code bigint, root bigint, depth int, entry bigint, size bigint, looped boolean"
-
-
-def containment_links(edges: DataFrame) -> DataFrame:
-    """(child, parent): distinct canonical ids of the edges that place one node inside another, both endpoints non-blank."""
+def containment_rows(edges: DataFrame) -> DataFrame:
+    """(child, parent): canonical ids of each edge that places one node inside another, both endpoints non-blank."""
     relation = canonical_id(F.col("relation"))
     rows = edges.select("source", "target", relation.alias("relation")).where(
         F.col("relation").isin(*PARENT_IS_SOURCE, *PARENT_IS_TARGET) & filled(F.col("source")) & filled(F.col("target"))
@@ -31,183 +24,142 @@ def containment_links(edges: DataFrame) -> DataFrame:
     up = F.col("relation").isin(*PARENT_IS_TARGET)
     rows = rows.select(F.when(up, F.col("source")).otherwise(F.col("target")).alias("c"), F.when(up, F.col("target")).otherwise(F.col("source")).alias("p"))
     links = rows.select(canonical_id(F.col("c")).alias("child"), canonical_id(F.col("p")).alias("parent"))
-    return links.where("child != '' and parent != ''").distinct()
+    return links.where("child != '' and parent != ''")
 
 
-def _codes(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(code, id) of all nodes and (child, parent) codes; a seed is taken under which no two ids share a code."""
-    ids = cut(links.select(F.col("child").alias("id")).unionByName(links.select(F.col("parent").alias("id"))).distinct(), "ids")
-    for seed in range(8):
-        code = lambda c: F.xxhash64(F.col(c), F.lit(seed))  # noqa: B023, E731
-        names = ids.select(code("id").alias("code"), "id")
-        if names.groupBy("code").count().where("count > 1").isEmpty():
-            return names, links.groupBy(code("child").alias("c")).agg(F.min("parent").alias("parent")).select("c", code("parent").alias("p"))
-    raise ValueError("no seed without collisions")
+def containment_links(edges: DataFrame) -> DataFrame:
+    """The distinct rows of :func:`containment_rows`."""
+    return containment_rows(edges).distinct()
 
 
-def _peel(pairs: DataFrame, least_shrink: float) -> tuple[list[DataFrame], DataFrame]:
-    """Take leaves away, round after round: the layers (code, parent, w, at) and what is left, (code, parent, w).
+def _coded(links: DataFrame) -> DataFrame:
+    """(c, id, p, parent) of all nodes, roots with null p and parent. Codes are numbers given once to the distinct ids, so they cannot collide.
 
-    ``w`` counts the node and all that was peeled below it, ``at`` is the place of a leaf's interval behind its parent's
-    entry. It ends when no leaf is left (what is left then lies on loops) or when a round takes less than
-    ``least_shrink`` of the rest (long chains, which list ranking shortens faster).
+    A parent that very many children name is spread over salts where they look its code up.
+    """
+    kids = cut(links.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent")), "kids")
+    roots = kids.select(F.col("parent").alias("id")).distinct().join(kids.select("id"), "id", "left_anti")
+    nodes = kids.unionByName(roots.withColumn("parent", F.lit(None).cast("string")))
+    nodes, total = cut_counted(nodes.withColumn("c", F.monotonically_increasing_id()), "nodes")
+    salts = max(2, partitions(links.sparkSession))
+    named = nodes.where("parent is not null")
+    hot = hot_codes(named.select(F.xxhash64("parent").alias("h")), "h", total)
+    is_hot = lambda c: is_one_of(F.xxhash64(c), hot)
+    asked = named.withColumn("salt", F.when(is_hot("parent"), F.pmod(F.col("c"), F.lit(salts)).cast("int")).otherwise(0))
+    spread = F.explode(F.when(is_hot("id"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    codes = nodes.select(F.col("id").alias("parent"), F.col("c").alias("p"), spread.alias("salt"))
+    found = asked.join(codes, ["parent", "salt"]).select("c", "id", "p", "parent")
+    tops = nodes.where("parent is null").select("c", "id", F.lit(None).cast("bigint").alias("p"), "parent")
+    return cut(found.unionByName(tops), "coded")
+
+
+def _loops(pairs: DataFrame) -> DataFrame:
+    """(c): the nodes on loops, from all (c, p): what is left when leaves are peeled until there is none.
+
+    After each peel the rest points to its grandparents instead, so even a long chain is gone in about log2 of its
+    length rounds; a loop stays a loop (or falls into shorter ones) and cannot be peeled.
     """
-    roots = pairs.select(F.col("p").alias("c")).join(pairs.select("c"), "c", "left_anti").distinct()
-    live = pairs.unionByName(roots.withColumn("p", F.lit(None).cast("bigint"))).withColumn("w", F.lit(1).cast("bigint"))
-    layers: list[DataFrame] = []
+    live, before = pairs.select("c", "p"), -1
     while True:
-        inner = live.where("p is not null").select(F.col("p").alias("c")).distinct().withColumn("inner", F.lit(True))
-        state = cut(live.join(inner, "c", "left").select("c", "p", "w", F.coalesce("inner", F.lit(False)).alias("inner")), "peel")
-        count = {r["inner"]: r["count"] for r in state.groupBy("inner").count().collect()}
-        leaves, rest = state.where("not inner").drop("inner"), state.where("inner").drop("inner")
-        left, gone = count.get(True, 0), count.get(False, 0)
-        if not gone or (left and gone < least_shrink * (left + gone)):
-            return layers, state.drop("inner")
-        sums = leaves.where("p is not null").groupBy(F.col("p").alias("c")).agg(F.sum("w").alias("more"))
-        placed = prefix_sums(leaves, ["p"], "c", "w", "before")
-        base = rest.select(F.col("c").alias("p"), F.col("w").alias("base"))
-        layers.append(placed.join(base, "p", "left").select("c", "p", "w", (F.coalesce("base", F.lit(0)) + F.col("before")).alias("at")))
-        if not left:
-            return layers, rest
-        live = rest.join(sums, "c", "left").select("c", "p", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
-
-
-def _tour(core: DataFrame, buckets: int = 64) -> DataFrame:
-    """The Euler tour of each tree of ``core`` (c, p, w) as a linked list of arcs (arc, next, root, w, step).
-
-    An arc is (child code, going down or up); arcs that end a tour have no ``next`` and carry its ``root``. Siblings are
-    chained inside hash buckets, and only the buckets' first members meet, so a node with very many children is no hot spot.
+        inner = live.where("p is not null").select(F.col("p").alias("c")).distinct()
+        rest = live.join(inner, "c", "left_semi")
+        jumped = rest.join(rest.select(F.col("c").alias("p"), F.col("p").alias("p2")), "p", "left").select("c", F.col("p2").alias("p"))
+        live, n = cut_counted(jumped, "peeled")
+        if n in (0, before):
+            return live.select("c")
+        before = n
+
+
+def euler_tours(forest: DataFrame, total: int, buckets: int = 64) -> DataFrame:
+    """The Euler tours of ``forest`` (c, id, p; roots have null p), ``total`` rows, as linked lists (arc, next, root, place, step).
+
+    A node with children is entered by arc 2c and left by arc 2c + 1, a leaf is both at once in arc 2c. The last arc of
+    a tour has null ``next`` and carries the code of its ``root``. ``place`` counts nodes that are left, ``step`` goes
+    down and up. Siblings follow one another from the largest id to the smallest; those of a parent that holds a large
+    part of all rows are chained in hash buckets first, and only the buckets' ends meet.
     """
-    kids = core.where("p is not null").withColumn("b", F.pmod(F.xxhash64(F.col("c"), F.lit(11)), F.lit(buckets)).cast("int"))
-    firsts = kids.groupBy("p", "b").agg(F.min("c").alias("first"))
-    firsts = firsts.withColumn("following", F.lead("first").over(Window.partitionBy("p").orderBy("b")))
-    sibling = F.lead("c").over(Window.partitionBy("p", "b").orderBy("c"))
-    chained = kids.withColumn("s", sibling).join(firsts, ["p", "b"]).select("c", "p", "w", F.coalesce("s", "following").alias("sibling"))
-    heads = firsts.groupBy(F.col("p").alias("c")).agg(F.min_by("first", "b").alias("child"))
-    tops = core.where("p is null").select(F.col("c").alias("p"), F.lit(True).alias("top"))
-    full = chained.join(heads, "c", "left").join(tops, "p", "left")
-    arc = lambda c, up: F.struct(F.col(c).alias("c"), F.lit(up).alias("up"))
-    down = F.struct(
-        arc("c", False).alias("arc"), F.when(F.col("child").isNotNull(), arc("child", False)).otherwise(arc("c", True)).alias("next"),
-        F.lit(None).cast("bigint").alias("root"), F.col("w"), F.lit(1).cast("bigint").alias("step"),
-    )
-    over = F.col("sibling").isNull() & F.coalesce("top", F.lit(False))
-    up = F.struct(
-        arc("c", True).alias("arc"),
-        F.when(F.col("sibling").isNotNull(), arc("sibling", False)).when(~over, arc("p", True)).alias("next"),
-        F.when(over, F.col("p")).alias("root"), F.lit(0).cast("bigint").alias("w"), F.lit(-1).cast("bigint").alias("step"),
-    )
-    return full.select(F.explode(F.array(down, up)).alias("x")).select("x.*")
+    kids = forest.where("p is not null").select("c", "id", "p")
+    hot = is_one_of(F.col("p"), hot_codes(kids, "p", total))
+    kids = kids.withColumn("b", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")).otherwise(0))
+    by_id = Window.partitionBy("p", "b").orderBy(F.desc("id"))
+    kids = kids.withColumn("sibling", F.lead("c").over(by_id)).withColumn("first", F.row_number().over(by_id) == 1)
+    kids = cut(kids.select("c", "p", "b", "sibling", "first"), "siblings")
+    starts = kids.where("first").select("p", "b", F.col("c").alias("start"))
+    heads = starts.groupBy(F.col("p").alias("c")).agg(F.max_by("start", "b").alias("child"))
+    chained = starts.where(hot).withColumn("following", F.lead("start").over(Window.partitionBy("p").orderBy(F.desc("b")))).select("p", "b", "following")
+    ends = kids.where(F.col("sibling").isNull() & hot).join(F.broadcast(chained), ["p", "b"]).select("c", "p", F.col("following").alias("sibling"))
+    linked = kids.where(F.col("sibling").isNotNull() | ~hot).select("c", "p", "sibling").unionByName(ends)
+    none = F.lit(None).cast("bigint")
+    linked = linked.unionByName(forest.where("p is null").select("c", "p", none.alias("sibling"))).join(heads, "c", "left")
+    arc = lambda a, n, root, place, step: F.struct(a.alias("arc"), n.alias("next"), root.alias("root"), F.lit(place).cast("bigint").alias("place"), F.lit(step).cast("bigint").alias("step"))
+    after = F.coalesce(2 * F.col("sibling"), 2 * F.col("p") + 1)
+    root = F.when(F.col("p").isNull(), F.col("c"))
+    enter, leave = 2 * F.col("c"), 2 * F.col("c") + 1
+    arcs = F.when(F.col("child").isNull(), F.array(arc(enter, after, root, 1, 0))).otherwise(
+        F.array(arc(enter, 2 * F.col("child"), none, 0, 1), arc(leave, after, root, 1, -1))
+    )
+    return linked.select(F.explode(arcs).alias("x")).select("x.*")
 
 
-def _rank(tour: DataFrame, arcs: int, local_arcs: int) -> DataFrame:
-    """List ranking by pointer doubling: for each arc the sums of ``w`` and ``step`` from it to the end of its tour, and the root.
+def list_ranks(tours: DataFrame, sparse: int = 32, level: int = 0) -> DataFrame:
+    """(arc, root, place, step) of ``tours`` (arc, next, root, place, step): the sums from each arc to the end of its list, and the root there.
 
-    Arcs on tours without an end (their tree hangs on a loop) keep root null. Up to ``local_arcs`` arcs, which one task
-    holds easily, are doubled in that task; beyond, each doubling is a join. Both give the same rows.
+    One arc in ``sparse``, told by a hash, is a ruler. All arcs double their pointers until these reach a ruler or the
+    end; arcs that have leave the rounds, so the work of a level is linear whatever the length of the lists. Then the
+    rulers alone are ranked as lists of their own, and each arc adds the ranks of its ruler. Every list must end.
     """
-    if arcs <= local_arcs:
-        flat = tour.select("arc.c", "arc.up", F.col("next.c").alias("nc"), F.col("next.up").alias("nu"), "root", "w", "step").coalesce(1)
-
-        def doubled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [b for b in batches if b.num_rows]
-            if not got:
-                return
-            t = pa.Table.from_batches(got)
-            c, nc, root, w, step = (t[x].combine_chunks().fill_null(0).to_numpy() for x in ("c", "nc", "root", "w", "step"))
-            up, nu = (t[x].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) for x in ("up", "nu"))
-            has = t["nc"].combine_chunks().is_valid().to_numpy(zero_copy_only=False)
-            w, step, nxt = w.copy(), step.copy(), np.full(len(c), -1)
-            nxt[has] = pd.MultiIndex.from_arrays([c, up]).get_indexer(pd.MultiIndex.from_arrays([nc[has], nu[has]]))
-            end = np.where(has, -1, np.arange(len(c)))
-            for _ in range(int(np.ceil(np.log2(max(2, len(c))))) + 1):
-                go = np.flatnonzero(nxt >= 0)
-                to = nxt[go]
-                w[go], step[go], end[go], nxt[go] = w[go] + w[to], step[go] + step[to], end[to], nxt[to]
-            roots = pa.array(root[end], mask=end < 0)
-            yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(up), roots, pa.array(w), pa.array(step)], ["c", "up", "root", "w", "step"])
-
-        done = flat.mapInArrow(doubled, "c bigint, up boolean, root bigint, w bigint, step bigint")
-        return done.select(F.struct("c", "up").alias("arc"), "root", "w", "step")
+    ruler = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(level)), F.lit(sparse)) == 0
+    going = F.col("next").isNotNull() & ~ruler("next")
+    state, left = cut_counted(tours, "arcs", going)
     finished: list[DataFrame] = []
-    open_, reach, stuck = cut(tour, "tour"), 1, -1
-    while True:
-        finished.append(open_.where("next is null").select("arc", "root", "w", "step"))
-        going = open_.where("next is not null")
-        left = going.count()
-        if not left or reach >= 2 * arcs or (reach >= left and stuck == left):
-            break
-        stuck, reach = left, 2 * reach
-        ends = reduce(DataFrame.unionByName, finished)
-        known = ends.select(F.col("arc").alias("next"), F.lit(None).cast("struct<c: bigint, up: boolean>").alias("n2"), F.col("root").alias("r2"), F.col("w").alias("w2"), F.col("step").alias("s2"))
-        known = known.unionByName(going.select(F.col("arc").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("w").alias("w2"), F.col("step").alias("s2")))
-        open_ = cut(
-            going.join(known, "next").select("arc", F.col("n2").alias("next"), F.col("r2").alias("root"), (F.col("w") + F.col("w2")).alias("w"), (F.col("step") + F.col("s2")).alias("step")),
-            "tour",
+    while left:
+        finished.append(state.where(~going))
+        reached = reduce(DataFrame.unionByName, [*finished, state.where(going)]).where(~ruler("arc"))
+        reached = reached.select(F.col("arc").alias("next"), F.col("next").alias("n2"), F.col("root").alias("r2"), F.col("place").alias("p2"), F.col("step").alias("s2"))
+        jumped = state.where(going).join(reached, "next").select(
+            "arc", F.col("n2").alias("next"), F.col("r2").alias("root"), (F.col("place") + F.col("p2")).alias("place"), (F.col("step") + F.col("s2")).alias("step")
         )
-    return reduce(DataFrame.unionByName, finished).unionByName(going.select("arc", F.lit(None).cast("bigint").alias("root"), "w", "step"))
-
-
-def _rank_core(core: DataFrame, nodes: int, local_arcs: int) -> DataFrame:
-    """TREE_SCHEMA rows of what peeling left, from the entry and exit of each node in its tree's Euler tour."""
-    ranked = _rank(_tour(core), 2 * nodes, local_arcs)
-    sides = ranked.groupBy(F.col("arc.c").alias("c")).agg(
-        F.max("root").alias("root"),
-        F.max(F.when(~F.col("arc.up"), F.col("w"))).alias("w_in"),
-        F.max(F.when(F.col("arc.up"), F.col("w"))).alias("w_out"),
-        F.max(F.when(~F.col("arc.up"), F.col("step"))).alias("step"),
-    )
-    sides = cut(sides, "ranked")
-    totals = sides.where("root is not null").groupBy("root").agg(F.max("w_in").alias("total"))
-    tops = core.where("p is null").select(F.col("c").alias("root"), F.col("w").alias("w_root")).join(totals, "root", "left")
-    below = sides.join(tops, "root", "left").select(
-        F.col("c").alias("code"), "root", F.when(F.col("root").isNull(), -1).otherwise(1 - F.col("step")).cast("int").alias("depth"),
-        F.when(F.col("root").isNotNull(), F.col("w_root") + F.col("total") - F.col("w_in")).alias("entry"),
-        F.when(F.col("root").isNotNull(), F.col("w_in") - F.col("w_out")).alias("size"), F.col("root").isNull().alias("looped"),
-    )
-    top = tops.select(
-        F.col("root").alias("code"), "root", F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("entry"),
-        (F.col("w_root") + F.coalesce("total", F.lit(0))).alias("size"), F.lit(False).alias("looped"),
-    )
-    return top.unionByName(below)
-
-
-def hierarchy(links: DataFrame, least_shrink: float = 0.1, local_arcs: int = 500_000) -> DataFrame:
+        state, left = cut_counted(jumped, "arcs", going)
+    rows = reduce(DataFrame.unionByName, [*finished, state])
+    ended = rows.where("next is null").select("arc", "root", "place", "step")
+    if rows.where("next is not null").isEmpty():
+        return ended
+    rulers = cut(list_ranks(rows.where(ruler("arc")), sparse, level + 1), "rulers")
+    onward = rulers.select(F.col("arc").alias("next"), F.col("root").alias("r2"), F.col("place").alias("p2"), F.col("step").alias("s2"))
+    others = rows.where(F.col("next").isNotNull() & ~ruler("arc")).join(onward, "next")
+    others = others.select("arc", F.col("r2").alias("root"), (F.col("place") + F.col("p2")).alias("place"), (F.col("step") + F.col("s2")).alias("step"))
+    return ended.where(~ruler("arc")).unionByName(others).unionByName(rulers)
+
+
+def hierarchy(links: DataFrame, sparse: int = 32) -> DataFrame:
     """(node_id, parent_id, root_id, depth, entry, exit, on_loop) for each node of ``links`` (child, parent).
 
-    Leaves are peeled in rounds while that shortens the rest quickly; loops cannot be peeled. What is left becomes Euler
-    tours, ranked in parallel, where loops show as tours without an end; then the layers get their places from their
-    parents. Within a root the descendants of a node are the nodes with ``entry`` in (entry, exit), so their number is
-    exit - entry - 1. Nodes on or below a loop have root_id '', depth -1 and no interval; ``on_loop`` is true for both.
+    Peeled leaves expose the loops. Loops are cut open, so that every node lies in a tree, and all trees become Euler
+    tours that are ranked in parallel: how many nodes are left from the arc on gives the interval, the steps give the
+    depth, the end of the tour the root. Nodes are numbered so that a parent comes before its children and smaller ids
+    come first (but for parents that hold a large part of all rows). Within a root the descendants of a node are the nodes
+    with ``entry`` in (entry, exit), so their number is exit - entry - 1. Nodes on or below a loop, that is in a tree whose
+    root was on one, have root_id '', depth -1 and no interval; ``on_loop`` is true for both.
 
     Null or blank ids are no nodes and repeated rows count once; a child with several parents keeps the smallest one; a
     node that is its own parent is a loop. An empty table gives no rows, and other columns are not read.
     """
-    links = cut(links.select("child", "parent").where(filled(F.col("child")) & filled(F.col("parent"))), "links")
-    names, pairs = _codes(links)
-    pairs = cut(pairs, "pairs")
-    layers, core = _peel(pairs, least_shrink)
-    left = core.count()
-    empty = links.sparkSession.createDataFrame([], TREE_SCHEMA)
-    done = [cut(_rank_core(core, left, local_arcs), "core")] if left else [empty]
-    for layer in reversed(layers):
-        above = reduce(DataFrame.unionByName, done).select(F.col("code").alias("p"), "root", "depth", "entry", "looped")
-        placed = layer.join(above, "p", "left").select(
-            F.col("c").alias("code"),
-            F.when(F.col("p").isNull(), F.col("c")).otherwise(F.col("root")).alias("root"),
-            F.when(F.col("p").isNull(), 0).when(F.col("looped"), -1).otherwise(F.col("depth") + 1).cast("int").alias("depth"),
-            F.when(F.col("p").isNull(), F.lit(0)).otherwise(F.col("entry") + F.col("at")).cast("bigint").alias("entry"),
-            F.when(~F.coalesce("looped", F.lit(False)), F.col("w")).alias("size"),
-            F.coalesce("looped", F.lit(False)).alias("looped"),
-        )
-        done.append(cut(placed, "layer"))
-    tree = reduce(DataFrame.unionByName, done)
-    of = lambda n, c: names.select(F.col("code").alias(c), F.col("id").alias(n))
-    rows = tree.join(pairs.select(F.col("c").alias("code"), F.col("p").alias("parent")), "code", "left")
-    rows = rows.join(of("node_id", "code"), "code").join(of("root_id", "root"), "root", "left").join(of("parent_id", "parent"), "parent", "left")
+    pairs = _coded(links.select("child", "parent").where(filled(F.col("child")) & filled(F.col("parent"))))
+    loops = _loops(pairs).withColumn("looped", F.lit(True))
+    forest = pairs.join(loops, "c", "left").select("c", "id", F.when(F.col("looped").isNull(), F.col("p")).alias("p"), F.coalesce("looped", F.lit(False)).alias("looped"))
+    forest, total = cut_counted(forest, "forest")
+    ranked = list_ranks(euler_tours(forest, total), sparse)
+    left = F.pmod(F.col("arc"), F.lit(2)) == 1
+    placed = ranked.groupBy(F.expr("shiftright(arc, 1)").alias("c")).agg(
+        F.max("root").alias("root"), F.max(F.when(~left, F.col("place"))).alias("from"), F.max(F.when(left, F.col("place"))).alias("to"), F.max(F.when(~left, -F.col("step"))).alias("depth")
+    )
+    tops = forest.where("p is null").select(F.col("c").alias("root"), F.col("id").alias("root_id"), "looped")
+    rows = pairs.select("c", F.col("id").alias("node_id"), F.col("parent").alias("parent_id")).join(placed, "c").join(tops, "root")
+    entry = F.coalesce("to", "from") - 1
+    of_tree = lambda x: F.when(~F.col("looped"), x)
     return rows.select(
-        "node_id", "parent_id", F.coalesce("root_id", F.lit("")).alias("root_id"), "depth", "entry",
-        (F.col("entry") + F.col("size")).alias("exit"), F.col("looped").alias("on_loop"),
+        "node_id", "parent_id", F.coalesce(of_tree(F.col("root_id")), F.lit("")).alias("root_id"), F.coalesce(of_tree(F.col("depth")), F.lit(-1)).cast("int").alias("depth"),
+        of_tree(entry).alias("entry"), of_tree(entry + F.coalesce(F.col("from") - F.col("to"), F.lit(0)) + 1).alias("exit"), F.col("looped").alias("on_loop"),
     )
 
 

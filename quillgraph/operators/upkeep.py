@@ -68,7 +68,8 @@ def lessons(signals: DataFrame, now: Column, half_life_days: float = 30.0, least
 
     ``signals`` (node, outcome, at): useful counts for a node, dead_end and corrected against it. With signals of both kinds
     the node is contested; with ``least`` good ones it is preferred, else tentative. With ``area``, a column, there is
-    a row for each area and one over all (null area) from the same pass.
+    a row for each area and one over all (null area) from the same pass. Scores are not rounded; verdicts take those below
+    half a millionth as even.
     """
     sign = F.when(F.col("outcome") == "useful", 1).when(F.col("outcome").isin("dead_end", "corrected"), -1)
     rows = signals.withColumn("sign", sign).where("sign is not null and node is not null")
@@ -78,8 +79,9 @@ def lessons(signals: DataFrame, now: Column, half_life_days: float = 30.0, least
     else:
         rows, keys, sets = rows.withColumn("area", F.col(area)), ["area", "node"], [["area", "node"], ["node"]]
     grouped = rows.groupBy(*keys) if sets is None else rows.groupingSets([[F.col(c) for c in s] for s in sets], *(F.col(c) for c in keys))
-    sums = grouped.agg(F.count_if(F.col("sign") > 0).alias("pos"), F.count_if(F.col("sign") < 0).alias("neg"), F.round(F.sum("weighed"), 6).alias("score"), F.max("at").alias("last"))
-    both = F.when(F.col("score") > 0, "contested: useful").when(F.col("score") < 0, "contested: dead end").otherwise("contested: even")
+    sums = grouped.agg(F.count_if(F.col("sign") > 0).alias("pos"), F.count_if(F.col("sign") < 0).alias("neg"), F.sum("weighed").alias("score"), F.max("at").alias("last"))
+    near = F.round("score", 6)
+    both = F.when(near > 0, "contested: useful").when(near < 0, "contested: dead end").otherwise("contested: even")
     verdict = F.when((F.col("pos") > 0) & (F.col("neg") > 0), both).when(F.col("pos") >= least, "preferred").when(F.col("pos") > 0, "tentative").otherwise("dead end")
     return sums.withColumn("verdict", verdict)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.operators.hierarchy import containment_links, descendants, hierarchy, paths
+from quillgraph.operators.hierarchy import containment_rows, descendants, hierarchy, paths
 from quillgraph.operators.references import missing_endpoints, orphan_report
 from quillgraph.session import cut, table
 
@@ -23,7 +23,7 @@ def p4_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _tree(spark: SparkSession, folder: str) -> DataFrame:
-    return hierarchy(containment_links(table(spark, folder, "edges")))
+    return hierarchy(containment_rows(table(spark, folder, "edges")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,4 +90,15 @@ ORACLES = {
       r AS (SELECT side, relation, strftime(extracted_at, '%Y-%m') AS month, count(DISTINCT edge_id) AS refs FROM refs GROUP BY ALL)
       SELECT 'edges' AS referring_table, side, relation, month, orphans, refs, orphans / refs AS share FROM o JOIN r USING (side, relation, month)""",
     "p5_found": f"WITH RECURSIVE {_LINKS} SELECT node_id, root_id, CAST(depth AS INTEGER) AS depth FROM tree",
+    "p5_hierarchy": f"""WITH RECURSIVE {_LINKS},
+      way AS (SELECT node AS node_id, list_reverse(seen) AS way FROM (
+                SELECT u.node, list_append(u.seen, u.top) AS seen FROM up u WHERE NOT u.looped AND u.top NOT IN (SELECT child FROM links))
+              UNION ALL SELECT DISTINCT parent, [parent] FROM links WHERE parent NOT IN (SELECT child FROM links)),
+      placed AS (SELECT node_id, way, row_number() OVER (PARTITION BY way[1] ORDER BY way) - 1 AS entry FROM way),
+      sizes AS (SELECT a AS node_id, count(*) AS size FROM (SELECT unnest(way) AS a FROM way) GROUP BY a)
+      SELECT t.node_id, l.parent AS parent_id, root_id, CAST(depth AS INTEGER) AS depth, entry, entry + size AS "exit", size - 1 AS descendants,
+             array_to_string(way, '/') AS path, depth < 0 AS on_loop
+      FROM tree t LEFT JOIN links l ON l.child = t.node_id LEFT JOIN placed p ON p.node_id = t.node_id LEFT JOIN sizes s ON s.node_id = t.node_id""",
+    "p5_descendants": f"""WITH RECURSIVE {_LINKS}
+      SELECT u.top AS node_id, u.node AS descendant_id, CAST(u.k AS INTEGER) AS distance FROM up u JOIN tree t ON t.node_id = u.node WHERE t.depth > 0""",
 }

@@ -291,8 +291,8 @@ ORACLES = {
         AND name NOT IN {listed(V.ENTRY_NAMES)} AND NOT (starts_with(file, 'test_') OR ends_with(file, '_test.py') OR contains(sf, '/tests/') OR contains(sf, '/test/') OR starts_with(name, 'test_'))
         AND id NOT IN (SELECT dst FROM e0 WHERE src <> dst AND relation IN {listed(V.DEAD_CODE_INBOUND)})""",
     "lessons": f"""WITH s AS (SELECT strftime(ts, '%a') AS area, 'user:' || user_id AS node, CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 END AS sign, {_DECAY} AS w FROM events),
-      g AS (SELECT area, node, count(*) FILTER (sign > 0) AS pos, count(*) FILTER (sign < 0) AS neg, round(sum(sign * w), 6) AS score FROM s WHERE sign IS NOT NULL GROUP BY GROUPING SETS ((area, node), (node)))
-      SELECT area, node, pos, neg, round(score, 5) + 0.0 AS score, CASE WHEN pos > 0 AND neg > 0 THEN 'contested: ' || CASE WHEN score > 0 THEN 'useful' WHEN score < 0 THEN 'dead end' ELSE 'even' END
+      g AS (SELECT area, node, count(*) FILTER (sign > 0) AS pos, count(*) FILTER (sign < 0) AS neg, sum(sign * w) AS score FROM s WHERE sign IS NOT NULL GROUP BY GROUPING SETS ((area, node), (node)))
+      SELECT area, node, pos, neg, round(score, 5) + 0.0 AS score, CASE WHEN pos > 0 AND neg > 0 THEN 'contested: ' || CASE WHEN round(score, 6) > 0 THEN 'useful' WHEN round(score, 6) < 0 THEN 'dead end' ELSE 'even' END
         WHEN pos >= 2 THEN 'preferred' WHEN pos > 0 THEN 'tentative' ELSE 'dead end' END AS verdict FROM g""",
     "running_lessons": """SELECT 'user:' || user_id AS node, round(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * power(2.0, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0 / 30.0)), 4) AS grown FROM events GROUP BY ALL""",
     "touched_nodes": f"""WITH {NODES}, {EDGES}, h AS (SELECT edge_id AS diff_id, source_file AS a, {_LINE} AS first FROM e0 WHERE source_file IS NOT NULL),

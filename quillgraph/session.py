@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -56,6 +57,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows (of those with ``where``), counted while they are written.
+
+    Rows of a stage that ran again may count twice, so zero is exact and other numbers are upper bounds.
+    """
+    seen = Observation()
+    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
+    out = cut(df.observe(seen, counted.alias("n")), name)
+    return out, int((seen.get or {}).get("n") or 0)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables written by :func:`cut` that nothing reads any more."""
     for df in tables:

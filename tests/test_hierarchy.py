@@ -38,10 +38,10 @@ def shapes():
     yield "empty", []
 
 
-@pytest.mark.parametrize("local_arcs", [0, 500_000])
+@pytest.mark.parametrize("sparse", [3, 32])
 @pytest.mark.parametrize("name,links", list(shapes()))
-def test_against_brute_force(spark, name, links, local_arcs):
-    tree, rows = tree_of(spark, links, local_arcs=local_arcs, least_shrink=0.2)
+def test_against_brute_force(spark, name, links, sparse):
+    tree, rows = tree_of(spark, links, sparse=sparse)
     want = brute(links)
     assert {k: (r.root_id, r.depth) for k, r in rows.items()} == {k: v[:2] for k, v in want.items()}
     for k, r in rows.items():
@@ -51,6 +51,57 @@ def test_against_brute_force(spark, name, links, local_arcs):
             assert all(r.entry <= rows[x].entry < r.exit for x in inside)
 
 
+def walk(links):
+    """Places at which each acyclic node is left and entered in a depth-first walk, largest ids first, by plain recursion."""
+    parent = {}
+    for c, p in links:
+        parent[c] = min(p, parent.get(c, p))
+    kids = {}
+    for c, p in parent.items():
+        kids.setdefault(p, []).append(c)
+    out = {}
+
+    def go(x, top, left, steps):
+        out[x] = [top, None, None, steps]
+        mine = left[0]
+        for k in sorted(kids.get(x, []), reverse=True):
+            go(k, top, left, steps + 1)
+        left[0] += 1
+        out[x][1:3] = left[0], left[0] - mine
+
+    for top in set(kids) - set(parent):
+        left = [0]
+        go(top, top, left, 0)
+    sizes = {t: s for x, (t, _, s, d) in out.items() if d == 0}
+    return {x: (t, sizes[t] - done, sizes[t] - done + size) for x, (t, done, size, _) in out.items()}
+
+
+@pytest.mark.parametrize("shape", ["random", "chain"])
+def test_every_acyclic_node_has_its_interval_from_the_tour(spark, shape):
+    links = dict(shapes())[shape]
+    df = spark.createDataFrame(links, "child string, parent string")
+    pairs = H._coded(df)
+    looped = {r.c for r in H._loops(pairs).collect()}
+    forest = pairs.where(~pairs.c.isin(list(looped))) if looped else pairs
+    arcs = H.euler_tours(forest, forest.count()).collect()
+    inner = {r.p for r in forest.collect() if r.p is not None}
+    assert {r.arc // 2 for r in arcs} == {r.c for r in forest.collect()}  # each node is in the list, leaves once and others twice
+    assert len({r.arc for r in arcs}) == len(arcs) == forest.count() + len(inner & {r.c for r in forest.collect()})
+    _, rows = tree_of(spark, links)
+    want = walk(links)
+    assert {k: (r.root_id, r.entry, r.exit) for k, r in rows.items() if not r.on_loop} == want
+
+
+def test_a_hot_parent_is_chained_in_buckets(spark):
+    df = spark.createDataFrame([(i, f"n{i:03}", 0 if i else None) for i in range(300)], "c bigint, id string, p bigint")
+    after = {r.arc: r.next for r in H.euler_tours(df, 300, buckets=8).collect()}
+    at, seen = after[0], []
+    while at != 1:
+        seen.append(at // 2)
+        at = after[at]
+    assert sorted(seen) == list(range(1, 300)) and after[1] is None and seen != sorted(seen, reverse=True)
+
+
 def test_paths_and_descendants(spark):
     links = [(f"n{i}", f"n{(i - 1) // 3}") for i in range(1, 60)]
     tree, _ = tree_of(spark, links)

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-FOLDER = os.environ.get("QUILLGRAPH_TESTDATA", "/root/testdata/sf0.001")
+FOLDER = os.environ.get("QUILLGRAPH_TESTDATA", "/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 SLOW = {"communities"}
 
