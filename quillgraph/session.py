@@ -46,11 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[context.applicationId]
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the plan restarts there, and the rows survive lost executors."""
+def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the plan restarts there, and the rows survive lost executors.
+
+    With ``by`` there is a folder for each value of that column, and a filter on it reads no other.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
