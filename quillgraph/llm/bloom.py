@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -98,8 +99,12 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     return merged
 
 
-def may_repeat(hashes: DataFrame, bits: int) -> Callable[[str], Column]:
-    """A test for columns of hashes: false only for hashes that occur once in ``hashes``. The filter that goes to the executors has ``bits`` bits."""
+@contextmanager
+def may_repeat(hashes: DataFrame, bits: int) -> Iterator[Callable[[Column], Column]]:
+    """A test for columns of hashes: false only for hashes that occur once in ``hashes``.
+
+    The filter that goes to the executors has ``bits`` bits; it is dropped there at the end of the context.
+    """
     sent = hashes.sparkSession.sparkContext.broadcast(zlib.compress(repeat_filter(hashes, bits).tobytes(), 1))
     kept: dict[str, np.ndarray] = {}
 
@@ -109,4 +114,5 @@ def may_repeat(hashes: DataFrame, bits: int) -> Callable[[str], Column]:
             kept["f"] = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         return pd.Series(_has(kept["f"], positions(h.to_numpy(np.int64), bits)))
 
-    return test
+    yield test
+    sent.unpersist()

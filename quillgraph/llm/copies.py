@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.bloom import filter_bits, may_repeat
 from quillgraph.operators.skew import hot_codes, is_one_of
-from quillgraph.session import partitions
+from quillgraph.session import cut, partitions
+
+AT_ONCE = 4
 
 WORD = r"[\p{L}\p{N}_-]+"
 FIELD = rf"({WORD})\s*=\s*({WORD})"
@@ -36,12 +40,27 @@ def keyed(rows: DataFrame, tab: str, id_column: str, exact: Sequence[str] = (),
     return rows.select(F.lit(tab).alias("tab"), F.col(id_column).cast("bigint").alias("id"), F.when(filled, key).alias("key"))
 
 
-def _slices(rows: DataFrame, count: int, per_key: int, most_bits: int) -> list[tuple[DataFrame, int]]:
-    """The keyed rows with their hash, in as many hash ranges as it takes to keep each range's filter under ``most_bits``."""
-    rows = rows.where("key is not null").withColumn("h", F.xxhash64("tab", "key"))
+def _judged(rows: DataFrame, count: int, per_key: int, most_bits: int) -> DataFrame:
+    """(tab, id, key, h, again) of the rows with a key: ``again`` is false for rows whose hash occurs once, and then ``key`` is null.
+
+    The keyed rows are written once, split by hash into as many parts as it takes to keep each part's filter under
+    ``most_bits``, without a shuffle. Each part builds its filter from its own rows and tests them against it, a few
+    parts at a time; so each row is read twice and no more, whatever the number of parts.
+    """
     n = max(1, -(-count * per_key // most_bits))
     bits = filter_bits(-(-count // n), per_key, most_bits)
-    return [(rows if n == 1 else rows.where(F.pmod(F.col("h"), F.lit(n)) == i), bits) for i in range(n)]
+    rows = rows.where("key is not null").withColumn("h", F.xxhash64("tab", "key"))
+    rows = cut(rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(n)).cast("int")), "keyed", by="part")
+
+    def judge(i: int) -> DataFrame:
+        part = rows.where(F.col("part") == i).drop("part")
+        with may_repeat(part.select("h"), bits) as test:
+            again = part.withColumn("again", test(F.col("h")))
+            return cut(again.withColumn("key", F.when(F.col("again"), F.col("key"))), "judged")
+
+    with ThreadPoolExecutor(min(n, AT_ONCE)) as pool:
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(judge), range(n)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _groups(repeats: DataFrame) -> DataFrame:
@@ -56,27 +75,22 @@ def found_copies(rows: DataFrame, count: int, per_key: int = 16, most_bits: int
     a large part of the rows is spread over salts where its members meet its smallest id. Null keys are in no group,
     repeated (tab, id) rows with the same key give repeated copies except of the smallest id, an empty table gives no rows.
     """
-    out = []
-    for part, bits in _slices(rows, count, per_key, most_bits):
-        repeats = part.where(may_repeat(part.select("h"), bits)(F.col("h")))
-        salts = max(2, partitions(rows.sparkSession))
-        hot = is_one_of(F.col("h"), hot_codes(repeats.select("h"), "h", count))
-        members = repeats.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0))
-        groups = _groups(repeats).where("copies > 1").withColumn("h", F.xxhash64("tab", "key"))
-        groups = groups.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
-        joined = members.join(groups.drop("h"), ["tab", "key", "salt"])
-        out.append(joined.where("id > kept_id").select("tab", "kept_id", F.col("id").alias("copy_id")))
-    return reduce(DataFrame.unionByName, out)
+    repeats = _judged(rows, count, per_key, most_bits).where("again")
+    salts = max(2, partitions(rows.sparkSession))
+    hot = is_one_of(F.col("h"), hot_codes(repeats.select("h"), "h", count))
+    members = repeats.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")).otherwise(0)).drop("h", "again")
+    groups = _groups(repeats).where("copies > 1").withColumn("h", F.xxhash64("tab", "key"))
+    groups = groups.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    joined = members.join(groups.drop("h"), ["tab", "key", "salt"])
+    return joined.where("id > kept_id").select("tab", "kept_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(rows: DataFrame, count: int, per_key: int = 16, most_bits: int = 1 << 28) -> DataFrame:
     """(tab, kept_id, copies): one row for each record, with the number of rows it stands for. Rows with a null key stand for themselves.
 
-    Rows that the filter tells to be singletons are given out where they were read.
+    Rows that the filter tells to be singletons are not shuffled.
     """
-    out = [rows.where("key is null").select("tab", F.col("id").alias("kept_id"), F.lit(1).cast("bigint").alias("copies"))]
-    for part, bits in _slices(rows, count, per_key, most_bits):
-        marked = part.withColumn("again", may_repeat(part.select("h"), bits)(F.col("h")))
-        out.append(marked.where("not again").select("tab", F.col("id").alias("kept_id"), F.lit(1).cast("bigint").alias("copies")))
-        out.append(_groups(marked.where("again")).select("tab", "kept_id", "copies"))
-    return reduce(DataFrame.unionByName, out)
+    judged = _judged(rows, count, per_key, most_bits)
+    single = rows.where("key is null").select("tab", "id").unionByName(judged.where("not again").select("tab", "id"))
+    single = single.select("tab", F.col("id").alias("kept_id"), F.lit(1).cast("bigint").alias("copies"))
+    return single.unionByName(_groups(judged.where("again")).select("tab", "kept_id", "copies"))

@@ -54,3 +54,22 @@ def test_statistics_as_in_python(spark, seed):
     assert row.longest_line == max(map(len, text.split("\n")))
     assert row.space == pytest.approx(sum(c.isspace() for c in text) / len(text))
     assert row.numbers == pytest.approx(sum(map(len, re.findall(H.NUMBER, text))) / len(text))
+
+
+def test_layout_alone_tells_minified_and_data_in_each_language(spark):
+    numbers, blob = "T = [" + ",".join(str(i * 7919 % 10007) for i in range(400)) + "]", "B = '" + "aGVsbG8gd29ybGQ9" * 40 + "'"
+    prose = "A plain line of words that somebody wrote, with blanks between them.\n" * 8
+    nodes = []
+    for name, (endings, _) in H.LANGUAGES.items():
+        end = endings[0] if endings else "xyz"
+        nodes += [(f"a/{name}_min_text.{end}", MINIFIED), (f"a/{name}_numbers.{end}", numbers), (f"a/{name}_coded.{end}", blob), (f"a/{name}_code.{end}", CODE * 3), (f"a/{name}_prose.{end}", prose)]
+    n = spark.createDataFrame(nodes, "source_path string, content string")
+    got = {r.source_path: r for r in H.machine_made(n.select("source_path"), n).collect()}
+    assert all(r.by_layout and not r.by_mark and not r.by_path for r in got.values())
+    assert {p: ("minified" if r.minified else "data") for p, r in got.items()} == {p: ("minified" if "min_text" in p else "data") for p, _ in nodes if "_code." not in p and "prose" not in p}
+
+
+def test_profile_by_language(spark):
+    n = spark.createDataFrame([("a.py", CODE * 2), ("b.py", CODE * 3), ("c.js", MINIFIED), (None, CODE), ("d.go", None)], "source_path string, content string")
+    got = {r.language: r for r in H.language_profile(n).collect()}
+    assert got["python"].texts == 2 and got["javascript"].mean_line[1] > 500 > got["python"].mean_line[1]
