@@ -3,33 +3,22 @@
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import canonical_id
-from quillgraph.session import cut
-
-# A few words of each subject in English, German and Spanish, from which the lexicon grows.
-SEEDS = {
-    "cooking": "whisk garlic broth simmer oven dough recipe saucepan flour vinegar stew pastry hefe teig pfanne rezept horno receta harina",
-    "education": "tutor curriculum lecture diploma homework semester classroom syllabus exam teacher pupil lehrplan schüler prüfung alumno examen aula",
-    "finance": "bank dividend creditor deposit portfolio mortgage liquidity payroll equity interest treasury kredit bilanz zinssatz hipoteca crédito factura",
-    "law": "tribunal statute contract plaintiff verdict jurisdiction testimony injunction subpoena affidavit bailiff gericht klage vertrag juicio sentencia demanda",
-    "medicine": "infection diagnosis patient biopsy therapy vaccine antibiotic nurse surgery symptom clinic fieber klinik impfstoff fiebre paciente vacuna",
-    "music": "album rhythm choir violin melody octave orchestra soprano concert ballad harmony chor geige melodie orquesta violín ensayo",
-    "science": "photon electron isotope enzyme neutron wavelength telescope molecule chromosome galaxy mineral molekül elektron spektrum enzima molécula galaxia",
-    "software": "compiler runtime bytecode debugger container dependency namespace mutex middleware parser pipeline quelltext schnittstelle laufzeit compilador interfaz despliegue",
-    "sport": "tournament marathon referee stadium goalkeeper medal striker sprint playoff squad coach turnier torwart stadion árbitro portero torneo",
-    "transport": "airport freight railway locomotive passenger harbour highway ferry tram cargo runway autobahn hafen fahrplan puerto ferrocarril tranvía",
-}
+from quillgraph.session import cut, cut_counted
 
 ABSTAIN = 0
-VOTERS = ("lexicon", "address", "section", "source")
+VOTERS = ("lexicon", "address", "section", "about", "source")
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 CAMEL = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[A-ZÀ-ÖØ-Þ])")
 ADDRESS = re.compile(r"`[^`\n]*`|\S*[\w)]/\S+|\b\w+_\w+\b|\b[a-zà-ÿ]+[A-ZÀ-Þ]\w*\b")
@@ -44,7 +33,7 @@ def stem(word: str) -> str:
 
 
 def plain_words(text: str) -> list[str]:
-    return [stem(w) for w in WORD.findall(CAMEL.sub(" ", text).lower())]
+    return [stem(w.lower()) for w in WORD.findall(CAMEL.sub(" ", text))]
 
 
 def statements(text: str | None, title: str | None = None) -> list[tuple[int, str]]:
@@ -73,147 +62,250 @@ def statements(text: str | None, title: str | None = None) -> list[tuple[int, st
     return out
 
 
-def _scores(words: set[str], lexicon: dict[str, list[tuple[int, float]]], n: int) -> list[float]:
-    s = [0.0] * (n + 1)
-    for w in words:
-        for k, x in lexicon.get(w, ()):
-            s[k] += x
-    return s
+def word_code(word: str) -> int:
+    """A signed 64-bit hash of a word's stem."""
+    return int(np.uint64(xxhash.xxh64_intdigest(stem(word.lower()))).astype(np.int64))
 
 
-def _best(scores: list[float], least: float, lead: float) -> int:
-    """The subject that scores ``least`` and leads the next by ``lead``; place 0 of ``scores`` is unused."""
-    top = second = 0.0
-    first = ABSTAIN
-    for i, x in enumerate(scores):
-        if x > top:
-            first, top, second = i, x, top
-        elif x > second:
-            second = x
-    return first if top >= least and top - second >= lead else ABSTAIN
+PARSED = "row bigint, doc_id bigint, source string, sections array<int>, sizes array<int>, words array<bigint>, named array<int>, names array<bigint>, about array<bigint>"
 
 
-def _seed_lexicon(subjects: list[str], descriptions: dict[str, str]) -> dict[str, list[tuple[int, float]]]:
-    out: dict[str, list[tuple[int, float]]] = defaultdict(list)
-    for i, s in enumerate(subjects, 1):
-        for w in {stem(w) for w in (SEEDS.get(s) or descriptions.get(s) or s).split()}:
-            out[w].append((i, 2.0))
-    return dict(out)
+def parsed(docs: DataFrame) -> DataFrame:
+    """PARSED rows of ``docs`` (row, doc_id, text, title, source, about): the one pass over the texts.
 
+    For each statement of a text its section and the codes of its distinct words, those in prose (``words``, ``sizes`` of
+    each statement) apart from those in identifiers, paths and code spans (``names``, ``named``); ``about`` has the words of the title,
+    the repository and the node's address.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
 
-def _learn(docs: DataFrame, lexicon: dict[str, list[tuple[int, float]]], labels: dict[int, int], n: int, least_count: int, most_words: int):
-    """The lexicon, and the subject each source leans to, from how all statements would be voted on by the lexicon so far.
+        def codes(text: str) -> list[int]:
+            out = set()
+            for w in WORD.findall(CAMEL.sub(" ", text)):
+                c = known.get(w)
+                if c is None:
+                    if len(known) > 300_000:
+                        known.clear()
+                    c = known[w] = word_code(w)
+                out.add(c)
+            return sorted(out)
 
-    Words are counted with the subjects of their statements in each task and combined before the shuffle. Words whose
-    subjects stand out from the base rates stay, the ``most_words`` most frequent of them at most, each with its log lifts.
+        for batch in batches:
+            rows = []
+            for row, doc_id, text, title, source, about in zip(batch.row, batch.doc_id, batch.text, batch.title, batch.source, batch.about):
+                sections, sizes, words, named, names = [], [], [], [], []
+                for section, s in statements(text, title):
+                    address = ADDRESS.findall(s) if "`" in s or "/" in s or "_" in s or CAMEL.search(s) else ()
+                    prose = codes(ADDRESS.sub(" ", s) if address else s)
+                    spans = codes(" ".join(address)) if address else []
+                    sections.append(section)
+                    sizes.append(len(prose))
+                    words += prose
+                    named.append(len(spans))
+                    names += spans
+                rows.append((row, doc_id, source, sections, sizes, words, named, names, codes(about.replace("_", " ")) if about else []))
+            yield pd.DataFrame(rows, columns=["row", "doc_id", "source", "sections", "sizes", "words", "named", "names", "about"])
+
+    return docs.select("row", "doc_id", "text", "title", "source", "about").mapInPandas(parse, PARSED)
+
+
+class Lexicon(NamedTuple):
+    """Words with a weight for each subject: the table (word, weights), and its arrays if these are small enough to broadcast."""
+
+    table: DataFrame
+    sent: Broadcast | None
+
+
+def lexicon_of(rows: DataFrame, n: int, most_bytes: int) -> Lexicon:
+    """``rows`` (word, weights) written down; they are broadcast only if they take at most ``most_bytes``."""
+    table, count = cut_counted(rows, "lexicon")
+    if count * (8 + 4 * n) > most_bytes:
+        return Lexicon(table, None)
+    got = table.orderBy("word").collect()
+    arrays = np.array([r.word for r in got], np.int64), np.array([r.weights for r in got], np.float32).reshape(len(got), n)
+    return Lexicon(table, table.sparkSession.sparkContext.broadcast(arrays))
+
+
+def _equipped(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``docs`` (PARSED), each with the part of the lexicon that its words need (keys, values), where the lexicon is not broadcast."""
+    if lexicon.sent is not None:
+        return docs
+    asked = docs.select("row", F.explode(F.array_distinct(F.concat("words", "names", "about"))).alias("word"))
+    own = asked.join(lexicon.table, "word").groupBy("row").agg(F.collect_list(F.struct("word", "weights")).alias("own"))
+    own = own.select("row", F.col("own.word").alias("keys"), F.flatten(F.col("own.weights")).alias("values"))
+    return docs.join(own, "row", "left")
+
+
+def _flat(column: pd.Series, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists one after another, and the number of each list."""
+    lists = [x for x in column if x is not None]
+    sizes = np.fromiter((0 if x is None else len(x) for x in column), np.int64, len(column))
+    return (np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)), sizes
+
+
+def _arrays(batch: pd.DataFrame, sent: Broadcast | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted words and the weights that the batch's documents look up in."""
+    if sent is not None:
+        return sent.value
+    keys, at = np.unique(_flat(batch["keys"])[0], return_index=True)
+    return keys, _flat(batch["values"], np.float32)[0].reshape(-1, n)[at]
+
+
+def _scores(words: np.ndarray, sizes: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each of the groups that ``sizes`` cuts ``words`` into the sums of its words' weights, by subject."""
+    keys, weights = lexicon
+    if not len(keys):
+        return np.zeros((len(sizes), weights.shape[1]))
+    at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
+    hit = keys[at] == words
+    group, found = np.repeat(np.arange(len(sizes)), sizes)[hit], weights[at[hit]].astype(float)
+    return np.stack([np.bincount(group, weights=found[:, j], minlength=len(sizes)) for j in range(weights.shape[1])], axis=1)
+
+
+def _best(scores: np.ndarray, least: float, lead: float) -> np.ndarray:
+    """The subjects from 1 that score ``least`` and lead the next by ``lead``, else ABSTAIN."""
+    if not len(scores):
+        return np.zeros(0, np.int64)
+    ranked = np.sort(scores, axis=1)
+    second = ranked[:, -2] if scores.shape[1] > 1 else 0.0
+    return np.where((ranked[:, -1] >= least) & (ranked[:, -1] - second >= lead), scores.argmax(1) + 1, ABSTAIN)
+
+
+def _all_words(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word, statement) pairs of a batch, prose and names together, and the document of each statement."""
+    words, _ = _flat(batch.words)
+    names, _ = _flat(batch.names)
+    sizes, per_doc = _flat(batch.sizes)
+    named, _ = _flat(batch.named)
+    statement = np.arange(len(sizes))
+    return np.concatenate([words, names]), np.concatenate([np.repeat(statement, sizes), np.repeat(statement, named)]), np.repeat(np.arange(len(batch)), per_doc)
+
+
+def _sum(columns: list[Column]) -> Column:
+    return reduce(Column.__add__, columns)
+
+
+def _weights(counts: list[Column], prior: list[float], pseudo: float, share: float, lift: float) -> tuple[Column, Column]:
+    """(weights, whether any is above 0) of a word that goes ``counts`` times with each subject: its log lift times its share, where both stand out.
+
+    A subject that holds most of a corpus is taken to hold half of it, so that its words can stand out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, labels))
+    n, total, prior = len(counts), _sum(counts), [min(p, 0.5) for p in prior]
+    shares = [(counts[i] + pseudo * prior[i]) / (total + pseudo) for i in range(n)]
+    stands = [(shares[i] >= share) & (shares[i] >= lift * prior[i]) for i in range(n)]
+    weights = [F.when(stands[i], F.least(F.log(shares[i] / prior[i]), F.lit(3.0)) * shares[i]).otherwise(0.0).cast("float") for i in range(n)]
+    return F.array(*weights), reduce(Column.__or__, stands)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, labelled = sent.value
-        words: dict[str, list[int]] = {}
-        sources: dict[str, list[int]] = {}
-
-        def flush() -> pd.DataFrame:
-            rows = [("word", w, c) for w, c in words.items()] + [("source", k, c) for k, c in sources.items()]
-            if sources:
-                rows.append(("base", "", [sum(c) for c in zip(*sources.values())]))
-            words.clear()
-            sources.clear()
-            return pd.DataFrame(rows, columns=["kind", "key", "counts"])
 
-        for batch in batches:
-            for doc_id, text, title, source in zip(batch.doc_id, batch.text, batch.title, batch.source):
-                label = labelled.get(doc_id, ABSTAIN)
-                mine = sources.setdefault(source or "", [0] * (n + 1))
-                for _, s in statements(text, title):
-                    found = set(plain_words(s))
-                    scores = _scores(found, known, n)
-                    if label:
-                        scores[label] += 0.7
-                    v = _best(scores, 0.6, 0.5)
-                    mine[v] += 1
-                    for w in found:
-                        c = words.get(w)
-                        if c is None:
-                            c = words[w] = [0] * (n + 1)
-                        c[v] += 1
-            if len(words) > 200_000:
-                yield flush()
-        yield flush()
-
-    rows = docs.select("doc_id", "text", "title", "source").mapInPandas(count, "kind string, key string, counts array<bigint>")
-    sums = cut(rows.groupBy("kind", "key").agg(*(F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(n + 1))), "counts")
-    columns = [f"n{i}" for i in range(n + 1)]
-    base = sums.where("kind = 'base'").select(*columns).head()
-    if base is None or not sum(base[1:]):
-        return lexicon, {}
-    base = np.array(base, float)
-    total = reduce_sum(columns)
-    prior = (base[1:] + 1) / (base[1:].sum() + n)
-    kept: dict[str, list[tuple[int, float]]] = {}
-    voted = reduce_sum(columns[1:])
-    # A word stays if the subjects it goes with hold at least twice their base share.
-    lifted = F.greatest(*(F.col(f"n{i + 1}") / (voted * F.lit(float(prior[i]))) for i in range(n)))
-    words = sums.where("kind = 'word'").where(voted >= least_count).where(voted >= 0.4 * total).where(lifted >= 1.6)
-    for r in words.orderBy(F.desc(total), "key").limit(most_words).toLocalIterator():
-        c = np.array([r[x] for x in columns[1:]], float)
-        share = (c + 2 * prior) / (c.sum() + 2)
-        lift = np.log(share / prior)
-        picks = [(i + 1, float(min(lift[i], 3.0) * share[i])) for i in range(n) if share[i] >= 0.25 and share[i] >= 1.6 * prior[i]]
-        if picks:
-            kept[r.key] = picks
-    for w, picks in lexicon.items():
-        kept.setdefault(w, picks)
-    sources = {}
-    for r in sums.where("kind = 'source'").where(total >= 0.001 * float(base.sum())).collect():
-        c = np.array([r[x] for x in columns[1:]], float)
-        share = (c + 20 * prior) / (c.sum() + 20)
-        best = int(np.argmax(share / prior))
-        if share[best] >= 1.3 * prior[best]:
-            sources[r.key] = best + 1
-    return kept, sources
-
-
-def reduce_sum(columns: list[str]):
-    out = F.col(columns[0])
-    for c in columns[1:]:
-        out = out + F.col(c)
-    return out
+def _seeds(docs: DataFrame, labels: DataFrame | None, names: list[str], descriptions: list[str], most_labels: int, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(word, weights) to begin with: words of documents that people gave a subject, and of the subjects' descriptions; and (word, common).
 
+    At most ``most_labels`` labelled documents, taken by a hash of doc_id, are read. A word of theirs stays if it stands out for a
+    subject in ``least_docs`` of them at least. A word of one description only stays unless the labelled documents tell it is common.
+    ``common`` tells for each subject whether several labelled documents have the word and it does not stand out there.
+    """
+    spark, n = docs.sparkSession, len(names)
+    told = spark.createDataFrame([], "doc_id bigint, s int, share double")
+    if labels is not None:
+        code = F.create_map(*(F.lit(x) for i, s in enumerate(names) for x in (s.lower(), i)))
+        given = labels.select("doc_id", code[F.lower(F.trim("subject"))].alias("s")).where("s is not null and doc_id is not null")
+        per_doc = given.groupBy("doc_id").agg(*(F.count_if(F.col("s") == i).alias(f"t{i}") for i in range(n)))
+        per_doc = cut(per_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels), "labels")
+        whole = _sum([F.col(f"t{i}") for i in range(n)])
+        each = F.explode(F.array(*(F.struct(F.lit(i).alias("s"), (F.col(f"t{i}") / whole).alias("share")) for i in range(n))))
+        told = per_doc.select("doc_id", each.alias("x")).select("doc_id", "x.s", "x.share").where("share > 0")
+    labelled = docs.join(F.broadcast(told), "doc_id")
+    mine = lambda i: F.sum(F.when(F.col("s") == i, F.col("share")).otherwise(0.0))
+    base = labelled.agg(*(mine(i).alias(f"n{i}") for i in range(n))).head()
+    prior = [(float(base[i] or 0.0) + 1) / (sum(float(x or 0.0) for x in base) + n) for i in range(n)]
+    counts = labelled.select("s", "share", F.explode(F.array_distinct(F.concat("words", "names"))).alias("word"))
+    counts = cut(counts.groupBy("word").agg(*(mine(i).alias(f"n{i}") for i in range(n))), "labelled")
+    columns = [F.col(f"n{i}") for i in range(n)]
+    weights, stands = _weights(columns, prior, 1.0, 0.4, 1.6)
+    learnt = counts.where(stands & (F.greatest(*columns, F.lit(0.0)) >= least_docs)).select("word", weights.alias("weights"))
+    of: dict[int, set[int]] = {}
+    for i, text in enumerate(descriptions):
+        for w in WORD.findall(CAMEL.sub(" ", f"{names[i]} {text}")):
+            if len(w) > 3:
+                of.setdefault(word_code(w), set()).add(i)
+    own = spark.createDataFrame([(w, min(s), [2.0 * (j in s) for j in range(n)]) for w, s in of.items() if len(s) == 1], "word bigint, s int, given array<float>")
+    plain = [columns[i] < 1.6 * prior[i] * _sum(columns) for i in range(n)]
+    refuted = reduce(Column.__or__, ((F.col("s") == i) & plain[i] for i in range(n)))
+    own = own.join(counts, "word", "left").where(~F.coalesce(refuted, F.lit(False))).select("word", F.col("given").alias("weights"))
+    common = counts.where(_sum(columns) >= least_docs + 1).select("word", F.array(*plain).alias("common"))
+    return learnt.unionByName(own.join(learnt.select("word"), "word", "left_anti")), common
+
+
+def _learn(docs: DataFrame, lexicon: Lexicon, common: DataFrame, n: int, least_count: int) -> tuple[DataFrame, DataFrame]:
+    """(word, weights) of all words that stand out for a subject among the statements the lexicon so far tells it of, and the subject each source leans to.
+
+    Words are counted with the subjects of their statements in each task and combined before the shuffle. Where labelled
+    documents tell that a word is ``common``, it gets no weight for that subject.
+    """
+    sent = lexicon.sent
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            words, statement, doc = _all_words(batch)
+            order = np.argsort(statement, kind="stable")
+            words, statement = words[order], statement[order]
+            votes = _best(_scores(words, np.bincount(statement, minlength=len(doc)), _arrays(batch, sent, n)), 0.6, 0.5)
+            pairs = pd.DataFrame({"word": words, "statement": statement}).drop_duplicates()
+            keys, at = np.unique(pairs.word.to_numpy(), return_inverse=True)
+            table = np.bincount(at * (n + 1) + votes[pairs.statement.to_numpy()], minlength=len(keys) * (n + 1)).reshape(-1, n + 1)
+            sources, where = np.unique(batch.source.fillna("").to_numpy(str), return_inverse=True)
+            by_source = np.bincount(where[doc] * (n + 1) + votes, minlength=len(sources) * (n + 1)).reshape(-1, n + 1)
+            both = pd.DataFrame(np.concatenate([table, by_source]), columns=[f"n{i}" for i in range(n + 1)])
+            both.insert(0, "source", [None] * len(keys) + list(sources))
+            both.insert(0, "word", np.concatenate([keys, np.zeros(len(sources), np.int64)]))
+            yield both
 
-def _votes(docs: DataFrame, lexicon, sources: dict[str, int], n: int) -> DataFrame:
-    """(doc_id, pattern, statements): how many statements of each document got which votes; the pattern has a digit for each voter."""
-    sent = docs.sparkSession.sparkContext.broadcast((lexicon, sources))
+    columns = [f"n{i}" for i in range(n + 1)]
+    rows = _equipped(docs, lexicon).mapInPandas(count, "word bigint, source string, " + ", ".join(f"{c} bigint" for c in columns))
+    sums = cut(rows.groupBy("source", "word").agg(*(F.sum(c).alias(c) for c in columns)), "counts")
+    leaning = sums.where("source is not null")
+    base = leaning.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).head()
+    prior = [(base[i + 1] + 1) / (sum(base[1:]) + n) for i in range(n)]
+    told = [F.col(c) for c in columns[1:]]
+    voted, total = _sum(told), _sum([F.col(c) for c in columns])
+    # A word stays if most of its statements have a subject, and the subjects it goes with hold well over their base share.
+    weights, stands = _weights(told, prior, 2.0, 0.25, 1.6)
+    kept = sums.where("source is null").where((voted >= least_count) & (voted >= 0.4 * total) & stands).select("word", weights.alias("weights"))
+    kept = kept.join(common, "word", "left").withColumn("common", F.coalesce("common", F.array(*[F.lit(False)] * n)))
+    kept = kept.select("word", F.zip_with("weights", "common", lambda w, c: F.when(c, F.lit(0.0).cast("float")).otherwise(w)).alias("weights")).where(F.array_max("weights") > 0)
+    shares = [(told[i] + 20 * prior[i]) / (voted + 20) / prior[i] for i in range(n)]
+    lift = F.greatest(*shares, F.lit(0.0))
+    leaning = leaning.where((total >= 20) & (lift >= 1.3)).select("source", (F.array_position(F.array(*shares), lift)).alias("s"))
+    return kept, leaning
+
+
+def _votes(docs: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
+    """(row, pattern, statements): how many statements of each document got which votes; the pattern has a digit for each voter. ``docs`` has ``lean``, the vote of its source."""
+    sent = lexicon.sent
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, leaning = sent.value
         for batch in batches:
-            rows = []
-            for row, text, title, source in zip(batch.row, batch.text, batch.title, batch.source):
-                parts = statements(text, title)
-                scored = [_scores(set(plain_words(s)), known, n) for _, s in parts]
-                around: dict[int, list[float]] = {}
-                for (k, _), score in zip(parts, scored):
-                    around[k] = [a + x for a, x in zip(around[k], score)] if k in around else score
-                lean = leaning.get(source or "", ABSTAIN)
-                found: dict[int, int] = defaultdict(int)
-                for (k, s), score in zip(parts, scored):
-                    address = [w for a in ADDRESS.findall(s) for w in plain_words(a)]
-                    votes = (
-                        _best(score, 0.8, 0.25),
-                        _best(_scores(set(address), known, n), 0.8, 0.25) if address else ABSTAIN,
-                        _best([a - x for a, x in zip(around[k], score)], 0.8, 0.25),
-                        lean,
-                    )
-                    code = 0
-                    for v in votes:
-                        code = code * (n + 1) + v
-                    found[code] += 1
-                rows += [(row, p, c) for p, c in found.items()]
-            yield pd.DataFrame(rows, columns=["row", "pattern", "statements"])
-
-    return docs.select("row", "text", "title", "source").mapInPandas(vote, "row bigint, pattern bigint, statements int")
+            arrays = _arrays(batch, sent, n)
+            sizes, per_doc = _flat(batch.sizes)
+            prose = _scores(_flat(batch.words)[0], sizes, arrays)
+            names = _scores(_flat(batch.names)[0], _flat(batch.named)[0], arrays)
+            about = _best(_scores(*_flat(batch.about), arrays), 0.8, 0.25)
+            doc = np.repeat(np.arange(len(batch)), per_doc)
+            _, part = np.unique(np.stack([doc, _flat(batch.sections)[0]], axis=1), axis=0, return_inverse=True)
+            part = part.reshape(-1)
+            own = prose + names
+            around = np.stack([np.bincount(part, weights=own[:, j])[part] if len(part) else own[:, j] for j in range(n)], axis=1) - own
+            digits = (_best(prose, 0.8, 0.25), _best(names, 0.8, 0.25), _best(around, 0.8, 0.25), about[doc], batch.lean.to_numpy(np.int64)[doc])
+            pattern = np.zeros(len(doc), np.int64)
+            for d in digits:
+                pattern = pattern * (n + 1) + d
+            found = pd.DataFrame({"row": batch.row.to_numpy(np.int64)[doc], "pattern": pattern})
+            yield found.groupby(["row", "pattern"], sort=False).size().rename("statements").reset_index().astype({"statements": "int32"})
+
+    ready = _equipped(docs, lexicon)
+    return ready.select(*(c for c in ready.columns if c not in ("doc_id", "source"))).mapInPandas(vote, "row bigint, pattern bigint, statements int")
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int = 50) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -223,9 +315,9 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int =
     agrees with the latent subject or names another one with rates of its own, and has a rate of voting where there is none.
     """
     p, v = patterns.shape
-    agree = np.array([0.85, 0.35, 0.5, 0.1][:v] + [0.3] * max(0, v - 4))
-    silent = np.array([0.1, 0.62, 0.3, 0.7][:v] + [0.6] * max(0, v - 4))
-    false = np.array([0.03, 0.03, 0.6, 0.3][:v] + [0.2] * max(0, v - 4))
+    agree = np.array([0.8, 0.35, 0.5, 0.1, 0.1][:v] + [0.3] * max(0, v - 5))
+    silent = np.array([0.15, 0.62, 0.3, 0.7, 0.7][:v] + [0.6] * max(0, v - 5))
+    false = np.array([0.02, 0.02, 0.6, 0.3, 0.3][:v] + [0.2] * max(0, v - 5))
     prior = np.full(n + 1, 0.7 / n)
     prior[0] = 0.3
     hit = patterns[:, :, None] == np.arange(1, n + 1)[None, None, :]
@@ -244,24 +336,24 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int =
         prior /= prior.sum()
         agree = np.clip((mass[:, None, 1:] * hit).sum((0, 2)) / some, 1e-3, 0.99)
         silent = np.clip((mass[:, 1:].sum(1)[:, None] * none).sum(0) / some, 1e-3, 0.999 - agree)
-        # The lexicon defines what a statement without a subject is, so its rate of false votes stays low.
         false = np.clip((mass[:, :1] * ~none).sum(0) / max(mass[:, 0].sum(), 1e-9), 1e-3, 0.99)
-        false[0] = min(false[0], 0.05)
     return post, {"agree": agree, "silent": silent, "false": false, "prior": prior}
 
 
 def subjects(
     docs: DataFrame, areas: DataFrame, labels: DataFrame | None = None, share: float = 1 / 6, learn_rounds: int = 2, least_count: int = 3,
-    most_words: int = 50_000, most_labels: int = 50_000,
+    least_docs: int = 2, most_labels: int = 50_000, most_bytes: int = 1 << 26,
 ) -> DataFrame:
     """(doc_id, subject, share): the subjects that at least ``share`` of a document's statements deal with.
 
-    ``docs`` has (doc_id, text, title, source), ``areas`` (subject, description), ``labels`` (doc_id, subject). The
-    lexicon grows from the seeds over all documents in ``learn_rounds`` passes; of the labels at most ``most_labels``, taken by a hash of
-    doc_id, lend their documents' statements a weak vote in this. Then lexicon, address, section and source vote on each
-    statement, a latent model learns the voters' accuracies from how often each pattern of votes occurs, and a
-    document's share of a subject is the mean posterior over its statements. The lexicon, the labels taken and the patterns, at most
-    (subjects + 1) ** 4, are all that is broadcast.
+    ``docs`` has (doc_id, text, title, source, repo, node_id), ``areas`` (subject, description), ``labels`` (doc_id, subject).
+    Texts are parsed once, into codes of the words of each statement. A first lexicon comes from the descriptions and from
+    at most ``most_labels`` labelled documents; it grows over all documents in ``learn_rounds`` passes and has no bound on its
+    words: up to ``most_bytes`` it is broadcast, beyond that each document is joined with the part that it needs. Then five voters name a
+    subject for each statement: the words of its prose, the names in it (identifiers, paths, code), the rest of its
+    section, what the document is about by its title, repository and node address, and the leaning of its source. A latent model learns the
+    voters' accuracies from how often each pattern of votes occurs, and a document's share of a subject is the mean
+    posterior over its statements. The patterns, at most (subjects + 1) ** 5, are broadcast.
 
     Null and empty texts, and texts without statements, have no row. Rows with the same doc_id are separate documents.
     Labels of unknown subjects are left out. Without areas there is no row.
@@ -272,20 +364,20 @@ def subjects(
     empty = spark.createDataFrame([], "doc_id bigint, subject string, share double")
     if not n:
         return empty
-    docs = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("title").cast("string").alias("title"), canonical_id(F.col("source")).alias("source")
-    ).where(F.col("text").rlike(r"\S"))
-    docs = cut(docs.withColumn("row", F.monotonically_increasing_id()), "texts")
-    labelled: dict[int, int] = {}
-    if labels is not None:
-        code = F.create_map(*(F.lit(x) for i, s in enumerate(names, 1) for x in (s.lower(), i)))
-        told = labels.select("doc_id", code[F.lower(F.trim("subject"))].alias("s")).where("s is not null and doc_id is not null").groupBy("doc_id")
-        told = told.agg(F.min("s").alias("s"), F.max("s").alias("t")).where("s = t").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)
-        labelled = {r.doc_id: r.s for r in told.select("doc_id", "s").collect()}
-    lexicon, sources = _seed_lexicon(names, dict(listed)), {}
+    texts = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("title").cast("string").alias("title"),
+        canonical_id(F.col("source")).alias("source"), F.concat_ws(" ", "title", "repo", "node_id").alias("about"),
+    ).where(F.col("text").rlike(r"\S"))
+    rows = cut(parsed(texts), "parsed")
+    seeds, common = _seeds(rows, labels, names, [d for _, d in listed], most_labels, least_docs)
+    lexicon = lexicon_of(seeds, n, most_bytes)
+    leaning = spark.createDataFrame([], "source string, s bigint")
     for _ in range(learn_rounds):
-        lexicon, sources = _learn(docs, lexicon, labelled, n, least_count, most_words)
-    votes = cut(_votes(docs, lexicon, sources, n), "votes")
+        learnt, leaning = _learn(rows, lexicon, common, n, least_count)
+        lexicon = lexicon_of(learnt, n, most_bytes)
+    leaning = leaning.select("source", F.col("s").cast("int").alias("lean"))
+    leaned = rows.withColumn("source", F.coalesce("source", F.lit(""))).join(leaning, "source", "left").withColumn("lean", F.coalesce("lean", F.lit(ABSTAIN)))
+    votes = cut(_votes(leaned, lexicon, n), "votes")
     seen = votes.groupBy("pattern").agg(F.sum("statements").alias("c")).collect()
     if not seen:
         return empty
@@ -298,4 +390,4 @@ def subjects(
     )
     each = F.explode(F.array(*(F.struct(F.lit(names[i]).alias("subject"), (F.col(f"q{i}") / F.col("all")).alias("share")) for i in range(n))))
     found = joined.select("row", each.alias("x")).select("row", "x.subject", "x.share").where(F.col("share") >= share - 1e-6)
-    return found.join(docs.select("row", "doc_id"), "row").select("doc_id", "subject", "share")
+    return found.join(rows.select("row", "doc_id"), "row").select("doc_id", "subject", "share")
