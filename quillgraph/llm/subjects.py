@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -78,10 +80,10 @@ def parsed(docs: DataFrame) -> DataFrame:
     the repository and the node's address.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
 
-        def codes(text: str) -> list[int]:
+        def codes(text: str) -> set[int]:
             out = set()
             for w in WORD.findall(CAMEL.sub(" ", text)):
                 c = known.get(w)
@@ -90,25 +92,31 @@ def parsed(docs: DataFrame) -> DataFrame:
                         known.clear()
                     c = known[w] = word_code(w)
                 out.add(c)
-            return sorted(out)
+            return out
 
         for batch in batches:
-            rows = []
-            for row, doc_id, text, title, source, about in zip(batch.row, batch.doc_id, batch.text, batch.title, batch.source, batch.about):
-                sections, sizes, words, named, names = [], [], [], [], []
+            sections, sizes, words, named, names, about = (array(t) for t in "iiqiqq")
+            ends: list[list[int]] = [[0], [0], [0], [0]]
+            for text, title, spot in zip(*(batch.column(c).to_pylist() for c in ("text", "title", "about"))):
                 for section, s in statements(text, title):
                     address = ADDRESS.findall(s) if "`" in s or "/" in s or "_" in s or CAMEL.search(s) else ()
                     prose = codes(ADDRESS.sub(" ", s) if address else s)
-                    spans = codes(" ".join(address)) if address else []
+                    spans = codes(" ".join(address)) if address else ()
                     sections.append(section)
                     sizes.append(len(prose))
-                    words += prose
+                    words.extend(prose)
                     named.append(len(spans))
-                    names += spans
-                rows.append((row, doc_id, source, sections, sizes, words, named, names, codes(about.replace("_", " ")) if about else []))
-            yield pd.DataFrame(rows, columns=["row", "doc_id", "source", "sections", "sizes", "words", "named", "names", "about"])
+                    names.extend(spans)
+                if spot:
+                    about.extend(codes(spot.replace("_", " ")))
+                for end, values in zip(ends, (sizes, words, names, about)):
+                    end.append(len(values))
+            lists = [pa.ListArray.from_arrays(pa.array(ends[k], pa.int32()), pa.array(np.frombuffer(v, v.typecode) if len(v) else [], t)) for k, v, t in (
+                (0, sections, pa.int32()), (0, sizes, pa.int32()), (1, words, pa.int64()), (0, named, pa.int32()), (2, names, pa.int64()), (3, about, pa.int64())
+            )]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "source")), *lists], ["row", "doc_id", "source", "sections", "sizes", "words", "named", "names", "about"])
 
-    return docs.select("row", "doc_id", "text", "title", "source", "about").mapInPandas(parse, PARSED)
+    return docs.select("row", "doc_id", "text", "title", "source", "about").mapInArrow(parse, PARSED)
 
 
 class Lexicon(NamedTuple):
@@ -138,30 +146,29 @@ def _equipped(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.join(own, "row", "left")
 
 
-def _flat(column: pd.Series, kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of a column of lists one after another, and the number of each list."""
-    lists = [x for x in column if x is not None]
-    sizes = np.fromiter((0 if x is None else len(x) for x in column), np.int64, len(column))
-    return (np.concatenate(lists).astype(kind) if lists else np.zeros(0, kind)), sizes
+    column = batch.column(name)
+    return column.flatten().to_numpy(), pc.fill_null(pc.list_value_length(column), 0).to_numpy()
 
 
-def _arrays(batch: pd.DataFrame, sent: Broadcast | None, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _arrays(batch: pa.RecordBatch, sent: Broadcast | None, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted words and the weights that the batch's documents look up in."""
     if sent is not None:
         return sent.value
-    keys, at = np.unique(_flat(batch["keys"])[0], return_index=True)
-    return keys, _flat(batch["values"], np.float32)[0].reshape(-1, n)[at]
+    keys, at = np.unique(_flat(batch, "keys")[0], return_index=True)
+    return keys, _flat(batch, "values")[0].reshape(-1, n)[at]
 
 
-def _scores(words: np.ndarray, sizes: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """For each of the groups that ``sizes`` cuts ``words`` into the sums of its words' weights, by subject."""
+def _scores(words: np.ndarray, group: np.ndarray, groups: int, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each of ``groups`` the sums of the weights of its words, by subject."""
     keys, weights = lexicon
     if not len(keys):
-        return np.zeros((len(sizes), weights.shape[1]))
+        return np.zeros((groups, weights.shape[1]))
     at = np.minimum(np.searchsorted(keys, words), len(keys) - 1)
     hit = keys[at] == words
-    group, found = np.repeat(np.arange(len(sizes)), sizes)[hit], weights[at[hit]].astype(float)
-    return np.stack([np.bincount(group, weights=found[:, j], minlength=len(sizes)) for j in range(weights.shape[1])], axis=1)
+    group, found = group[hit], weights[at[hit]].astype(float)
+    return np.stack([np.bincount(group, weights=found[:, j], minlength=groups) for j in range(weights.shape[1])], axis=1)
 
 
 def _best(scores: np.ndarray, least: float, lead: float) -> np.ndarray:
@@ -173,14 +180,10 @@ def _best(scores: np.ndarray, least: float, lead: float) -> np.ndarray:
     return np.where((ranked[:, -1] >= least) & (ranked[:, -1] - second >= lead), scores.argmax(1) + 1, ABSTAIN)
 
 
-def _all_words(batch: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, statement) pairs of a batch, prose and names together, and the document of each statement."""
-    words, _ = _flat(batch.words)
-    names, _ = _flat(batch.names)
-    sizes, per_doc = _flat(batch.sizes)
-    named, _ = _flat(batch.named)
-    statement = np.arange(len(sizes))
-    return np.concatenate([words, names]), np.concatenate([np.repeat(statement, sizes), np.repeat(statement, named)]), np.repeat(np.arange(len(batch)), per_doc)
+def _statements_of(batch: pa.RecordBatch, words: str, sizes: str) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a batch's statements and the statement of each."""
+    found, each = _flat(batch, words)[0], _flat(batch, sizes)[0]
+    return found, np.repeat(np.arange(len(each)), each)
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -246,24 +249,25 @@ def _learn(docs: DataFrame, lexicon: Lexicon, common: DataFrame, n: int, least_c
     """
     sent = lexicon.sent
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [f"n{i}" for i in range(n + 1)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, statement, doc = _all_words(batch)
-            order = np.argsort(statement, kind="stable")
-            words, statement = words[order], statement[order]
-            votes = _best(_scores(words, np.bincount(statement, minlength=len(doc)), _arrays(batch, sent, n)), 0.6, 0.5)
-            pairs = pd.DataFrame({"word": words, "statement": statement}).drop_duplicates()
-            keys, at = np.unique(pairs.word.to_numpy(), return_inverse=True)
-            table = np.bincount(at * (n + 1) + votes[pairs.statement.to_numpy()], minlength=len(keys) * (n + 1)).reshape(-1, n + 1)
-            sources, where = np.unique(batch.source.fillna("").to_numpy(str), return_inverse=True)
-            by_source = np.bincount(where[doc] * (n + 1) + votes, minlength=len(sources) * (n + 1)).reshape(-1, n + 1)
-            both = pd.DataFrame(np.concatenate([table, by_source]), columns=[f"n{i}" for i in range(n + 1)])
-            both.insert(0, "source", [None] * len(keys) + list(sources))
-            both.insert(0, "word", np.concatenate([keys, np.zeros(len(sources), np.int64)]))
-            yield both
-
-    columns = [f"n{i}" for i in range(n + 1)]
-    rows = _equipped(docs, lexicon).mapInPandas(count, "word bigint, source string, " + ", ".join(f"{c} bigint" for c in columns))
+            prose, spans = _statements_of(batch, "words", "sizes"), _statements_of(batch, "names", "named")
+            words, statement = (np.concatenate(x) for x in zip(prose, spans))
+            per_doc = _flat(batch, "sizes")[1]
+            votes = _best(_scores(words, statement, int(per_doc.sum()), _arrays(batch, sent, n)), 0.6, 0.5)
+            keys, at = np.unique(words, return_inverse=True)
+            by_word = np.bincount(at * (n + 1) + votes[statement], minlength=len(keys) * (n + 1)).reshape(-1, n + 1)
+            coded = pc.fill_null(batch.column("source"), "").dictionary_encode()
+            source = np.repeat(coded.indices.to_numpy(), per_doc)
+            by_source = np.bincount(source * (n + 1) + votes, minlength=len(coded.dictionary) * (n + 1)).reshape(-1, n + 1)
+            counts = np.concatenate([by_word, by_source])
+            first = [pa.array(np.concatenate([keys, np.zeros(len(by_source), np.int64)])), pa.concat_arrays([pa.nulls(len(keys), pa.string()), coded.dictionary.cast(pa.string())])]
+            yield pa.RecordBatch.from_arrays([*first, *(pa.array(counts[:, i].astype(np.int64)) for i in range(n + 1))], ["word", "source", *names])
+
+    columns = names
+    rows = _equipped(docs, lexicon).mapInArrow(count, "word bigint, source string, " + ", ".join(f"{c} bigint" for c in columns))
     sums = cut(rows.groupBy("source", "word").agg(*(F.sum(c).alias(c) for c in columns)), "counts")
     leaning = sums.where("source is not null")
     base = leaning.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns)).head()
@@ -285,27 +289,29 @@ def _votes(docs: DataFrame, lexicon: Lexicon, n: int) -> DataFrame:
     """(row, pattern, statements): how many statements of each document got which votes; the pattern has a digit for each voter. ``docs`` has ``lean``, the vote of its source."""
     sent = lexicon.sent
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             arrays = _arrays(batch, sent, n)
-            sizes, per_doc = _flat(batch.sizes)
-            prose = _scores(_flat(batch.words)[0], sizes, arrays)
-            names = _scores(_flat(batch.names)[0], _flat(batch.named)[0], arrays)
-            about = _best(_scores(*_flat(batch.about), arrays), 0.8, 0.25)
-            doc = np.repeat(np.arange(len(batch)), per_doc)
-            _, part = np.unique(np.stack([doc, _flat(batch.sections)[0]], axis=1), axis=0, return_inverse=True)
-            part = part.reshape(-1)
-            own = prose + names
+            sections, per_doc = _flat(batch, "sections")
+            prose = _scores(*_statements_of(batch, "words", "sizes"), len(sections), arrays)
+            names = _scores(*_statements_of(batch, "names", "named"), len(sections), arrays)
+            about = _best(_scores(*_statements_of(batch, "about", "about_size"), batch.num_rows, arrays), 0.8, 0.25)
+            doc = np.repeat(np.arange(batch.num_rows), per_doc)
+            begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (sections[1:] != sections[:-1])])[: len(doc)]
+            part, own = np.cumsum(begins) - 1, prose + names
             around = np.stack([np.bincount(part, weights=own[:, j])[part] if len(part) else own[:, j] for j in range(n)], axis=1) - own
-            digits = (_best(prose, 0.8, 0.25), _best(names, 0.8, 0.25), _best(around, 0.8, 0.25), about[doc], batch.lean.to_numpy(np.int64)[doc])
+            digits = (_best(prose, 0.8, 0.25), _best(names, 0.8, 0.25), _best(around, 0.8, 0.25), about[doc], batch.column("lean").to_numpy()[doc])
             pattern = np.zeros(len(doc), np.int64)
             for d in digits:
                 pattern = pattern * (n + 1) + d
-            found = pd.DataFrame({"row": batch.row.to_numpy(np.int64)[doc], "pattern": pattern})
-            yield found.groupby(["row", "pattern"], sort=False).size().rename("statements").reset_index().astype({"statements": "int32"})
-
-    ready = _equipped(docs, lexicon)
-    return ready.select(*(c for c in ready.columns if c not in ("doc_id", "source"))).mapInPandas(vote, "row bigint, pattern bigint, statements int")
+            order = np.lexsort((pattern, doc))
+            doc, pattern = doc[order], pattern[order]
+            first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (pattern[1:] != pattern[:-1])])[: len(doc)])
+            size = np.diff(np.append(first, len(doc))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(doc[first])), pa.array(pattern[first]), pa.array(size)], ["row", "pattern", "statements"])
+
+    ready = _equipped(docs, lexicon).withColumn("about_size", F.array(F.size("about")))
+    return ready.select(*(c for c in ready.columns if c not in ("doc_id", "source"))).mapInArrow(vote, "row bigint, pattern bigint, statements int")
 
 
 def label_model(patterns: np.ndarray, counts: np.ndarray, n: int, rounds: int = 50) -> tuple[np.ndarray, dict[str, np.ndarray]]:
