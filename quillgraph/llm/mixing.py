@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_left
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +15,6 @@ from quillgraph.functions.ids import canonical_id
 from quillgraph.operators.skew import prefix_sums
 from quillgraph.session import cut
 
-MIXED = "source string, doc_id bigint, repeat int, tokens bigint, slot bigint, first_token bigint"
-
 
 def canonical_source(x: Column) -> Column:
     """Case, blanks and separators do not tell sources apart."""
@@ -27,36 +29,49 @@ def one_of_each_text(docs: DataFrame, text: str) -> DataFrame:
     return rows.groupBy("k1", "k2").agg(F.min("row").alias("row")).select("row.*")
 
 
-def schedule(blocks: list[tuple[str, int, int, int]], weights: dict[str, float]) -> list[tuple[str, int, int, int]]:
-    """(source, block, slot, first token of the mix): earliest deadline first among released blocks.
+def whole_weights(shares: dict[str, float], resolution: int = 1_000_000) -> dict[str, int]:
+    """Shares as small whole numbers in the same proportion; ones finer than 1 / ``resolution`` of the total are rounded to that, but never to 0."""
+    exact = {s: Fraction(str(x)) for s, x in shares.items()}
+    total = sum(exact.values())
+    scaled = {s: x / total for s, x in exact.items()}
+    common = math.lcm(1, *(x.denominator for x in scaled.values()))
+    if common > resolution:
+        return {s: max(1, round(x * resolution)) for s, x in scaled.items()}
+    return {s: int(x * common) for s, x in scaled.items()}
+
 
-    ``blocks`` are (source, block, start, end) in tokens of the source's own stream. With the mix's tokens as time, a
-    block is released when its source is due to begin it, start / weight, and due when the source must have ended it,
-    end / weight. So no source runs ahead or behind by a whole block. If nothing is released the next release comes first.
+def schedule(weights: dict[str, int]) -> list[str]:
+    """Whose block fills each slot of a period of as many slots as all weights: earliest deadline first among released blocks.
+
+    Block k of a source of weight w in a period P is released at slot floor(k * P / w) and due before slot
+    ceil((k + 1) * P / w). Then each block is in time, and after any number of slots each source has less than one block more or less
+    than its share. The period ends with every source at its share exactly, so the schedule repeats.
     """
-    waiting = sorted((start / weights[s], end / weights[s], s, k, end - start) for s, k, start, end in blocks)
-    ready: list[tuple[float, str, int, int]] = []
-    out, now, at = [], 0, 0
-    while at < len(waiting) or ready:
-        while at < len(waiting) and (waiting[at][0] <= now + 1e-9 or not ready):
-            _, due, s, k, n = waiting[at]
-            heapq.heappush(ready, (due, s, k, n))
+    period = sum(weights.values())
+    waiting = sorted((k * period // w, -(-(k + 1) * period // w), s) for s, w in weights.items() for k in range(w))
+    ready: list[tuple[int, str]] = []
+    out, at = [], 0
+    for now in range(period):
+        while at < len(waiting) and waiting[at][0] <= now:
+            heapq.heappush(ready, waiting[at][1:])
             at += 1
-        _, s, k, n = heapq.heappop(ready)
-        out.append((s, k, len(out), now))
-        now += n
+        out.append(heapq.heappop(ready)[1])
     return out
 
 
-def mix(docs: DataFrame, weights: DataFrame, block_tokens: int = 4096, most_blocks: int = 50_000, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: DataFrame, block_tokens: int = 4096, resolution: int = 1_000_000, buckets: int = 256) -> tuple[DataFrame, DataFrame]:
     """(mixed, shares) of ``docs`` (doc_id, source, tokens), each text once, and ``weights`` (source, target_share, max_repeats).
 
     The mix is as large as the shares allow: the source that is used up first, at its ``max_repeats``, sets the total.
-    Each source's documents follow one another in the order of a hash, over and over up to its quota, and are cut between
-    documents into blocks of about ``block_tokens`` (more, where that would give over ``most_blocks`` blocks); the few
-    numbers of each block are scheduled on the driver. ``mixed`` has for each use of a document its ``repeat``, the
-    ``slot`` of its block and the place of its first token in the mix. ``shares`` has a row for each listed source: its
-    target, its target among the sources that occur, what it has, its quota, what it got and its actual share.
+    Each source's documents follow one another in the order of a hash, over and over up to its quota, and this stream is
+    cut into blocks of ``block_tokens``, inside documents where need be. The blocks are interleaved by a schedule of one period, whose
+    length depends on the weights alone (at most about ``resolution`` slots); the place of a block follows from its number, so nothing is planned
+    block by block, and after any number of whole blocks each source is less than one block away from its share.
+
+    ``mixed`` has a row for each piece of a use of a document: its ``repeat``, where in the document it begins (``from_token``), its
+    tokens, the ``slot`` of its block and the place of its first token in the mix. Only the document at a source's quota is not used up.
+    ``shares`` has a row for each listed source: its target, its target among the sources that occur, what it has, its quota,
+    what it got and its actual share.
 
     Sources that are not listed, null, or listed with a null or non-positive share or repeat have no target and are not
     drawn; listed ones that do not occur get nothing, and the others keep their proportions. Documents without tokens
@@ -70,28 +85,57 @@ def mix(docs: DataFrame, weights: DataFrame, block_tokens: int = 4096, most_bloc
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "mixable")
     has = {r.source: r.tokens for r in rows.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
     asked = {r.source: r for r in listed.collect()}
-    whole = sum(asked[s].target_share for s in has)
-    share = {s: asked[s].target_share / whole for s in has}
-    total = min((asked[s].max_repeats * has[s] / share[s] for s in has), default=0.0)
-    quota = {s: share[s] * total for s in has}
-    plan = F.broadcast(spark.createDataFrame([(s, float(quota[s]), int(has[s]), int(asked[s].max_repeats)) for s in has] or [("", 0.0, 1, 0)], "source string, quota double, has bigint, most int"))
+    shares_of = {s: asked[s].target_share for s in has}
+    weight = whole_weights({s: round(x, 12) for s, x in shares_of.items()}, resolution)
+    period = sum(weight.values())
+    total = min((asked[s].max_repeats * has[s] * period // weight[s] for s in has), default=0)
+    quota = {s: weight[s] * total // period for s in has}
+    turn = schedule(weight)
+    slots: dict[str, list[int]] = {s: [] for s in has}
+    for at, s in enumerate(turn):
+        slots[s].append(at)
+    slot_of = lambda s, k: k // weight[s] * period + slots[s][k % weight[s]]
+    blocks = {s: -(-quota[s] // block_tokens) for s in has if quota[s]}
+    # Only each source's last block can be short, and only behind the last full slot can slots stay empty.
+    short = sorted((slot_of(s, n - 1), s) for s, n in blocks.items())
+    full = total // block_tokens
+    used, gaps, seen = {}, [], full
+    for at in range(full, short[-1][0] + 1 if short else full):
+        s = turn[at % period]
+        used[at] = seen
+        k = at // period * weight[s] + bisect_left(slots[s], at % period)
+        seen += s in blocks and k < blocks[s]
+    missing = 0
+    last_first = {}
+    for at, s in short:
+        last_first[s] = used.get(at, at) * block_tokens - missing
+        gaps.append((at, blocks[s] * block_tokens - quota[s]))
+        missing += gaps[-1][1]
+    plan = [(s, int(quota[s]), int(has[s]), int(asked[s].max_repeats), weight[s], blocks[s] - 1, last_first[s]) for s in blocks] or [("", 0, 1, 0, 1, 0, 0)]
+    plan = F.broadcast(spark.createDataFrame(plan, "source string, quota bigint, has bigint, most int, weight bigint, last bigint, last_first bigint"))
+    pattern = spark.createDataFrame([(s, k, at) for s in slots for k, at in enumerate(slots[s])] or [("", 0, 0)], "source string, k bigint, at bigint")
     shuffled = rows.withColumn("key", F.struct(F.xxhash64("doc_id", "row").alias("h"), F.col("row").alias("row")))
     streams = prefix_sums(shuffled, ["source"], "key", "tokens", "before", buckets).join(plan, "source")
     rounds = F.least(F.col("most"), F.ceil(F.col("quota") / F.col("has")).cast("int"))
-    uses = streams.select("source", "doc_id", "tokens", "quota", "before", "has", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), rounds))).alias("repeat"))
-    uses = uses.withColumn("start", (F.col("repeat") - 1) * F.col("has") + F.col("before")).where(F.col("start") + F.col("tokens") / 2 <= F.col("quota") + 1e-6)
-    size = max(block_tokens, -(-int(total) // most_blocks))
-    uses = cut(uses.select("source", "doc_id", "repeat", "tokens", "start", F.floor(F.col("start") / size).alias("block")), "uses")
-    blocks = uses.groupBy("source", "block").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("tokens")).alias("end")).collect()
-    slots = schedule([(r.source, r.block, r.start, r.end) for r in blocks], share)
-    starts = {(r.source, r.block): r.start for r in blocks}
-    placed = F.broadcast(spark.createDataFrame([(s, k, slot, now, starts[s, k]) for s, k, slot, now in slots], "source string, block bigint, slot bigint, now bigint, first bigint"))
-    mixed = uses.join(placed, ["source", "block"]).select("source", "doc_id", "repeat", "tokens", "slot", (F.col("now") + F.col("start") - F.col("first")).alias("first_token"))
-    got = {r.source: (r.tokens, r.uses, r.repeats) for r in uses.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("repeat").alias("repeats")).collect()}
-    drawn = sum(t for t, _, _ in got.values()) or 1
-    report = [
-        (s, r.target_share, share.get(s, 0.0), int(has.get(s, 0)), float(quota.get(s, 0.0)), int(got.get(s, (0, 0, 0))[0]), int(got.get(s, (0, 0, 0))[1]), int(got.get(s, (0, 0, 0))[2]), got.get(s, (0, 0, 0))[0] / drawn)
-        for s, r in sorted(asked.items())
-    ]
-    shares = spark.createDataFrame(report, "source string, target_share double, share_among_present double, has_tokens bigint, quota double, tokens bigint, uses bigint, repeats int, actual_share double")
+    uses = streams.select("source", "doc_id", "tokens", *plan.columns[1:], "before", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), rounds))).alias("repeat"))
+    uses = uses.withColumn("start", (F.col("repeat") - 1) * F.col("has") + F.col("before")).where("start < quota")
+    uses = uses.withColumn("end", F.least(F.col("start") + F.col("tokens"), F.col("quota")))
+    inside = F.sequence(F.expr(f"start div {block_tokens}"), F.expr(f"(end - 1) div {block_tokens}"))
+    pieces = uses.withColumn("block", F.explode(inside))
+    lo, hi = F.greatest("start", F.col("block") * block_tokens), F.least("end", (F.col("block") + 1) * block_tokens)
+    pieces = pieces.withColumn("lo", lo).withColumn("hi", hi).withColumn("k", F.col("block") % F.col("weight")).join(F.broadcast(pattern), ["source", "k"])
+    pieces = pieces.withColumn("slot", F.expr(f"block div weight * {period} + at"))
+    lack = reduce(Column.__add__, (F.when(F.col("slot") > at, n).otherwise(0) for at, n in gaps if n), F.lit(0)).cast("bigint")
+    first = F.when(F.col("block") == F.col("last"), F.col("last_first")).otherwise(F.col("slot") * block_tokens - lack)
+    mixed = pieces.select(
+        "source", "doc_id", "repeat", (F.col("lo") - F.col("start")).alias("from_token"), (F.col("hi") - F.col("lo")).alias("tokens"), "slot",
+        (first + F.col("lo") - F.col("block") * block_tokens).alias("first_token"),
+    )
+    got = {r.source: (r.tokens, r.uses, r.repeats) for r in uses.groupBy("source").agg(F.sum(F.col("end") - F.col("start")).alias("tokens"), F.count(F.lit(1)).alias("uses"), F.max("repeat").alias("repeats")).collect()}
+    drawn, whole = sum(t for t, _, _ in got.values()) or 1, sum(shares_of.values())
+    report = []
+    for s, r in sorted(asked.items()):
+        tokens, times, repeats = got.get(s, (0, 0, 0))
+        report.append((s, r.target_share, shares_of[s] / whole if s in has else 0.0, int(has.get(s, 0)), int(quota.get(s, 0)), int(tokens), int(times), int(repeats), tokens / drawn))
+    shares = spark.createDataFrame(report, "source string, target_share double, share_among_present double, has_tokens bigint, quota bigint, tokens bigint, uses bigint, repeats int, actual_share double")
     return mixed, shares

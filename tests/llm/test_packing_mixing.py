@@ -71,16 +71,51 @@ def test_mix(spark):
     for r in rows:
         assert r.first_token == at
         at += r.tokens
-    uses = Counter((r.source, r.doc_id) for r in rows)
+    uses = Counter((s, d) for s, d, _ in {(r.source, r.doc_id, r.repeat) for r in rows})
     assert max(n for (s, _), n in uses.items() if s == "big_one") == 1 and max(n for (s, _), n in uses.items() if s == "tiny") <= 3
     report = {r.source: r for r in shares.collect()}
     assert report["absent"].tokens == 0 and report["tiny"].repeats == 3
     for s, want in (("big_one", 0.625), ("mid", 0.25), ("tiny", 0.125)):
-        assert report[s].actual_share == pytest.approx(want, abs=0.02)
+        assert report[s].actual_share == pytest.approx(want, abs=1e-4)
         got = 0
         for r in rows:
             got += r.tokens * (r.source == s)
-            assert abs(got - want * (r.first_token + r.tokens)) < 260  # a block and its longest document on either side
+            assert abs(got - want * (r.first_token + r.tokens)) < 200  # within a block it may be one more block away
+            if (r.first_token + r.tokens) % 100 == 0:
+                assert abs(got - want * (r.first_token + r.tokens)) < 100
+    whole = {(r.source, r.doc_id, r.repeat): 0 for r in rows}
+    for r in rows:
+        whole[r.source, r.doc_id, r.repeat] += r.tokens
+    sizes = {d: t for d, _, t, _ in docs}
+    assert sum(sizes[d] != t for (_, d, _), t in whole.items()) <= 3  # only the document at a quota
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_schedule_stays_within_a_block(seed):
+    rng = random.Random(seed)
+    weights = {f"s{i}": rng.randint(1, 60) for i in range(rng.randint(1, 12))}
+    period, got = sum(weights.values()), Counter()
+    for at, s in enumerate(mixing.schedule(weights), 1):
+        got[s] += 1
+        assert all(abs(got[x] * period - at * w) < period for x, w in weights.items())
+    assert got == weights
+
+
+def test_weights_of_shares():
+    assert mixing.whole_weights({"a": 0.22, "b": 0.18, "c": 0.6}) == {"a": 11, "b": 9, "c": 30}
+    assert mixing.whole_weights({"a": 1 / 3, "b": 1e-12}, 1000) == {"a": 1000, "b": 1} and mixing.whole_weights({}) == {}
+
+
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_mix_covers_every_token_once(spark, block):
+    docs = [(i, "ab"[i % 3 == 0], 1 + i * 37 % 91) for i in range(200)] + [(900, "c", 5000), (901, "c", 1)]
+    weights = [("a", 0.5, 2, 0), ("b", 0.3, 1, 0), ("c", 0.2, 3, 0)]
+    mixed, shares = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), spark.createDataFrame(weights, WEIGHTS), block_tokens=block)
+    rows, at = sorted(mixed.collect(), key=lambda r: r.first_token), 0
+    for r in rows:
+        assert r.first_token == at
+        at += r.tokens
+    assert at == sum(r.quota for r in shares.collect()) and len({(r.source, r.doc_id, r.repeat, r.from_token) for r in rows}) == len(rows)
 
 
 def test_mix_without_anything(spark):
