@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.ids import canonical_id, filled, micros
 from quillgraph.operators.skew import hot_codes, is_one_of
-from quillgraph.session import partitions
+from quillgraph.session import cut, cut_counted, partitions
 
 FIRST, LAST = -(2**63), 2**63 - 1
 
@@ -109,6 +109,78 @@ def orphan_references(refs: DataFrame, runs: DataFrame, total: int) -> DataFrame
     return matched.where("asks = 1 and coalesce(reach <= at, true)").select("ref_id", "at", *payload)
 
 
+def _ranges(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` written in ranges of ``order``, with the number of their range as ``_p``."""
+    spread = rows.repartitionByRange(partitions(rows.sparkSession), *order).withColumn("_p", F.spark_partition_id())
+    return cut(spread, "ranges")
+
+
+def key_runs(keys: DataFrame) -> DataFrame:
+    """(run_start, run_end): the distinct non-null integers of ``keys`` (key) as runs of consecutive ones, both ends included.
+
+    Keys are sorted in ranges; where two ranges meet a run may be told in two parts.
+    """
+    spread = _ranges(keys.select(F.col("key").cast("bigint").alias("key")).where("key is not null").distinct(), ["key"])
+    island = F.col("key") - F.row_number().over(Window.partitionBy("_p").orderBy("key"))
+    return spread.withColumn("island", island).groupBy("_p", "island").agg(F.min("key").alias("run_start"), F.max("key").alias("run_end")).drop("_p", "island")
+
+
+def beyond_runs(refs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of ``refs`` (key, ...) whose non-null key lies in none of ``runs`` (run_start, run_end).
+
+    Each key is matched as-of to the run that starts last at or before it, and is reported if it lies beyond that run's
+    end or before all runs. Runs and keys are sorted together in ranges; of each range only its last run is told to the next ones.
+    """
+    payload = [c for c in refs.columns if c != "key"]
+    starts = runs.select(F.col("run_start").alias("key"), F.lit(0).alias("asks"), F.col("run_end"))
+    asked = refs.where("key is not null").select(F.col("key").cast("bigint").alias("key"), F.lit(1).alias("asks"), F.lit(None).cast("bigint").alias("run_end"), *payload)
+    spread = _ranges(starts.unionByName(asked, allowMissingColumns=True), ["key"])
+    ends = spread.groupBy("_p").agg(F.max("run_end").alias("end"))
+    told = ends.select("_p", F.max("end").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    as_of = Window.partitionBy("_p").orderBy("key", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    matched = spread.withColumn("end", F.max("run_end").over(as_of)).join(F.broadcast(told), "_p")
+    return matched.where("asks = 1 and coalesce(key > greatest(end, earlier), true)").select("key", *payload)
+
+
+def numbered(ids: DataFrame) -> DataFrame:
+    """``ids`` (ref_id, ...), one row for each ref_id, with ``key``: a number for each, in the order of the ids and consecutive within each sorted range."""
+    spread = _ranges(ids, ["ref_id"])
+    place = F.row_number().over(Window.partitionBy("_p").orderBy("ref_id"))
+    return cut(spread.withColumn("key", (F.col("_p").cast("bigint") * (1 << 40)) + place).drop("_p"), "numbered")
+
+
+def orphans_of(refs: DataFrame, runs: DataFrame, total: int, most_broadcast: int = 500_000) -> DataFrame:
+    """The rows of ``refs`` (edge_id, side, ref_id, at, ...) whose ``ref_id`` does not exist at ``at``.
+
+    ``runs`` is of :func:`existence_runs`. References are first reduced to their distinct ids, each with its first and
+    last time. These and the parents' ids get numbers in sorted order; the parents' numbers are compressed into runs, and
+    ids whose number lies beyond the end of the run that starts before it never existed. Of the others those that exist from their
+    first to their last reference need no more. Only the rows of the ids that remain are looked at one by one: up to
+    ``most_broadcast`` such ids are broadcast to the rows, more are joined, with hot ids over salts.
+    """
+    asked = refs.groupBy("ref_id").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    parents = runs.select("ref_id").distinct()
+    both = asked.withColumn("parent", F.lit(False)).unionByName(parents.withColumn("parent", F.lit(True)), allowMissingColumns=True)
+    coded = numbered(both.groupBy("ref_id").agg(F.max("first").alias("first"), F.max("last").alias("last"), F.max("parent").alias("parent")))
+    never = beyond_runs(coded.where("first is not null").select("key", "ref_id"), key_runs(coded.where("parent").select("key")))
+    known = coded.where("parent and first is not null").select("ref_id", "first", "last")
+    steady = known.join(runs, "ref_id").where("run_start <= first and run_end > last").select("ref_id")
+    doubtful = known.select("ref_id").join(steady, "ref_id", "left_anti")
+    suspects = never.select("ref_id", F.lit(True).alias("never")).unionByName(doubtful.select("ref_id", F.lit(False).alias("never")))
+    suspects, n = cut_counted(suspects, "suspects")
+    if n <= most_broadcast:
+        rows = refs.join(F.broadcast(suspects), "ref_id")
+    else:
+        salts = max(2, partitions(refs.sparkSession))
+        hot = is_one_of(F.xxhash64("ref_id"), hot_codes(refs.select(F.xxhash64("ref_id").alias("code")), "code", total))
+        salted = refs.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("edge_id", "side"), F.lit(salts)).cast("int")).otherwise(0))
+        rows = salted.join(suspects.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))), ["ref_id", "salt"]).drop("salt")
+    rows = cut(rows, "suspected")
+    unsure = suspects.where("not never").select("ref_id")
+    late = orphan_references(rows.where("not never").drop("never"), runs.join(unsure, "ref_id", "left_semi"), total)
+    return rows.where("never").drop("never").unionByName(late)
+
+
 def orphan_report(orphans: DataFrame, refs: DataFrame, table: str = "edges") -> DataFrame:
     """(referring_table, side, relation, month, orphans, refs, share): distinct references by table, side, relation and month.
 
@@ -125,6 +197,6 @@ def orphan_report(orphans: DataFrame, refs: DataFrame, table: str = "edges") ->
 
 def missing_endpoints(edges: DataFrame, nodes: DataFrame, externals: DataFrame, removals: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(orphans, refs) of an edge table. Any table may be empty; other columns of the tables are not read."""
-    refs = edge_references(edges)
-    runs = existence_runs(nodes, externals, removals)
-    return orphan_references(refs, runs, 2 * edges.count()), refs
+    refs, total = cut_counted(edge_references(edges), "references")
+    runs = cut(existence_runs(nodes, externals, removals), "runs")
+    return orphans_of(refs, runs, total), refs

@@ -70,3 +70,29 @@ def test_canonical_id_as_in_python(spark, text):
         before, want = want, unicodedata.normalize("NFKC", want.casefold())
     want = re.sub("_+", "_", re.sub(r"[^\w]+", "_", want)).strip("_")
     assert spark.createDataFrame([(text,)], "x string").select(canonical_id(F.col("x"))).head()[0] == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_integer_keys(spark, seed):
+    rng = random.Random(seed)
+    keys = {rng.randrange(-50, 200) for _ in range(120)}
+    asked = [rng.randrange(-80, 260) for _ in range(300)] + [5, 5, 2**62, -(2**63)]
+    parents = spark.createDataFrame([(k, 0) for k in keys] + [(k, 1) for k in list(keys)[:9]] + [(None, 0)], "key bigint, run_end int")
+    refs = spark.createDataFrame([(k, i) for i, k in enumerate(asked)] + [(None, -1)], "key bigint, row int")
+    runs = R.key_runs(parents)
+    covered = [k for r in runs.collect() for k in range(r.run_start, r.run_end + 1)]
+    assert sorted(covered) == sorted(keys) and runs.count() < len(keys)
+    assert sorted(r.row for r in R.beyond_runs(refs, runs).collect()) == [i for i, k in enumerate(asked) if k not in keys]
+    assert R.beyond_runs(refs, runs.limit(0)).count() == len(asked) and R.key_runs(parents.limit(0)).count() == 0
+
+
+def test_suspects_too_many_to_broadcast(spark):
+    random.seed(2)
+    edges = [(i, random.choice(["hub", "hub", f"n{i % 9}", "gone"]), f"x{i % 5}", "calls", T(1 + i % 28)) for i in range(300)]
+    e = spark.createDataFrame([(*x, "c", 1) for x in edges], EDGES)
+    n = spark.createDataFrame([("hub", T(9), 7), ("gone", T(1), 7)] + [(f"n{i}", T(1), 7) for i in range(6)], NODES)
+    runs = R.existence_runs(n, spark.createDataFrame([("x1",)], "ext_id string"), spark.createDataFrame([("gone", T(5), None)], GONE))
+    refs = R.edge_references(e)
+    rows = lambda **kw: sorted((r.edge_id, r.side) for r in R.orphans_of(refs, runs, 600, **kw).collect())
+    want = sorted((r.edge_id, r.side) for r in R.orphan_references(refs, runs, 600).collect())
+    assert rows() == rows(most_broadcast=0) == want != []
