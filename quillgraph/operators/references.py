@@ -149,7 +149,7 @@ def numbered(ids: DataFrame) -> DataFrame:
     return cut(spread.withColumn("key", (F.col("_p").cast("bigint") * (1 << 40)) + place).drop("_p"), "numbered")
 
 
-def orphans_of(refs: DataFrame, runs: DataFrame, total: int, most_broadcast: int = 500_000) -> DataFrame:
+def orphans_of(refs: DataFrame, runs: DataFrame, total: int, most_broadcast: int = 200_000) -> DataFrame:
     """The rows of ``refs`` (edge_id, side, ref_id, at, ...) whose ``ref_id`` does not exist at ``at``.
 
     ``runs`` is of :func:`existence_runs`. References are first reduced to their distinct ids, each with its first and

@@ -5,14 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators.analyze import degrees, kinds, value_at_percentile
 from quillgraph.operators.build import Graph
-from quillgraph.session import cut
+from quillgraph.session import cut, cut_counted, cut_watched, partitions
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -120,7 +122,7 @@ def page_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None
     """(id, rank): power iteration over distinct neighbours both ways, edge weights ignored.
 
     ``seeds`` (id, weight) personalises the restart and what dangling nodes give back. It stops after ``rounds``, or
-    when the ranks move by less than ``tolerance`` in all. Contributions are summed before their shuffle.
+    when the ranks move by less than ``tolerance`` in all. Contributions are summed before their shuffle; a round is one job.
     """
     links = both_ways(edges)
     out = links.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
@@ -131,19 +133,19 @@ def page_rank(nodes: DataFrame, edges: DataFrame, seeds: DataFrame | None = None
     else:
         total = seeds.agg(F.sum("weight")).head()[0]
         start = ids.join(seeds.select("id", (F.col("weight") / total).alias("p")), "id", "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
-    base = cut(start.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "p", F.coalesce("out", F.lit(0)).alias("out")), "base")
-    links = cut(links.join(out, "src"), "links")
-    rank = base.select("id", F.col("p").alias("rank"))
+    links = cut(links, "links")
+    lost = F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0))
+    first = start.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", "p", F.coalesce("out", F.lit(0)).alias("out"), F.col("p").alias("rank"))
+    state, seen = cut_watched(first, "rank", lost=lost)
     for _ in range(rounds):
-        lost = rank.join(base.where("out = 0").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        given = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
-        new = base.join(given, "id", "left").join(F.broadcast(lost)).join(rank.withColumnRenamed("rank", "old"), "id")
-        value = alpha * F.coalesce("given", F.lit(0.0)) + (alpha * F.col("lost") + (1 - alpha)) * F.col("p")
-        new = cut(new.select("id", value.alias("rank"), "old"), "rank")
-        rank = new.select("id", "rank")
-        if tolerance is not None and (new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).head()[0] or 0.0) < tolerance:
+        shares = state.where("out > 0").select(F.col("id").alias("src"), (F.col("rank") / F.col("out")).alias("share"))
+        given = links.join(shares, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("given"))
+        value = alpha * F.coalesce("given", F.lit(0.0)) + (alpha * seen["lost"] + (1 - alpha)) * F.col("p")
+        new = state.join(given, "id", "left").select("id", "p", "out", value.alias("rank"), F.abs(value - F.col("rank")).alias("moved"))
+        state, seen = cut_watched(new, "rank", lost=lost, moved=F.sum("moved"))
+        if tolerance is not None and seen["moved"] < tolerance:
             break
-    return rank
+    return state.select("id", "rank")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -172,63 +174,125 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return label
 
 
-def _shortest_counts(links: DataFrame, pivots: DataFrame, most_depth: int) -> list[DataFrame]:
-    """Levels of (pivot, id, sigma, depth): how many shortest paths lead from each pivot to each node."""
-    level = cut(pivots.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("sigma"), F.lit(0).alias("depth")), "sigma")
-    levels = [level]
-    for d in range(1, most_depth + 1):
-        visited = reduce(DataFrame.unionByName, levels).select("pivot", "id")
-        step = level.join(links.withColumnRenamed("src", "id"), "id").groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-        level = cut(step.join(visited, ["pivot", "id"], "left_anti").withColumn("depth", F.lit(d)), "sigma")
-        if level.isEmpty():
-            break
+def _shortest_counts(links: DataFrame, pivots: DataFrame) -> list[DataFrame]:
+    """Levels of (pivot, id, sigma): how many shortest paths lead from each pivot to each node."""
+    level, n = cut_counted(pivots.select(F.col("id").alias("pivot"), "id", F.lit(1.0).alias("sigma")), "sigma")
+    levels: list[DataFrame] = []
+    while n:
         levels.append(level)
+        step = level.join(links.withColumnRenamed("src", "id"), "id").groupBy("pivot", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        # Links go both ways, so a step leads one level down, to the same level, or one level up.
+        seen = reduce(DataFrame.unionByName, levels[-2:]).select("pivot", "id")
+        level, n = cut_counted(step.join(seen, ["pivot", "id"], "left_anti"), "sigma")
     return levels
 
 
-def _dependencies(links: DataFrame, levels: list[DataFrame]) -> tuple[list[DataFrame], list[DataFrame]]:
-    """Brandes' accumulation, level by level backwards: (pivot, id, delta) of nodes and (pivot, a, b, share) of edges."""
-    below, nodes, edges = None, [], []
+def _dependencies(links: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """Brandes' accumulation, level by level backwards: (pivot, upper, lower, share) of the edges that shortest paths go down."""
+    below, edges = None, []
     for k in range(len(levels) - 1, 0, -1):
         own = levels[k] if below is None else levels[k].join(below, ["pivot", "id"], "left")
         share = (F.lit(1.0) + (F.coalesce("delta", F.lit(0.0)) if below is not None else F.lit(0.0))) / F.col("sigma")
         up = own.select("pivot", F.col("id").alias("src"), share.alias("share")).join(links, "src").select("pivot", "src", F.col("dst").alias("id"), "share")
-        back = up.join(levels[k - 1].select("pivot", "id", "sigma"), ["pivot", "id"])
-        back = cut(back.select("pivot", "id", "src", (F.col("sigma") * F.col("share")).alias("share")), "delta")
-        edges.append(back.select("pivot", F.least("id", "src").alias("a"), F.greatest("id", "src").alias("b"), "share"))
-        below = back.groupBy("pivot", "id").agg(F.sum("share").alias("delta"))
-        nodes.append(below)
-    return nodes, edges
-
-
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_depth: int = 64) -> DataFrame:
-    """(id, betweenness): shortest paths through each node from the ``pivots`` (id), scaled to all nodes, both ways, normalised.
-
-    Levels forward count shortest paths for each (pivot, node), levels backward sum dependencies; with all nodes as
-    pivots the result is exact.
+        back = up.join(levels[k - 1], ["pivot", "id"])
+        back = cut(back.select("pivot", F.col("id").alias("upper"), F.col("src").alias("lower"), (F.col("sigma") * F.col("share")).alias("share")), "delta")
+        edges.append(back)
+        below = back.groupBy("pivot", F.col("upper").alias("id")).agg(F.sum("share").alias("delta"))
+    empty = links.select(F.col("src").alias("pivot"), F.col("src").alias("upper"), F.col("dst").alias("lower"), F.lit(0.0).alias("share")).limit(0)
+    return reduce(DataFrame.unionByName, edges, empty)
+
+
+def brandes(begin: np.ndarray, end: np.ndarray, pivots: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(delta of each of ``n`` nodes, share of each link) summed over ``pivots``, on links sorted by ``begin``. A pivot's own delta is left out."""
+    first = np.searchsorted(begin, np.arange(n + 1))
+    nodes, links = np.zeros(n), np.zeros(len(begin))
+    for pivot in pivots:
+        depth, sigma, delta = np.full(n, -1), np.zeros(n), np.zeros(n)
+        depth[pivot], sigma[pivot] = 0, 1.0
+        frontier, steps = np.array([pivot]), []
+        while len(frontier):
+            size = first[frontier + 1] - first[frontier]
+            at = np.repeat(first[frontier] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            new = end[at][depth[end[at]] < 0]
+            depth[new] = len(steps) + 1
+            at = at[depth[end[at]] == len(steps) + 1]
+            sigma += np.bincount(end[at], weights=sigma[begin[at]], minlength=n)
+            steps.append(at)
+            frontier = np.unique(new)
+        for at in reversed(steps):
+            share = sigma[begin[at]] / sigma[end[at]] * (1 + delta[end[at]])
+            links[at] += share
+            delta += np.bincount(begin[at], weights=share, minlength=n)
+        delta[pivot] = 0.0
+        nodes += delta
+    return nodes, links
+
+
+def _shares(links: DataFrame, pivots: DataFrame, most_links: int, groups: int = 32) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, delta), edges (a, b, share)): the dependencies of all ``pivots`` (id), summed.
+
+    Up to ``most_links`` links (src, dst) fit a task well, so each of a few groups of pivots gets them all and walks
+    its pivots one after another; more are walked by joins, level by level for all pivots at once. Both give the same.
     """
-    links = cut(both_ways(edges), "links")
-    deltas, _ = _dependencies(links, _shortest_counts(links, pivots, most_depth))
+    links, count = cut_counted(links, "links")
+    if count > most_links:
+        found = _dependencies(links, _shortest_counts(links, pivots))
+        nodes = found.where("upper != pivot").groupBy(F.col("upper").alias("id")).agg(F.sum("share").alias("delta"))
+        return nodes, found.groupBy(F.least("upper", "lower").alias("a"), F.greatest("upper", "lower").alias("b")).agg(F.sum("share").alias("share"))
+    groups = max(1, min(groups, partitions(links.sparkSession)))
+    ids = links.select(F.col("src").alias("id")).distinct()
+    names = cut(ids.withColumn("code", F.monotonically_increasing_id()), "names")
+    code = lambda c, out: names.select(F.col("id").alias(c), F.col("code").alias(out))
+    coded = links.join(code("src", "s"), "src").join(code("dst", "t"), "dst").select("s", "t")
+    every = coded.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "s", "t")
+    turn = F.row_number().over(Window.orderBy("code")) % groups
+    asked = pivots.select("id").distinct().join(names, "id").select(turn.alias("g"), F.col("code").alias("s"), F.lit(None).cast("bigint").alias("t"))
+
+    def walk(table: pa.Table) -> pa.Table:
+        s, t = table["s"].combine_chunks().to_numpy(), table["t"].combine_chunks()
+        linked = t.is_valid().to_numpy(zero_copy_only=False)
+        t = t.fill_null(-1).to_numpy()
+        known, at = np.unique(np.concatenate([s[linked], t[linked]]), return_inverse=True)
+        begin, end = np.split(at, 2)
+        order = np.lexsort((end, begin))
+        begin, end = begin[order], end[order]
+        nodes, shares = brandes(begin, end, np.sort(np.searchsorted(known, s[~linked])), len(known))
+        some, paths = np.flatnonzero(nodes), np.flatnonzero(shares)
+        return pa.table(
+            {
+                "s": np.concatenate([known[some], known[begin[paths]]]),
+                "t": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(known[end[paths]], pa.int64())]),
+                "share": np.concatenate([nodes[some], shares[paths]]),
+            }
+        )
+
+    walked = cut(every.unionByName(asked).groupBy("g").applyInArrow(walk, "s bigint, t bigint, share double"), "shares")
+    nodes = walked.where("t is null").groupBy("s").agg(F.sum("share").alias("delta")).join(code("id", "s"), "s").select("id", "delta")
+    edges = walked.where("t is not null").join(code("x", "s"), "s").join(code("y", "t"), "t")
+    return nodes, edges.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("share").alias("share"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_links: int = 2_000_000) -> DataFrame:
+    """(id, betweenness): shortest paths of any length through each node from the ``pivots`` (id), scaled to all nodes, both ways, normalised.
+
+    Shortest paths are counted from each pivot, then dependencies summed backwards; with all nodes as pivots the result
+    is exact. For ``most_links`` see :func:`_shares`.
+    """
+    deltas, _ = _shares(both_ways(edges), pivots, most_links)
     ids = nodes.select("id").distinct()
-    if not deltas:
-        return ids.withColumn("betweenness", F.lit(0.0))
     n, k = ids.count(), pivots.count()
     scale = n / max(k, 1) / max((n - 1) * (n - 2), 1)
-    sums = reduce(DataFrame.unionByName, deltas).where("pivot != id").groupBy("id").agg(F.sum("delta").alias("delta"))
-    return ids.join(sums, "id", "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
+    return ids.join(deltas, "id", "left").select("id", (F.coalesce("delta", F.lit(0.0)) * scale).alias("betweenness"))
 
 
-def edge_betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_depth: int = 64) -> DataFrame:
+def edge_betweenness(nodes: DataFrame, edges: DataFrame, pivots: DataFrame, most_links: int = 2_000_000) -> DataFrame:
     """(a, b, betweenness): shortest paths over each undirected edge from the ``pivots``, scaled to all nodes, normalised by n * (n - 1)."""
-    links = cut(both_ways(edges), "links")
-    _, shares = _dependencies(links, _shortest_counts(links, pivots, most_depth))
+    links = both_ways(edges)
+    _, shares = _shares(links, pivots, most_links)
     pairs = links.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    if not shares:
-        return pairs.withColumn("betweenness", F.lit(0.0))
     n, k = nodes.select("id").distinct().count(), pivots.count()
     scale = n / max(k, 1) / max(n * (n - 1), 1)
-    sums = reduce(DataFrame.unionByName, shares).groupBy("a", "b").agg(F.sum("share").alias("share"))
-    return pairs.join(sums, ["a", "b"], "left").select("a", "b", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
+    return pairs.join(shares, ["a", "b"], "left").select("a", "b", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def impact(graph: Graph, targets: DataFrame, communities: DataFrame, ranks: DataFrame, depth: int = 10) -> DataFrame:

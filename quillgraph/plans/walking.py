@@ -79,7 +79,7 @@ def impact_closure(spark: SparkSession, folder: str) -> DataFrame:
 
 def impact_scores(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.impact(g, _gods(g, 10), _area(g), W.page_rank(g.nodes, g.edges, rounds=10, tolerance=None))
+    return W.impact(g, _gods(g, 10), _area(g), W.page_rank(g.nodes, g.edges))
 
 
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -135,12 +135,12 @@ def all_method_flows(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_rank(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.page_rank(g.nodes, g.edges, rounds=10, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+    return W.page_rank(g.nodes, g.edges).select("id", F.round("rank", 8).alias("rank"))
 
 
 def personal_rank(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.page_rank(g.nodes, g.edges, _gods(g).withColumn("weight", F.lit(1.0)), rounds=10, tolerance=None).select("id", F.round("rank", 8).alias("rank"))
+    return W.page_rank(g.nodes, g.edges, _gods(g).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 8).alias("rank"))
 
 
 def components(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,8 +154,8 @@ def central_nodes(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
     n = g.nodes.count()
     k = n if n <= 1000 else min(100, max(20, int(n * 0.02)))
-    pivots = cut(g.nodes.select("id").orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k), "pivots")
-    return W.betweenness(g.nodes, g.edges, pivots)
+    pivots = cut(g.nodes.select("id").orderBy(F.md5("id"), "id").limit(k), "pivots")
+    return W.betweenness(g.nodes, g.edges, pivots).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 def central_edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,8 +163,8 @@ def central_edges(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
     n = g.nodes.count()
     k = n if n <= 500 else min(50, max(20, int(n * 0.01)))
-    pivots = cut(g.nodes.select("id").orderBy(F.xxhash64("id", F.lit(42)), "id").limit(k), "pivots")
-    return W.edge_betweenness(g.nodes, g.edges, pivots)
+    pivots = cut(g.nodes.select("id").orderBy(F.md5("id"), "id").limit(k), "pivots")
+    return W.edge_betweenness(g.nodes, g.edges, pivots).select("a", "b", F.round("betweenness", 9).alias("betweenness"))
 
 
 def label_communities(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +247,7 @@ def node_lookup(spark: SparkSession, folder: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
     scores = S.bm25(S.fields(g.nodes), TERMS)
-    return S.hybrid(g, scores, W.page_rank(g.nodes, g.edges, rounds=10, tolerance=None))
+    return S.hybrid(g, scores, W.page_rank(g.nodes, g.edges))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -285,7 +285,24 @@ def _ranks(rounds: int, start: str) -> str:
         steps.append(f"""k{i} AS MATERIALIZED (SELECT ids.id, 0.85 * coalesce(given, 0) + (0.85 * lost + (1 - 0.85)) * p AS rank FROM ids
           LEFT JOIN (SELECT l.dst AS id, sum(rank / c) AS given FROM l JOIN k{i - 1} r ON r.id = l.src JOIN o ON o.src = l.src GROUP BY l.dst) USING (id),
           (SELECT coalesce(sum(rank), 0) AS lost FROM k{i - 1} WHERE id NOT IN (SELECT src FROM o)))""")
-    return ", ".join(steps)
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.rank - b.rank)) AS moved FROM k{i} a JOIN k{i - 1} b USING (id)" for i in range(1, rounds + 1))
+    every = " UNION ALL ".join(f"SELECT {i} AS i, * FROM k{i}" for i in range(1, rounds + 1))
+    return ", ".join([*steps, f"moved AS ({moved})", f"ranked AS (SELECT id, round(rank, 8) AS rank FROM ({every}) WHERE i = (SELECT min(i) FROM moved WHERE moved < 1e-6))"])
+
+
+def _between(pivots: str, rest: str, levels: int = 20) -> str:
+    """Brandes' algorithm from ``pivots``, unrolled to ``levels`` levels: nd (id, delta) and ed (a, b, share)."""
+    steps = [f"{_BOTH}, size AS (SELECT count(DISTINCT id) AS n FROM n), p AS MATERIALIZED ({pivots}), v0 AS MATERIALIZED (SELECT id AS root, id, 1.0::DOUBLE AS sigma, 0 AS depth FROM p)"]
+    for d in range(1, levels + 1):
+        steps.append(f"""v{d} AS MATERIALIZED (SELECT * FROM v{d - 1} UNION ALL SELECT root, l.dst, sum(sigma), {d} FROM v{d - 1} v JOIN l ON l.src = v.id WHERE depth = {d - 1}
+          AND (root, l.dst) NOT IN (SELECT (root, id) FROM v{d - 1}) GROUP BY root, l.dst)""")
+    for d in range(levels, 0, -1):
+        delta = "0" if d == levels else "coalesce(x.delta, 0)"
+        below = "" if d == levels else f"LEFT JOIN (SELECT root, a AS id, sum(share) AS delta FROM b{d + 1} GROUP BY ALL) x ON x.root = w.root AND x.id = w.id"
+        steps.append(f"""b{d} AS MATERIALIZED (SELECT u.root, u.id AS a, w.id AS b, u.sigma / w.sigma * (1 + {delta}) AS share
+          FROM v{levels} w JOIN l ON l.src = w.id JOIN v{levels} u ON u.root = w.root AND u.id = l.dst AND u.depth = {d - 1} {below} WHERE w.depth = {d})""")
+    every = " UNION ALL ".join(f"SELECT * FROM b{d}" for d in range(1, levels + 1))
+    return ", ".join([*steps, f"every AS MATERIALIZED ({every})"]) + rest
 
 
 _UNIFORM = "SELECT DISTINCT id, 1.0 / (SELECT count(DISTINCT id) FROM n) AS p FROM n"
@@ -335,8 +352,16 @@ ORACLES = {
     "method_flows": f"""WITH RECURSIVE {GRAPH}, {_SIMPLE}, p AS (SELECT id AS start, id AS stop, [id] AS path FROM n WHERE node_kind = 'heading'
       UNION ALL SELECT start, fw.dst, list_append(path, fw.dst) FROM p JOIN fw ON fw.src = stop WHERE NOT list_contains(path, fw.dst) AND len(path) <= 3)
       SELECT start, stop AS sink, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS path FROM p JOIN n ON n.id = stop WHERE node_kind = 'resource' AND len(path) > 1""",
-    "page_rank": f"WITH {GRAPH}, {_ranks(10, _UNIFORM)} SELECT id, round(rank, 8) AS rank FROM k10",
-    "personal_rank": f"WITH {GRAPH}, {_gods_sql(3)}, {_ranks(10, _PERSONAL)} SELECT id, round(rank, 8) AS rank FROM k10",
+    "page_rank": f"WITH {GRAPH}, {_ranks(40, _UNIFORM)} SELECT id, rank FROM ranked",
+    "personal_rank": f"WITH {GRAPH}, {_gods_sql(3)}, {_ranks(40, _PERSONAL)} SELECT id, rank FROM ranked",
+    "central_nodes": "WITH " + GRAPH + ", " + _between(
+        "SELECT DISTINCT id FROM n ORDER BY md5(id), id LIMIT (SELECT CASE WHEN count(DISTINCT id) <= 1000 THEN count(DISTINCT id) ELSE least(100, greatest(20, count(DISTINCT id) * 2 // 100)) END FROM n)",
+        """ SELECT id, round(coalesce(delta, 0) * (n / (SELECT count(*) FROM p)) / ((n - 1) * (n - 2)), 9) AS betweenness FROM (SELECT DISTINCT id FROM n) LEFT JOIN
+        (SELECT a AS id, sum(share) AS delta FROM every WHERE a <> root GROUP BY a) USING (id), size"""),
+    "central_edges": "WITH " + GRAPH + ", " + _between(
+        "SELECT DISTINCT id FROM n ORDER BY md5(id), id LIMIT (SELECT CASE WHEN count(DISTINCT id) <= 500 THEN count(DISTINCT id) ELSE least(50, greatest(20, count(DISTINCT id) // 100)) END FROM n)",
+        """ SELECT a, b, round(coalesce(share, 0) * (n / (SELECT count(*) FROM p)) / (n * (n - 1)), 9) AS betweenness FROM (SELECT src AS a, dst AS b FROM l WHERE src < dst) LEFT JOIN
+        (SELECT least(a, b) AS a, greatest(a, b) AS b, sum(share) AS share FROM every GROUP BY ALL) USING (a, b), size"""),
     "components": f"""WITH RECURSIVE {GRAPH}, s AS MATERIALIZED (SELECT DISTINCT src, dst FROM (SELECT src, dst, relation, confidence FROM e UNION ALL SELECT dst, src, relation, confidence FROM e)
       WHERE confidence = 'EXTRACTED' AND relation IN ('contains', 'method', 'part_of', 'has_part', 'parent_of')),
       c AS (SELECT DISTINCT id, id AS at FROM n UNION SELECT c.id, s.dst FROM c JOIN s ON s.src = c.at) SELECT id, min(at) AS component FROM c GROUP BY id""".replace(" AS at", " AS other").replace("c.at", "c.other").replace("min(at)", "min(other)"),

@@ -60,15 +60,18 @@ def cut(df: DataFrame, name: str = "cut", by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
-    """:func:`cut`, and the number of rows (of those with ``where``), counted while they are written.
-
-    Rows of a stage that ran again may count twice, so zero is exact and other numbers are upper bounds.
-    """
+def cut_watched(df: DataFrame, name: str, **sums: Column) -> tuple[DataFrame, dict[str, float]]:
+    """:func:`cut`, and what ``sums``, aggregates over all rows, come to while these are written."""
     seen = Observation()
-    counted = F.count(F.lit(1)) if where is None else F.count_if(where)
-    out = cut(df.observe(seen, counted.alias("n")), name)
-    return out, int((seen.get or {}).get("n") or 0)
+    out = cut(df.observe(seen, *(v.alias(k) for k, v in sums.items())), name)
+    got = seen.get or {}
+    return out, {k: got.get(k) or 0 for k in sums}
+
+
+def cut_counted(df: DataFrame, name: str, where: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows, or of those with ``where``."""
+    out, seen = cut_watched(df, name, n=F.count(F.lit(1)) if where is None else F.count_if(where))
+    return out, int(seen["n"])
 
 
 def forget(*tables: DataFrame) -> None:

@@ -80,8 +80,9 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in got.collect()} == {"c000"}
 
 
+@pytest.mark.parametrize("most_links", [0, 1000])
 @pytest.mark.parametrize("seed", range(2))
-def test_betweenness_with_all_pivots_is_exact(spark, seed):
+def test_betweenness_with_all_pivots_is_exact(spark, seed, most_links):
     names, pairs = random_edges(seed, 14, 22)
     near = neighbours(pairs)
     want = dict.fromkeys(names, 0.0)
@@ -102,12 +103,20 @@ def test_betweenness_with_all_pivots_is_exact(spark, seed):
                 for x, y in zip(p, p[1:]):
                     over[min(x, y), max(x, y)] += 1 / len(paths)
     n = len(names)
-    got = {r.id: r.betweenness for r in W.betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names)).collect()}
+    got = {r.id: r.betweenness for r in W.betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names), most_links).collect()}
     assert all(got[k] == pytest.approx(v / ((n - 1) * (n - 2))) for k, v in want.items())
-    got = {(r.a, r.b): r.betweenness for r in W.edge_betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names)).collect()}
+    got = {(r.a, r.b): r.betweenness for r in W.edge_betweenness(ids(spark, names), edges(spark, pairs), ids(spark, names), most_links).collect()}
     assert got.keys() == over.keys() and all(got[k] == pytest.approx(v / (n * (n - 1))) for k, v in over.items())
 
 
+def test_betweenness_on_a_long_path_and_on_nothing(spark):
+    n = 75
+    names = [f"n{i:02}" for i in range(n)]
+    got = {r.id: r.betweenness for r in W.betweenness(ids(spark, names), edges(spark, list(zip(names, names[1:]))), ids(spark, names)).collect()}
+    assert all(got[x] == pytest.approx(2 * i * (n - 1 - i) / ((n - 1) * (n - 2))) for i, x in enumerate(names))
+    assert {r.betweenness for r in W.betweenness(ids(spark, names[:3]), edges(spark, []), ids(spark, names[:3])).collect()} == {0.0}
+
+
 def test_page_rank(spark):
     names, pairs = random_edges(7, 12, 16)
     near = neighbours(pairs)
