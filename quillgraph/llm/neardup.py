@@ -156,34 +156,51 @@ def similar_pairs(
 
 
 def text_classes(rows: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-    """(members, sets): rows (id, words) with the smallest id of the same word sequence as ``class_id``, and that row's shingle set (id, s)."""
+    """(members, sets): rows (id, words) with the smallest id of the same word sequence as ``class_id``, and that row's shingle set (id, s).
+
+    Words are worked out once and written; copies then meet as hashes, without their texts.
+    """
     key = [F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), F.length("words").alias("k3")]
-    rows = rows.select("id", "words", *key)
-    groups = cut(rows.groupBy("k1", "k2", "k3").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size"), F.first("words").alias("words")), "classes")
+    rows = cut(rows.select("id", "words"), "words").where("id is not null and words is not null")
+    keys = cut(rows.select("id", *key), "keys")
+    groups = cut(keys.groupBy("k1", "k2", "k3").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("size")), "classes")
     several = groups.where("size > 1").select("k1", "k2", "k3", "class_id")
-    members = groups.where("size = 1").select(F.col("class_id").alias("id"), "class_id").unionByName(
-        rows.select("id", "k1", "k2", "k3").join(several, ["k1", "k2", "k3"]).select("id", "class_id").distinct()
-    )
-    sets = groups.select(F.col("class_id").alias("id"), F.split("words", " ").alias("w")).select("id", shingles(F.col("w"), k).alias("s"))
-    return members, sets
+    copies = keys.join(several, ["k1", "k2", "k3"]).select("id", "class_id").distinct()
+    members = cut(groups.where("size = 1").select(F.col("class_id").alias("id"), "class_id").unionByName(copies), "members")
+    repeated = members.where("id != class_id").select("id")
+    again = cut(keys.groupBy("id").count().where("count > 1").select("id"), "again")
+    firsts = rows.join(repeated, "id", "left_anti")
+    firsts = firsts.join(again, "id", "left_anti").unionByName(firsts.join(again, "id", "left_semi").dropDuplicates(["id"])).select("id", F.split("words", " ").alias("w"))
+    return members, firsts.select("id", shingles(F.col("w"), k).alias("s"))
 
 
 def near_duplicates(rows: DataFrame, k: int = 5, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """(members, pairs) of ``rows`` (id, words): members (id, class_id) and the similar pairs (a, b, similarity) of class ids.
 
     Rows of the same word sequence form one class and are compared once. Rows with fewer than ``k`` words are only
-    members of their class. Null ids or words are left out; repeated rows count once, an id has one text.
+    members of their class. Null ids or words are left out; rows repeated in full count once, an id has one text.
     """
-    members, sets = text_classes(rows.where("id is not null and words is not null"), k)
-    members = cut(members, "members")
+    members, sets = text_classes(rows, k)
     return members, cut(similar_pairs(sets, members.count(), threshold), "pairs")
 
 
-def all_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of rows behind the pairs of classes, and those inside a class."""
-    one, two = (members.select(F.col("class_id").alias(c), F.col("id").alias(i)) for c, i in (("a", "i"), ("b", "j")))
-    across = pairs.select("a", "b").join(one, "a").join(two, "b").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
-    inside = one.join(two.withColumnRenamed("b", "a"), "a").where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
+def all_pairs(members: DataFrame, pairs: DataFrame, per_salt: int = 2000) -> DataFrame:
+    """(a, b), a < b: the pairs of rows behind the pairs of classes, and those inside a class.
+
+    A class of more than ``per_salt`` members is spread over salts on one side and repeated for each of them on the other.
+    """
+    salts = members.groupBy("class_id").agg((1 + F.floor(F.count(F.lit(1)) / per_salt)).cast("int").alias("salts"))
+    salts = cut(salts, "salts")
+    spread = members.join(salts, "class_id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
+
+    def expanded(rows: DataFrame, side: str, to: str) -> DataFrame:
+        asked = rows.join(salts.withColumnRenamed("class_id", side), side).select(*rows.columns, every)
+        return asked.join(spread.select(F.col("class_id").alias(side), F.col("id").alias(to), "salt"), [side, "salt"]).drop(side, "salt")
+
+    across = expanded(expanded(pairs.select("a", "b"), "a", "i"), "b", "j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    several = members.join(cut(members.groupBy("class_id").count().where("count > 1").select("class_id"), "several"), "class_id")
+    inside = expanded(several.select("class_id", F.col("id").alias("i")), "class_id", "j").where("i < j").select(F.col("i").alias("a"), F.col("j").alias("b"))
     return across.unionByName(inside)
 
 

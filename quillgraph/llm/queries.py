@@ -39,10 +39,9 @@ P3_WORDS, P3_SIMILARITY, P3_LEAST = 3, 0.6, 20
 
 
 def _p3(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, folder, "node_metadata").select("meta_id", "label", "content")
-    long = neardup.word_count(neardup.words(F.col("content"))) >= P3_LEAST
-    text = F.concat(F.coalesce("label", F.lit("")), F.lit("\n"), F.col("content"))
-    rows = nodes.where(long).select(F.col("meta_id").alias("id"), neardup.words(text).alias("words"))
+    nodes = table(spark, folder, "node_metadata").select("meta_id", neardup.words(F.coalesce("label", F.lit(""))).alias("head"), neardup.words(F.col("content")).alias("body"))
+    both = F.trim(F.concat("head", F.lit(" "), "body"))
+    rows = nodes.select(F.col("meta_id").alias("id"), F.when(neardup.word_count(F.col("body")) >= P3_LEAST, both).alias("words"))
     return neardup.near_duplicates(rows, P3_WORDS, P3_SIMILARITY)
 
 

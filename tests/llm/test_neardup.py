@@ -55,6 +55,14 @@ def test_boilerplate_copies_nulls_and_short_texts(spark):
     assert got == brute([r for r in rows if r[0] is not None and r[1] is not None], 3, 0.6)
 
 
+def test_a_hot_class_is_split_and_repeated_rows_count_once(spark):
+    rows = [(i, "one text that very many rows share " * 3) for i in range(90)] + [(200, "one text that very many rows share " * 3 + "x"), (3, "one text that very many rows share " * 3), (200, "one text that very many rows share " * 3 + "x")]
+    df = spark.createDataFrame([(i, x, "clash", 1) for i, x in rows], "id bigint, words string, k1 string, s int")
+    members, pairs = N.near_duplicates(df, 3, 0.6)
+    got = [(r.a, r.b) for r in N.all_pairs(members, pairs, per_salt=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.6)
+
+
 def test_empty_and_very_long(spark):
     assert found(spark, [], 3, 0.6)[0] == set()
     long = [f"w{i}" for i in range(20_000)]
