@@ -124,11 +124,19 @@ def resolved_calls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stubs(spark: SparkSession, folder: str) -> DataFrame:
-    return R.stub_map(code_nodes(spark, folder))
+    """Callees as call sites know them, by label and without a file, and the nodes they stand for."""
+    g = code_graph(spark, folder)
+    callees = g.edges.where("relation = 'calls'").select(F.col("dst").alias("id")).distinct().join(g.nodes.select("id", "label"), "id")
+    sites = callees.select(F.concat(F.lit("site:"), "id").alias("id"), "label", F.lit(None).cast("string").alias("source_file"))
+    return R.stub_map(g.nodes.select("id", "label", "source_file").unionByName(sites))
 
 
 def declarations(spark: SparkSession, folder: str) -> DataFrame:
-    return R.declaration_map(code_nodes(spark, folder))
+    """C classes, with a header beside each file that declares its classes again."""
+    n = code_nodes(spark, folder).select("id", "label", "node_kind", "source_file")
+    again = n.where((F.col("node_kind") == "class") & F.col("source_file").rlike(r"\.(c|cpp|m)$"))
+    again = again.select(F.concat("id", F.lit("_h")).alias("id"), "label", "node_kind", F.regexp_replace("source_file", r"\.\w+$", ".h").alias("source_file"))
+    return R.declaration_map(n.unionByName(again))
 
 
 def distinct_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -141,7 +149,10 @@ def shared_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, folder: str) -> DataFrame:
-    return R.mentions(table(spark, folder, "documents").select("doc_id", "text"), code_nodes(spark, folder))
+    """What documents mention in code spans, their node's label as a closing span among it."""
+    n = code_nodes(spark, folder)
+    docs = table(spark, folder, "documents").select("doc_id", "text", "node_id").join(n.select(F.col("id").alias("node_id"), "label"), "node_id", "left")
+    return R.mentions(docs.select("doc_id", F.concat_ws("", "text", F.concat(F.lit("\n`"), "label", F.lit("`"))).alias("text")), n)
 
 
 def lint(spark: SparkSession, folder: str) -> DataFrame:
@@ -196,7 +207,9 @@ def document_headings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_links(spark: SparkSession, folder: str) -> DataFrame:
-    return formats.links(table(spark, folder, "documents"))
+    """The documents that texts link to; code spans that name a document are links."""
+    docs = table(spark, folder, "documents").select("doc_id", formats.linked_spans(F.col("text")).alias("text"))
+    return formats.links(docs)
 
 
 def file_classes(spark: SparkSession, folder: str) -> DataFrame:
@@ -271,16 +284,18 @@ ORACLES = {
     "manifest_delta": f"""WITH {_FILES}, g AS (SELECT source_file AS path, count(*) FILTER (extracted_at < TIMESTAMP '{SPLIT_AT}') AS oc, max(extracted_at) FILTER (extracted_at < TIMESTAMP '{SPLIT_AT}') AS om,
       count(*) FILTER (extracted_at >= TIMESTAMP '2024-06-01') AS nc, max(extracted_at) FILTER (extracted_at >= TIMESTAMP '2024-06-01') AS nm FROM f WHERE source_file IS NOT NULL GROUP BY ALL)
       SELECT path, CASE WHEN oc = 0 THEN 'new' WHEN nc = 0 THEN CASE WHEN ends_with(path, '.md') THEN 'excluded' ELSE 'deleted' END WHEN date_trunc('second', om) = date_trunc('second', nm) OR oc = nc THEN 'unchanged' ELSE 'changed' END AS state FROM g""",
-    "stubs": f"""WITH {NODES}, r AS (SELECT id, label FROM n WHERE coalesce(source_file, '') <> ''), s AS (SELECT id AS stub, label FROM n WHERE coalesce(source_file, '') = ''),
+    "stubs": f"""WITH {GRAPH}, r AS (SELECT id, label FROM n WHERE coalesce(source_file, '') <> ''),
+      s AS (SELECT id AS stub, label FROM n WHERE coalesce(source_file, '') = '' UNION ALL SELECT DISTINCT 'site:' || id, label FROM n WHERE id IN (SELECT dst FROM e WHERE relation = 'calls')),
       x AS (SELECT label AS k, min(id) AS real FROM r GROUP BY label HAVING count(DISTINCT id) = 1), y AS (SELECT lower(label) AS k, min(id) AS real FROM r GROUP BY lower(label) HAVING count(DISTINCT id) = 1),
       a AS (SELECT stub, real FROM s JOIN x ON k = label) SELECT * FROM a UNION ALL SELECT stub, real FROM s JOIN y ON k = lower(label) WHERE stub NOT IN (SELECT stub FROM a)""",
-    "declarations": rf"""WITH {NODES}, c AS (SELECT id, label, regexp_replace(source_file, '\.(h|hh|hpp|hxx|c|cc|cpp|cxx|m|mm)$', '') AS stem FROM n WHERE node_kind = 'class' AND regexp_matches(source_file, '\.(h|hh|hpp|hxx|c|cc|cpp|cxx|m|mm)$'))
+    "declarations": rf"""WITH {NODES}, a AS (SELECT id, label, node_kind, source_file FROM n UNION ALL SELECT id || '_h', label, node_kind, regexp_replace(source_file, '\.\w+$', '.h') FROM n WHERE node_kind = 'class' AND regexp_matches(source_file, '\.(c|cpp|m)$')),
+      c AS (SELECT id, label, regexp_replace(source_file, '\.(h|hh|hpp|hxx|c|cc|cpp|cxx|m|mm)$', '') AS stem FROM a WHERE node_kind = 'class' AND regexp_matches(source_file, '\.(h|hh|hpp|hxx|c|cc|cpp|cxx|m|mm)$'))
       SELECT id, survivor FROM (SELECT id, min(id) OVER (PARTITION BY stem, label) AS survivor FROM c) WHERE id <> survivor""",
     "distinct_ids": f"""WITH d AS (SELECT DISTINCT {canon("id")} AS id, coalesce({sql_path("source_file")}, '') AS source_file FROM extraction)
       SELECT id, source_file, CASE WHEN source_file = min(source_file) OVER (PARTITION BY id) THEN id ELSE id || '_' || substr(sha256(source_file), 1, 8) END AS new_id FROM d WHERE id <> ''""",
     "shared_types": f"""WITH {NODES}, c AS (SELECT id, label AS name, split_part(source_file, '/', 1) AS repo FROM n WHERE node_kind = 'class' AND source_file IS NOT NULL),
       b AS (SELECT name, arg_min(repo, id) AS r0, min(id) AS first FROM c GROUP BY name HAVING count(DISTINCT repo) > 1) SELECT first AS src, id AS dst FROM c JOIN b USING (name) WHERE repo <> r0""",
-    "mentions": rf"""WITH {NODES}, s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([^`\n]{{2,120}})`', 1)) AS mention FROM documents), m AS (SELECT doc_id, mention, lower(regexp_replace(mention, '\(.*\)$', '')) AS key FROM s),
+    "mentions": rf"""WITH {NODES}, t AS (SELECT doc_id, concat(text, chr(10) || '`' || label || '`') AS text FROM documents LEFT JOIN n ON n.id = node_id), s AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '`([^`\n]{{2,120}})`', 1)) AS mention FROM t), m AS (SELECT doc_id, mention, lower(regexp_replace(mention, '\(.*\)$', '')) AS key FROM s),
       k AS (SELECT id, unnest([id, lower(regexp_replace(label, '\(\)$', '')), lower(regexp_extract(coalesce(source_file, ''), '[^/]*$'))]) AS key FROM n),
       u AS (SELECT key, min(id) AS id FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT id) = 1) SELECT doc_id, id, mention FROM m JOIN u USING (key)""",
     "lint": rf"""WITH {NODES}, {EDGES}, c AS (SELECT *, regexp_replace(regexp_replace(label, '^[()]+|[()]+$', '', 'g'), '^\.+', '') AS name, lower(regexp_extract(coalesce(source_file, ''), '[^/]*$')) AS file, coalesce(source_file, '') AS sf FROM n)
@@ -308,3 +323,48 @@ ORACLES = {
       s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
       SELECT user_id, epoch_us(min(ts)) AS from_us, epoch_us(max(ts) + INTERVAL 1 DAY) AS to_us, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS paths FROM s GROUP BY user_id, session""",
 }
+
+_EXT = "lower(CASE WHEN contains(regexp_extract(path, '[^/]*$'), '.') THEN regexp_extract(path, '[^.]*$') ELSE '' END)"
+_PATHS = "f AS (SELECT DISTINCT source_file AS path FROM n WHERE source_file IS NOT NULL)"
+_FIELD = lambda c, name: f"""'"{name}":' || CAST(to_json({c}) AS VARCHAR)"""
+_QUOTED = lambda c: rf"""replace(replace(regexp_replace(coalesce({c}, ''), '[\r\n]+', ' ', 'g'), '\', '\\'), '''', '\''')"""
+
+_TESTED = lambda p: f"(contains(lower({p}), 'test_') OR contains(lower({p}), '_test') OR contains(lower({p}), 'tests/'))"
+_FAMILY = lambda p: "CASE " + " ".join(f"WHEN {_EXT.replace('path', p)} IN {listed(v)} THEN '{k}'" for k, v in V.EDGE_FAMILIES.items()) + " END"
+_DIRS = lambda p: f"string_split({p}, '/')[:-2]"
+
+ORACLES |= {
+    "resolved_calls": rf"""WITH {GRAPH}, c AS (SELECT e.edge_id AS call_id, src AS caller, coalesce(e.source_file, '') AS ff, lower(regexp_replace(regexp_replace(n.label, '\(\)$', ''), '^\.', '')) AS name, {_FAMILY("coalesce(e.source_file, '')")} AS fam
+        FROM e JOIN n ON n.id = e.dst WHERE e.relation = 'calls'),
+      d AS (SELECT lower(regexp_replace(regexp_replace(label, '\(\)$', ''), '^\.', '')) AS name, id, source_file AS df, {_FAMILY("source_file")} AS family FROM n WHERE node_kind IN ('function', 'method', 'class') AND source_file IS NOT NULL),
+      x AS (SELECT *, list_transform(range(1, greatest(len({_DIRS("ff")}), len({_DIRS("df")})) + 1), lambda i: coalesce(({_DIRS("ff")})[i] = ({_DIRS("df")})[i], false)) AS same FROM c JOIN d USING (name)
+        WHERE (fam IS NULL OR family IS NULL OR fam = family) AND id <> caller),
+      y AS (SELECT *, rank() OVER (PARTITION BY call_id ORDER BY {_TESTED("ff")} = {_TESTED("df")} DESC, ff = df DESC, regexp_replace(ff, '/[^/]*$', '') = regexp_replace(df, '/[^/]*$', '') DESC,
+        coalesce(list_position(same, false) - 1, len(same)) DESC) AS place FROM x)
+      SELECT call_id, min(caller) AS caller, min(id) AS target, 'INFERRED' AS confidence, 0.85::DOUBLE AS score FROM y WHERE place = 1 GROUP BY call_id HAVING count(DISTINCT id) = 1""",
+    "document_headings": r"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+      f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*(```|~~~)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) % 2 = 1 AS fenced FROM l),
+      h AS (SELECT *, CASE WHEN NOT fenced AND regexp_matches(line, '^#{1,6}\s+\S') THEN length(regexp_extract(line, '^(#{1,6})', 1)) END AS level FROM f),
+      s AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM h),
+      b AS (SELECT doc_id, section, count(*) - 1 AS body_lines FROM s WHERE section > 0 GROUP BY ALL),
+      p AS (SELECT x.doc_id, x.pos, max(y.pos) AS parent_pos FROM s x JOIN s y ON y.doc_id = x.doc_id AND y.pos < x.pos AND y.level < x.level GROUP BY ALL)
+      SELECT s.doc_id, CAST(s.pos AS INTEGER) AS pos, CAST(level AS INTEGER) AS level, trim(regexp_replace(line, '^#{1,6}\s+', '')) AS title, CAST(parent_pos AS INTEGER) AS parent_pos, body_lines
+      FROM s JOIN b USING (doc_id, section) LEFT JOIN p ON p.doc_id = s.doc_id AND p.pos = s.pos WHERE level IS NOT NULL""",
+    "document_links": r"""WITH t AS (SELECT doc_id, regexp_replace(text, '`([^`\s]+\.(?:md|mdx|qmd|rst|txt))`', '[\1](\1)', 'g') AS text FROM documents WHERE text IS NOT NULL),
+      r AS (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '\[[^\]]*\]\(([^)\s]+)[^)]*\)', 1), regexp_extract_all(text, '\[\[([^\]|#]+)', 1), regexp_extract_all(text, '(?m)^\[[^\]]+\]:\s*(\S+)', 1))) AS raw FROM t),
+      c AS (SELECT doc_id, raw, regexp_replace(raw, '[#?].*$', '') AS clean FROM r WHERE NOT regexp_matches(raw, '^[a-zA-Z][a-zA-Z0-9+.-]*:')),
+      g AS (SELECT doc_id, CASE WHEN regexp_matches(clean, '\.[A-Za-z0-9]+$') THEN clean ELSE clean || '.md' END AS target, CASE WHEN instr(raw, '#') > 1 THEN 'references_heading' ELSE 'references' END AS relation FROM c WHERE clean <> '')
+      SELECT doc_id, target, max(relation) AS relation FROM g WHERE regexp_matches(target, '(?i)\.(md|mdx|qmd|rst|txt)$') GROUP BY ALL""",
+    "file_classes": rf"""WITH {NODES}, {_PATHS}, b AS (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS name, {_EXT} AS x FROM f)
+      SELECT path, CASE WHEN name IN ('package.json', 'pyproject.toml', 'cargo.toml', 'go.mod', 'pom.xml', 'requirements.txt', 'poetry.lock', 'apm.yml') THEN 'manifest'
+          WHEN starts_with(name, 'dockerfile') OR regexp_matches(name, '^(docker-)?compose.*\.ya?ml$') OR name IN ('chart.yaml', 'jenkinsfile') OR contains(path, '/.github/workflows/') THEN 'infrastructure'
+          WHEN x IN {listed(V.CODE_ENDINGS)} THEN 'code' WHEN x IN {listed([*V.DOCUMENT_ENDINGS, "pdf", "html", "yaml", "yml", "toml"])} THEN 'document' WHEN x IN {listed(V.IMAGE_ENDINGS)} THEN 'image' END AS class,
+        regexp_matches(path, '(^|/)[^/]*\.min\.js(/.*)?$') OR (regexp_matches(path, '(^|/)dist/.') AND NOT regexp_matches(path, '^dist/keep\.js(/.*)?$'))
+          OR regexp_matches(path, '^gen/.') OR regexp_matches(path, '^(.*/)?node_modules/.') AS ignored FROM b""",
+    "noise_files": rf"""WITH {NODES}, {_PATHS}, b AS (SELECT path, {_EXT} AS x, regexp_extract(path, '^(.*?(?:^|/)(?:{"|".join(files.BUILD_DIRECTORIES)}))/', 1) AS build, list_transform(string_split(path, '/'), lambda p: lower(p)) AS parts FROM f)
+      SELECT path FROM b WHERE len(list_filter(parts[:-2], lambda p: p IN {listed(files.NOISE_DIRECTORIES)})) > 0 OR (build <> '' AND build IN (SELECT build FROM b WHERE x IN {listed(files.BUILD_ENDINGS)}))""",
+    "cypher_statements": rf"""WITH {GRAPH} SELECT 'MERGE (n:Node {{id: ''' || {_QUOTED("id")} || '''}}) SET n.label = ''' || {_QUOTED("label")} || ''';' AS statement FROM n
+      UNION ALL SELECT 'MATCH (a:Node {{id: ''' || {_QUOTED("src")} || '''}}), (b:Node {{id: ''' || {_QUOTED("dst")} || '''}}) MERGE (a)-[:' || regexp_replace(upper(relation), '[^A-Z0-9_]', '_', 'g') || ']->(b);' FROM e""".replace("\\'\\'", "''").replace("''", "''"),
+    "graph_json": f"""WITH {GRAPH} SELECT 'nodes' AS part, '{{' || concat_ws(',', {", ".join(_FIELD(c, c) for c in ("file_type", "id", "label", "source_file"))}) || '}}' AS json FROM n
+      UNION ALL SELECT 'links', '{{' || concat_ws(',', {", ".join(_FIELD(c, n) for c, n in (("confidence", "confidence"), ("relation", "relation"), ("src", "source"), ("dst", "target")))}) || '}}' FROM e""",
+}

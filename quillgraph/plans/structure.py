@@ -295,6 +295,17 @@ ORACLES = {
     "dangling_edges": f"""WITH {NODES}, {EDGES} SELECT edge_id, 'source' AS endpoint, src AS node_id, relation FROM e0 WHERE src NOT IN (SELECT id FROM n)
       UNION ALL SELECT edge_id, 'target', dst, relation FROM e0 WHERE dst NOT IN (SELECT id FROM n)""",
     "graph_edges": f"{_WITH} SELECT edge_id, src, dst, relation FROM e",
+    "built_graph": f"""WITH {_RECORDS}, {_GHOSTS}, {EDGES},
+      g1 AS (SELECT e0.*, coalesce(x.real, src) AS s1, coalesce(y.real, dst) AS d1 FROM e0 LEFT JOIN gm x ON x.ghost = src LEFT JOIN gm y ON y.ghost = dst),
+      g2 AS (SELECT * FROM g1 WHERE src = dst OR s1 <> d1),
+      bn AS (SELECT * FROM r WHERE id NOT IN (SELECT ghost FROM gm)),
+      al AS (SELECT DISTINCT id, unnest([{canon("label")}, {canon("regexp_extract(coalesce(source_file, ''), '[^/]*$')")}]) AS alias FROM bn),
+      un AS (SELECT alias, min(id) AS own FROM al WHERE alias <> '' AND alias NOT IN (SELECT id FROM bn) GROUP BY alias HAVING count(DISTINCT id) = 1),
+      g3 AS (SELECT g2.* REPLACE (coalesce(x.own, s1) AS src, coalesce(y.own, d1) AS dst) FROM g2 LEFT JOIN un x ON x.alias = s1 LEFT JOIN un y ON y.alias = d1),
+      fm AS (SELECT id, source_file, {_family("source_file", V.EDGE_FAMILIES)} AS fam FROM bn)
+      SELECT edge_id, src, dst, relation, coalesce(g3.source_file, u.source_file, v.source_file) AS source_file FROM g3 JOIN fm u ON u.id = src JOIN fm v ON v.id = dst
+      WHERE NOT coalesce(u.fam <> v.fam AND (relation IN ('imports', 'imports_from', 'references') OR (relation = 'calls' AND confidence = 'INFERRED')), false)
+        AND NOT (src = dst AND relation IN ('imports', 'imports_from', 're_exports'))""",
     "ghosts": f"WITH {_RECORDS}, {_GHOSTS} SELECT * FROM gm",
     "cross_language_edges": f"""{_WITH}, f AS (SELECT id, {_family("source_file", V.EDGE_FAMILIES)} AS fam FROM n)
       SELECT edge_id, src, dst, relation FROM e JOIN f u ON u.id = src JOIN f v ON v.id = dst

@@ -323,6 +323,9 @@ _SUB = r"""list_distinct(flatten(list_transform(list_filter(list_transform(regex
   lambda t: list_concat([t], list_transform(regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(t, '[_\-]+', ' ', 'g'), '([A-Z]+)([A-Z][a-z0-9])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z0-9])', '\1 \2', 'g'), '[A-Z]?[a-z0-9]+|[A-Z]+'), lambda p: lower(p))))))"""
 
 
+_SUB_ALL = _SUB.removeprefix("list_distinct(").removesuffix(")")
+
+
 def _bm25(order: str = "") -> str:
     words = r"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[\p{{L}}\p{{N}}]+')"
     tf = ", ".join(f"5.0 * len(list_filter(a, lambda w: w = '{t}')) + 1.0 * len(list_filter(c, lambda w: w = '{t}')) AS f{i}" for i, t in enumerate(TERMS))
@@ -373,6 +376,8 @@ ORACLES = {
     "node_keywords": _keywords("SELECT id, concat_ws(' ', label, content) AS text FROM n", "id", "text", 3),
     "vocabulary": f"""WITH {NODES}, t AS (SELECT id, list_distinct(list_filter(list_transform({_SUB.format(x="concat_ws(chr(10), label, content)")}, lambda t: lower(t)), lambda t: length(t) >= 2)) AS ts FROM n),
       u AS (SELECT unnest(ts) AS term FROM t) SELECT term, count(*) AS doc_count FROM u GROUP BY term""",
+    "label_subtokens": f"""WITH {NODES}, t AS (SELECT id, {_SUB_ALL.format(x="label")} AS ts FROM n)
+      SELECT id, coalesce(array_to_string(list_filter(ts, lambda t, i: list_position(ts, t) = i), ' '), '') AS parts FROM t""",
     "label_entropy": rf"""WITH {NODES}, q AS (SELECT id, trim(regexp_replace(lower(label), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS key FROM n), c AS (SELECT id, unnest(string_split(key, '')) AS ch FROM q WHERE key <> ''),
       f AS (SELECT id, ch, count(*) AS c FROM c GROUP BY ALL), h AS (SELECT id, sum(c) AS s FROM f GROUP BY id), x AS (SELECT id, -sum(c / s * log2(c / s)) AS entropy FROM f JOIN h USING (id) GROUP BY id)
       SELECT id, key, round(coalesce(entropy, 0), 6) AS entropy FROM q LEFT JOIN x USING (id)""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import text as T
@@ -130,3 +130,8 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     target = F.when(clean.rlike(r"\.[A-Za-z0-9]+$"), clean).otherwise(F.concat(clean, F.lit(".md")))
     rows = rows.where(clean != "").select(key, target.alias("target"), F.when(F.instr("raw", "#") > 1, "references_heading").otherwise("references").alias("relation"))
     return rows.where(F.col("target").rlike(r"(?i)\.(md|mdx|qmd|rst|txt)$")).groupBy(key, "target").agg(F.max("relation").alias("relation"))
+
+
+def linked_spans(text: Column) -> Column:
+    """``text`` with code spans that name a document turned into links to it."""
+    return F.regexp_replace(text, r"`([^`\s]+\.(?:md|mdx|qmd|rst|txt))`", "[$1]($1)")
