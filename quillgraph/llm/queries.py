@@ -139,3 +139,17 @@ ORACLES = {
       n AS (SELECT meta_id, count(*) AS c FROM s GROUP BY meta_id), b AS (SELECT x.meta_id AS a, y.meta_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.meta_id < y.meta_id GROUP BY ALL)
       SELECT a AS meta_a, b AS meta_b FROM b JOIN n p ON p.meta_id = a JOIN n q ON q.meta_id = b WHERE i / (p.c + q.c - i) >= {P3_SIMILARITY}""",
 }
+
+_P3_PAIRS = f"""w AS (SELECT meta_id, regexp_extract_all(lower(coalesce(label, '') || chr(10) || content), '[a-z0-9]+') AS w FROM node_metadata
+        WHERE len(regexp_extract_all(lower(content), '[a-z0-9]+')) >= {P3_LEAST}),
+      c AS (SELECT meta_id, w, min(meta_id) OVER (PARTITION BY array_to_string(w, ' ')) AS class_id FROM w),
+      s AS MATERIALIZED (SELECT meta_id, unnest(list_distinct(list_transform(range(1, len(w) - {P3_WORDS} + 2), lambda i: array_to_string(w[i:i + {P3_WORDS} - 1], ' ')))) AS g FROM c WHERE meta_id = class_id),
+      n AS (SELECT meta_id, count(*) AS c FROM s GROUP BY meta_id), b AS (SELECT x.meta_id AS a, y.meta_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.meta_id < y.meta_id GROUP BY ALL),
+      pairs AS MATERIALIZED (SELECT a, b FROM b JOIN n p ON p.meta_id = a JOIN n q ON q.meta_id = b WHERE i / (p.c + q.c - i) >= {P3_SIMILARITY}),
+      sides AS MATERIALIZED (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs)"""
+
+ORACLES |= {
+    "p3_groups": f"""WITH RECURSIVE {_P3_PAIRS}, near AS (SELECT DISTINCT class_id AS x, class_id AS y FROM c UNION SELECT near.x, sides.y FROM near JOIN sides ON sides.x = near.y),
+      least_of AS (SELECT x, min(y) AS group_id FROM near GROUP BY x), linked AS (SELECT x, count(*) AS links FROM sides GROUP BY x), sizes AS (SELECT class_id, count(*) AS copies FROM c GROUP BY class_id)
+      SELECT meta_id, class_id, group_id, copies, coalesce(links, 0) AS links FROM c JOIN sizes USING (class_id) JOIN least_of ON least_of.x = class_id LEFT JOIN linked ON linked.x = class_id""",
+}
