@@ -9,9 +9,11 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgraph.functions import code
 from quillgraph.functions import vocabulary as V
-from quillgraph.operators import analyze, briefing, build, communities, merge, search, upkeep, walks
+from quillgraph.operators import analyze, briefing, build, communities, context, merge, search, upkeep, walks
 from quillgraph.operators.build import Graph
+from quillgraph.operators.index import Index, build_index, open_index
 from quillgraph.session import build_session, cut
 from quillgraph.sources import extract, files, formats
 
@@ -98,6 +100,26 @@ class Engine:
     def brief(self, question: str, budget: int = 2000) -> DataFrame:
         return briefing.briefing(self.graph, search.bm25(search.fields(self.graph.nodes), search.query_terms(question, V.ENGLISH_STOPWORDS)), budget)
 
+    def index(self, folder: str) -> Index:
+        """The search index of the graph, written to ``folder``."""
+        return build_index(search.fields(self.graph.nodes).join(self.graph.nodes.select("id", "label"), "id"), folder, "label")
+
+    def refine(self, draft: str, folder: str, budget: int = 2000) -> DataFrame:
+        """What a draft leans on, by the index in ``folder``."""
+        return context.refine(self.graph, open_index(self.graph.nodes.sparkSession, folder), draft, budget)
+
+    def diff_context(self, hunks: DataFrame) -> DataFrame:
+        return context.diff_context(self.graph, hunks)
+
+    def signature(self, name: str) -> DataFrame:
+        """Signatures and outlines of what a name stands for."""
+        n = self.graph.nodes.join(self._seeds(name).select("id").distinct(), "id", "left_semi")
+        return n.select("id", code.signature(F.col("content")).alias("signature"), code.skeleton(F.col("content")).alias("outline"))
+
+    def implementation(self, name: str) -> DataFrame:
+        """The whole text of what a name stands for, with its place."""
+        return self.graph.nodes.join(self._seeds(name).select("id").distinct(), "id", "left_semi").select("id", "label", "source_file", "source_location", "content")
+
     def explain(self, name: str) -> DataFrame:
         ids = self._seeds(name).select("id")
         return analyze.connections(self.graph).join(ids, "id", "left_semi")
@@ -121,7 +143,7 @@ class Engine:
 # Commands: how many names each takes.
 COMMANDS = {
     "stats": 0, "god_nodes": 0, "communities": 0, "lint": 0, "cypher": 0, "find": 1, "neighbours": 1, "callers": 1, "callees": 1, "references": 1, "implementations": 1,
-    "affected": 1, "impact": 1, "explain": 1, "query": 1, "brief": 1, "path": 2, "flow": 2,
+    "affected": 1, "impact": 1, "explain": 1, "signature": 1, "implementation": 1, "query": 1, "brief": 1, "path": 2, "flow": 2,
 }
 
 

@@ -70,19 +70,13 @@ def trigram_postings(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(key, F.explode(T.windows(F.lower(F.coalesce(text, F.lit(""))), 3)).alias("trigram"))
 
 
-def trigram_candidates(postings: DataFrame, key: str, needles: list[str]) -> DataFrame:
-    """(needle, key): rows that have all trigrams of a needle; the rows to check exactly."""
-    spark = postings.sparkSession
-    wanted = spark.createDataFrame([(n, n[i : i + 3]) for n in needles for i in range(max(1, len(n) - 2))], "needle string, trigram string").distinct()
-    need = wanted.groupBy("needle").agg(F.count(F.lit(1)).alias("need"))
-    hits = postings.join(F.broadcast(wanted), "trigram").groupBy("needle", key).agg(F.count(F.lit(1)).alias("have"))
-    return hits.join(F.broadcast(need), "needle").where("have = need").select("needle", key)
-
-
-def substring_search(rows: DataFrame, key: str, text: str, needles: list[str]) -> DataFrame:
-    """(needle, key): rows whose lower-cased text contains the needle, by candidates from trigrams and an exact check of those."""
-    cand = trigram_candidates(trigram_postings(rows, key, F.col(text)), key, needles)
-    return cand.join(rows.select(key, text), key).where(F.lower(F.col(text)).contains(F.col("needle"))).select("needle", key)
+def contained(rows: DataFrame, key: str, text: str, needles: list[str]) -> DataFrame:
+    """(needle, key): rows whose lower-cased text contains a needle, in one pass without a shuffle."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if not needles:
+        return rows.select(F.lit("").alias("needle"), key).limit(0)
+    hit = [F.when(lower.contains(n), F.lit(n)) for n in dict.fromkeys(needles)]
+    return rows.select(F.explode(F.filter(F.array(*hit), lambda x: x.isNotNull())).alias("needle"), key)
 
 
 def fuzzy_terms(vocab: DataFrame, terms: list[str], limit: int = 3) -> DataFrame:
@@ -157,7 +151,7 @@ def find_nodes(nodes: DataFrame, name: str) -> DataFrame:
     return rows.join(F.broadcast(rows.agg(F.min("tier").alias("best")))).where("tier = best").select("id", "tier")
 
 
-def hybrid(graph: Graph, scores: DataFrame, ranks: DataFrame, seeds: int = 20, top: int = 20, rounds: int = 10) -> DataFrame:
+def hybrid(graph: Graph, scores: DataFrame, ranks: DataFrame, seeds: int = 20, top: int = 20, rounds: int = 100) -> DataFrame:
     """(id, hops, score): nodes near the best matches, ranked by words and graph together.
 
     The ``seeds`` best of ``scores`` (id, score), scaled to at most 10, are walked from for two steps; a node's score is its own
@@ -173,7 +167,7 @@ def hybrid(graph: Graph, scores: DataFrame, ranks: DataFrame, seeds: int = 20, t
     ids = best.select("id")
     within = graph.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
     restart = ids.join(scaled, "id", "left").select("id", F.coalesce("match", F.lit(0.1)).alias("weight"))
-    personal = page_rank(ids, within, restart, rounds=rounds, tolerance=None).withColumnRenamed("rank", "own")
+    personal = page_rank(ids, within, restart, rounds=rounds).withColumnRenamed("rank", "own")
     rows = best.join(personal, "id").join(ranks, "id").join(scaled, "id", "left")
     score = F.coalesce("match", F.lit(0.0)) + F.col("pull") + 10 * F.col("own") + 5 * F.col("rank")
     return rows.select("id", "hops", F.round(score, 4).alias("score")).orderBy(F.desc("score"), "id").limit(top)

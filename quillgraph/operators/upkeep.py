@@ -105,20 +105,31 @@ def spans(nodes: DataFrame) -> DataFrame:
     return lined.unionByName(rows.where("first is null").withColumn("last", F.lit(None).cast("int")))
 
 
+def same_files(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a, b): distinct paths of ``left`` (file) and ``right`` (file) that are equal or of which one ends with the other.
+
+    Each path meets the other side's by the ends of its path, so a file name that very many directories have is no hot spot.
+    """
+    ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
+    a, b = left.select(F.col("file").alias("a")).where("a is not null").distinct(), right.select(F.col("file").alias("b")).where("b is not null").distinct()
+    longer = a.select("a", F.explode(ends("a")).alias("b")).join(b, "b")
+    return longer.unionByName(b.select("b", F.explode(ends("b")).alias("a")).join(a, "a")).distinct()
+
+
 def touched(hunks: DataFrame, node_spans: DataFrame) -> DataFrame:
-    """(diff_id, id): nodes that changed ranges overlap. Paths are equal or one ends with the other; they meet by file name."""
-    h = hunks.withColumn("base", P.base_name(F.col("file"))).alias("h")
-    s = node_spans.withColumn("base", P.base_name(F.col("file"))).alias("s")
-    near = (F.col("h.base") == F.col("s.base")) & P.same_path(F.col("h.file"), F.col("s.file"))
-    overlap = F.col("s.first").isNull() | ((F.col("s.first") <= F.col("h.last")) & (F.col("s.last") >= F.col("h.first")))
-    return h.join(s, near & overlap).select("h.diff_id", "s.id").distinct()
+    """(diff_id, id): nodes that changed ranges overlap. Paths are equal or one ends with the other."""
+    pairs = same_files(hunks, node_spans)
+    h = hunks.withColumnRenamed("file", "a").alias("h").join(pairs, "a").select("diff_id", "b", F.col("h.first").alias("f"), F.col("h.last").alias("l"))
+    overlap = F.col("s.first").isNull() | ((F.col("s.first") <= F.col("l")) & (F.col("s.last") >= F.col("f")))
+    s = node_spans.withColumnRenamed("file", "b").alias("s")
+    return h.join(s, "b").where(overlap).select("diff_id", "id").distinct()
 
 
 def change_impact(files: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """(change, nodes, communities): how many nodes and communities each change touches; ``files`` (change, file), ``members`` (id, community)."""
-    f = files.select("change", "file").distinct().withColumn("base", P.base_name(F.col("file"))).alias("f")
-    n = nodes.where("source_file is not null").select("id", F.col("source_file").alias("file")).withColumn("base", P.base_name(F.col("file"))).alias("n")
-    hit = f.join(n, (F.col("f.base") == F.col("n.base")) & P.same_path(F.col("f.file"), F.col("n.file"))).select("f.change", "n.id").distinct()
+    n = nodes.where("source_file is not null").select("id", F.col("source_file").alias("b"))
+    pairs = same_files(files, n.withColumnRenamed("b", "file"))
+    hit = files.select("change", F.col("file").alias("a")).distinct().join(pairs, "a").join(n, "b").select("change", "id").distinct()
     return hit.join(members, "id", "left").groupBy("change").agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("community").alias("communities"))
 
 

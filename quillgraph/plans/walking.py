@@ -9,6 +9,8 @@ from quillgraph.functions import predicates as P
 from quillgraph.functions import vocabulary as V
 from quillgraph.operators import analyze as A
 from quillgraph.operators import communities as C
+from quillgraph.operators import context as X
+from quillgraph.operators import index as I
 from quillgraph.operators import search as S
 from quillgraph.operators import walks as W
 from quillgraph.operators.build import Graph
@@ -16,6 +18,7 @@ from quillgraph.plans import rules_sql as Q
 from quillgraph.plans.graphs import GRAPH, KINDS, NODES, code_graph, code_nodes, listed
 from quillgraph.session import cut, table
 
+NEEDLES = ["parse", "queue", "reading", "zzz"]
 TERMS = ["parser", "pipeline", "broken", "ledger"]
 
 
@@ -223,7 +226,38 @@ def bm25_top(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def substring_search(spark: SparkSession, folder: str) -> DataFrame:
-    return S.substring_search(code_nodes(spark, folder), "id", "label", ["parse", "queue", "reading", "zzz"])
+    return S.contained(code_nodes(spark, folder), "id", "label", NEEDLES)
+
+
+def _index(spark: SparkSession, folder: str) -> I.Index:
+    nodes = code_nodes(spark, folder)
+    return I.build_index(S.fields(nodes).join(nodes.select("id", "label"), "id"), I.scratch_folder(spark, "index"), "label")
+
+
+def indexed_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same as ``substring_search``, by the trigrams of an index on disk."""
+    return I.substrings(_index(spark, folder), code_nodes(spark, folder).select("id", F.col("label").alias("text")), NEEDLES)
+
+
+def index_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by the stems of a few words, of an index on disk; a misspelt word is replaced by its neighbours."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "title", F.col("text").alias("body"), F.col("source").alias("tags"))
+    index = I.build_index(docs, I.scratch_folder(spark, "index"))
+    return I.search_index(index, ["renamed", "describing", "patients", "compilr"]).select("id", F.round("score", 6).alias("score"))
+
+
+def refined_context(spark: SparkSession, folder: str) -> DataFrame:
+    """What a short draft leans on in the graph."""
+    draft = "def load(panel):\n    socket = build_symbol(panel)\n    return parse_ledger(socket).compile(retry=3)\n"
+    return X.refine(code_graph(spark, folder), _index(spark, folder), draft)
+
+
+def diff_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """Each day's edges as a change of their lines and the five after: what it changes, who calls that, tests it and routes to it."""
+    g = _graph(spark, folder)
+    line = P.line_number(F.col("source_location"))
+    hunks = g.edges.where("source_file is not null").select(F.date_format("made_at", "yyyy-MM-dd").alias("diff_id"), F.col("source_file").alias("file"), line.alias("first"), (line + 5).alias("last"))
+    return X.diff_context(g, hunks.where("first is not null and diff_id is not null").distinct())
 
 
 def fuzzy_terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +287,7 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     callers, references_elsewhere, neighbourhood, neighbourhood_gated, neighbourhood_edges, affected, impact_closure, impact_scores, shortest_paths, implementations, all_implementations,
     execution_flows, all_execution_flows, method_flows, all_method_flows, page_rank, personal_rank, components, central_nodes, central_edges, label_communities, communities, community_overlaps, keywords, node_keywords,
-    vocabulary, label_subtokens, label_entropy, term_idf, bm25, bm25_top, substring_search, fuzzy_terms, label_scores, search_seeds, node_lookup, hybrid_search,
+    vocabulary, label_subtokens, label_entropy, term_idf, bm25, bm25_top, substring_search, indexed_substrings, index_search, refined_context, diff_contexts, fuzzy_terms, label_scores, search_seeds, node_lookup, hybrid_search,
 )}
 
 # ---- the same in SQL
@@ -326,6 +360,21 @@ _SUB = r"""list_distinct(flatten(list_transform(list_filter(list_transform(regex
 _SUB_ALL = _SUB.removeprefix("list_distinct(").removesuffix(")")
 
 
+_LINE_OF = "TRY_CAST(regexp_extract(coalesce(source_location, ''), 'L?([0-9]+)', 1) AS INTEGER)"
+
+
+def _stem_search(stems: list[str]) -> str:
+    """BM25 over title, tags and body of documents, each stem given as the words that have it."""
+    words = lambda c: f"regexp_extract_all(lower(strip_accents(coalesce({c}, ''))), '[\\p{{L}}\\p{{N}}]+')"
+    tf = ", ".join("5.0 * len(list_filter(a, lambda w: regexp_full_match(w, '{0}'))) + 4.0 * len(list_filter(g, lambda w: regexp_full_match(w, '{0}'))) + 1.0 * len(list_filter(c, lambda w: regexp_full_match(w, '{0}'))) AS f{1}".format(x, i) for i, x in enumerate(stems))
+    idf = lambda i: f"greatest(ln(((SELECT n FROM z) - (SELECT n{i} FROM z) + 0.5) / ((SELECT n{i} FROM z) + 0.5)), 1e-6)"
+    score = " + ".join(f"{idf(i)} * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * size / (SELECT a FROM z)))" for i in range(len(stems)))
+    return f"""t AS (SELECT doc_id AS id, {words("title")} AS a, {words("source")} AS g, {words("text")} AS c FROM documents),
+      x AS MATERIALIZED (SELECT id, len(a) + len(g) + len(c) AS size, {tf} FROM t),
+      z AS (SELECT count(*) AS n, avg(size) AS a, {", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(stems)))} FROM x)
+      SELECT id, round({score}, 6) AS score FROM x WHERE {" OR ".join(f"f{i} > 0" for i in range(len(stems)))}"""
+
+
 def _bm25(order: str = "") -> str:
     words = r"regexp_extract_all(lower(strip_accents(coalesce({x}, ''))), '[\p{{L}}\p{{N}}]+')"
     tf = ", ".join(f"5.0 * len(list_filter(a, lambda w: w = '{t}')) + 1.0 * len(list_filter(c, lambda w: w = '{t}')) AS f{i}" for i, t in enumerate(TERMS))
@@ -385,7 +434,19 @@ ORACLES = {
       SELECT term, df, round(ln(1 + (SELECT count(*) FROM n) / (1 + df)), 9) AS idf FROM d""",
     "bm25": _bm25(),
     "bm25_top": _bm25("ORDER BY score DESC, id LIMIT 20"),
-    "substring_search": f"WITH {NODES}, t AS (SELECT unnest(['parse', 'queue', 'reading', 'zzz']) AS needle) SELECT needle, id FROM n, t WHERE contains(lower(label), needle)",
+    "substring_search": f"WITH {NODES}, t AS (SELECT unnest({NEEDLES}) AS needle) SELECT needle, id FROM n, t WHERE contains(lower(label), needle)",
+    "indexed_substrings": f"WITH {NODES}, t AS (SELECT unnest({NEEDLES}) AS needle) SELECT needle, id FROM n, t WHERE contains(lower(label), needle)",
+    "index_search": "WITH " + _stem_search(["renam(e|es|ed|ing)", "describ(e|es|ed|ing)", "patient(s|ly)?", "compil(e|es|ed|er|ers|ing)"]),
+    "diff_contexts": f"""WITH {GRAPH}, ln AS (SELECT DISTINCT strftime(made_at, '%Y-%m-%d') AS diff_id, source_file AS a, {_LINE_OF} AS first FROM e WHERE source_file IS NOT NULL AND made_at IS NOT NULL),
+      l AS (SELECT id, source_file AS b, {_LINE_OF} AS first FROM n WHERE source_file IS NOT NULL),
+      s AS (SELECT id, b, first, coalesce(greatest(lead(first) OVER (PARTITION BY b ORDER BY first, id) - 1, first), 2147483647) AS last FROM l WHERE first IS NOT NULL UNION ALL SELECT id, b, NULL, NULL FROM l WHERE first IS NULL),
+      c AS MATERIALIZED (SELECT DISTINCT diff_id, id FROM ln JOIN s ON regexp_extract(a, '[^/]*$') = regexp_extract(b, '[^/]*$') AND (a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a))
+        AND (s.first IS NULL OR (s.first <= ln.first + 5 AND s.last >= ln.first)) WHERE ln.first IS NOT NULL),
+      nb AS (SELECT src AS id, dst AS other, relation FROM e UNION SELECT dst, src, relation FROM e),
+      near AS (SELECT c.diff_id, other, relation, lower(coalesce(source_file, '')) AS f FROM c JOIN nb USING (id) JOIN n ON n.id = other WHERE other <> c.id)
+      SELECT diff_id, 'changed' AS role, id FROM c UNION ALL SELECT DISTINCT c.diff_id, 'caller', src FROM c JOIN e ON dst = c.id AND relation IN {listed(V.CALLS)} WHERE (c.diff_id, src) NOT IN (SELECT (diff_id, id) FROM c)
+      UNION ALL SELECT DISTINCT diff_id, 'test', other FROM near WHERE contains(lower(other), 'test') OR contains(f, 'test')
+      UNION ALL SELECT DISTINCT diff_id, 'endpoint', other FROM near WHERE relation IN ('route', 'endpoint', 'api') OR contains(lower(other), 'route')""",
     "fuzzy_terms": f"""WITH {NODES}, t AS (SELECT id, list_distinct(list_filter(list_transform({_SUB.format(x="label")}, lambda t: lower(t)), lambda t: length(t) >= 2)) AS ts FROM n),
       v AS (SELECT DISTINCT unnest(ts) AS m FROM t), a AS (SELECT unnest(['lede', 'brokr', 'vehcle', 'mnaifest', 'ledger', 'ax']) AS term),
       d AS (SELECT term, m, levenshtein(m, term) AS distance FROM v, a WHERE levenshtein(m, term) <= CASE WHEN length(term) >= 5 THEN 2 WHEN length(term) = 4 THEN 1 ELSE 0 END AND (m = term OR length(m) >= 4)),
