@@ -101,7 +101,7 @@ def spans(nodes: DataFrame) -> DataFrame:
     line = P.line_number(F.col("source_location"))
     rows = nodes.where("source_file is not null").select("id", F.col("source_file").alias("file"), line.alias("first"))
     following = F.lead("first").over(Window.partitionBy("file").orderBy("first", "id"))
-    lined = rows.where("first is not null").withColumn("last", F.coalesce(F.greatest(following - 1, F.col("first")), F.lit(2**31 - 1)))
+    lined = rows.where("first is not null").withColumn("last", F.when(following.isNull(), 2**31 - 1).otherwise(F.greatest(following - 1, F.col("first"))))
     return lined.unionByName(rows.where("first is null").withColumn("last", F.lit(None).cast("int")))
 
 
@@ -113,7 +113,7 @@ def same_files(left: DataFrame, right: DataFrame) -> DataFrame:
     ends = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda i: F.array_join(F.slice(F.split(c, "/"), i, F.size(F.split(c, "/"))), "/"))
     a, b = left.select(F.col("file").alias("a")).where("a is not null").distinct(), right.select(F.col("file").alias("b")).where("b is not null").distinct()
     longer = a.select("a", F.explode(ends("a")).alias("b")).join(b, "b")
-    return longer.unionByName(b.select("b", F.explode(ends("b")).alias("a")).join(a, "a")).distinct()
+    return longer.unionByName(b.select("b", F.explode(ends("b")).alias("a")).join(a, "a")).select("a", "b").distinct()
 
 
 def touched(hunks: DataFrame, node_spans: DataFrame) -> DataFrame:

@@ -312,7 +312,7 @@ ORACLES = {
     "running_lessons": """SELECT 'user:' || user_id AS node, round(sum(CASE event_type WHEN 'purchase' THEN 1 WHEN 'error' THEN -1 ELSE 0 END * power(2.0, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 86400000000.0 / 30.0)), 4) AS grown FROM events GROUP BY ALL""",
     "touched_nodes": f"""WITH {NODES}, {EDGES}, h AS (SELECT edge_id AS diff_id, source_file AS a, {_LINE} AS first FROM e0 WHERE source_file IS NOT NULL),
       l AS (SELECT id, source_file AS b, {_LINE} AS first FROM n WHERE source_file IS NOT NULL),
-      s AS (SELECT id, b, first, coalesce(greatest(lead(first) OVER (PARTITION BY b ORDER BY first, id) - 1, first), 2147483647) AS last FROM l WHERE first IS NOT NULL UNION ALL SELECT id, b, NULL, NULL FROM l WHERE first IS NULL)
+      s AS (SELECT id, b, first, CASE WHEN lead(first) OVER (PARTITION BY b ORDER BY first, id) IS NULL THEN 2147483647 ELSE greatest(lead(first) OVER (PARTITION BY b ORDER BY first, id) - 1, first) END AS last FROM l WHERE first IS NOT NULL UNION ALL SELECT id, b, NULL, NULL FROM l WHERE first IS NULL)
       SELECT DISTINCT diff_id, id FROM h JOIN s ON regexp_extract(a, '[^/]*$') = regexp_extract(b, '[^/]*$') AND {_SAME} AND (s.first IS NULL OR (s.first <= h.first + 5 AND s.last >= h.first)) WHERE h.first IS NOT NULL""",
     "change_impact": f"""WITH {NODES}, {_FILES}, c AS (SELECT DISTINCT strftime(extracted_at, '%Y-%m-%d') AS change, source_file AS a FROM f WHERE source_file IS NOT NULL), d AS (SELECT id, source_file AS b, node_kind FROM n WHERE source_file IS NOT NULL),
       h AS (SELECT DISTINCT change, id, node_kind FROM c JOIN d ON regexp_extract(a, '[^/]*$') = regexp_extract(b, '[^/]*$') AND {_SAME}) SELECT change, count(*) AS nodes, count(DISTINCT node_kind) AS communities FROM h GROUP BY change""",

@@ -439,7 +439,7 @@ ORACLES = {
     "index_search": "WITH " + _stem_search(["renam(e|es|ed|ing)", "describ(e|es|ed|ing)", "patient(s|ly)?", "compil(e|es|ed|er|ers|ing)"]),
     "diff_contexts": f"""WITH {GRAPH}, ln AS (SELECT DISTINCT strftime(made_at, '%Y-%m-%d') AS diff_id, source_file AS a, {_LINE_OF} AS first FROM e WHERE source_file IS NOT NULL AND made_at IS NOT NULL),
       l AS (SELECT id, source_file AS b, {_LINE_OF} AS first FROM n WHERE source_file IS NOT NULL),
-      s AS (SELECT id, b, first, coalesce(greatest(lead(first) OVER (PARTITION BY b ORDER BY first, id) - 1, first), 2147483647) AS last FROM l WHERE first IS NOT NULL UNION ALL SELECT id, b, NULL, NULL FROM l WHERE first IS NULL),
+      s AS (SELECT id, b, first, CASE WHEN lead(first) OVER (PARTITION BY b ORDER BY first, id) IS NULL THEN 2147483647 ELSE greatest(lead(first) OVER (PARTITION BY b ORDER BY first, id) - 1, first) END AS last FROM l WHERE first IS NOT NULL UNION ALL SELECT id, b, NULL, NULL FROM l WHERE first IS NULL),
       c AS MATERIALIZED (SELECT DISTINCT diff_id, id FROM ln JOIN s ON regexp_extract(a, '[^/]*$') = regexp_extract(b, '[^/]*$') AND (a = b OR ends_with(a, '/' || b) OR ends_with(b, '/' || a))
         AND (s.first IS NULL OR (s.first <= ln.first + 5 AND s.last >= ln.first)) WHERE ln.first IS NOT NULL),
       nb AS (SELECT src AS id, dst AS other, relation FROM e UNION SELECT dst, src, relation FROM e),
