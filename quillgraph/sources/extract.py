@@ -11,42 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from quillgraph.operators.build import Graph
+from quillgraph.sources.braces import ENDINGS, extract_braces
+from quillgraph.sources.fragment import Fragment
+from quillgraph.sources.fragment import key_of as _key
 from quillgraph.sources.yaml_lite import documents
 
 Row = tuple[str, str, str, str, str, str, str]
 FRAGMENT = "part string, id string, label string, kind string, target string, location string, source_file string"
 
 
-def _key(*parts: str) -> str:
-    return re.sub(r"[^\w]+|_+", "_", "_".join(parts)).strip("_").lower()
-
-
-class Fragment:
-    """Rows of one file: nodes with a label and kind, edges with a relation (in ``kind``) and a target."""
-
-    def __init__(self, path: str) -> None:
-        self.path, self.rows, self.seen = path, [], set()
-        self.file = self.node(_key(path), path.rsplit("/", 1)[-1], "file", 1)
-
-    def node(self, key: str, label: str, kind: str, line: int = 1) -> str:
-        if ("n", key) not in self.seen:
-            self.seen.add(("n", key))
-            self.rows.append(("node", key, label, kind, None, f"L{line}", self.path))
-        return key
-
-    def edge(self, source: str, target: str, relation: str, line: int = 1) -> None:
-        if source and target and ("e", source, target, relation) not in self.seen:
-            self.seen.add(("e", source, target, relation))
-            self.rows.append(("edge", source, None, relation, target, f"L{line}", self.path))
-
-    def stub(self, name: str, kind: str = "stub") -> str:
-        key = _key(name)
-        if ("n", key) not in self.seen:
-            self.seen.add(("n", key))
-            self.rows.append(("node", key, name, kind, None, None, None))
-        return key
-
-
 def _line(text: str, at: int) -> int:
     return text.count("\n", 0, at) + 1
 
@@ -76,7 +49,7 @@ def extract_python(path: str, text: str) -> Fragment:
                         out.edge(key, out.stub(ast.unparse(b).split("[")[0]), "inherits", n.lineno)
                 doc = ast.get_docstring(n)
                 if doc:
-                    out.edge(out.node(key + "_rationale", doc.split("\n")[0][:120], "rationale", n.lineno), key, "rationale_for", n.lineno)
+                    out.edge(out.node(key + "_rationale", doc.split("\n")[0], "rationale", n.lineno), key, "rationale_for", n.lineno)
                 visit(n.body, key, f"{prefix}_{n.name}", is_class)
 
     visit(tree.body, out.file, path, False)
@@ -168,27 +141,20 @@ def extract_markdown(path: str, text: str) -> Fragment:
     return out
 
 
-def extract_json(path: str, text: str, deepest: int = 6, most: int = 500) -> Fragment:
+def extract_json(path: str, text: str) -> Fragment:
     """Keys of a configuration in their hierarchy; dependencies and what it extends. Data in JSON is left out."""
     out = Fragment(path)
     try:
         data = json.loads(text)
-    except ValueError:
+    except (ValueError, RecursionError):
         return out
     name = path.rsplit("/", 1)[-1].lower()
     known = name in ("package.json", "tsconfig.json", "composer.json") or re.search(r"config|rc\.json$|settings", name)
     if not isinstance(data, dict) or not (known or {"dependencies", "scripts", "compilerOptions", "extends", "plugins"} & set(data)):
         return out
-    left = most
 
-    def walk(value: object, owner: str, prefix: str, depth: int) -> None:
-        nonlocal left
-        if depth > deepest or not isinstance(value, dict):
-            return
-        for k, v in value.items():
-            if left <= 0:
-                return
-            left -= 1
+    def walk(value: object, owner: str, prefix: str) -> None:
+        for k, v in value.items() if isinstance(value, dict) else ():
             key = out.node(_key(path, prefix, k), k, "key")
             out.edge(owner, key, "contains")
             if k == "extends":
@@ -198,9 +164,9 @@ def extract_json(path: str, text: str, deepest: int = 6, most: int = 500) -> Fra
                 for package in v:
                     out.edge(key, out.stub(package, "package"), "imports")
             else:
-                walk(v, key, f"{prefix}_{k}", depth + 1)
+                walk(v, key, f"{prefix}_{k}")
 
-    walk(data, out.file, "", 1)
+    walk(data, out.file, "")
     return out
 
 
@@ -496,6 +462,69 @@ def extract_chart(path: str, text: str) -> Fragment:
     return out
 
 
+def extract_cloudformation(path: str, text: str) -> Fragment:
+    """Resources and parameters of a stack template, and what each resource depends on or refers to."""
+    out = Fragment(path)
+    try:
+        docs = [json.loads(text)] if text.lstrip().startswith("{") else list(documents(text))
+    except ValueError:
+        return out
+    for doc in map(_dict, docs):
+        known = {}
+        for section, kind in (("Parameters", "parameter"), ("Resources", "resource")):
+            for name, body in _dict(doc.get(section)).items():
+                label = f"{_dict(body).get('Type', 'Parameter')}:{name}"
+                known[str(name)] = out.node(_key(path, str(name)), label, kind)
+                out.edge(out.file, known[str(name)], "contains")
+
+        def refer(key: str, x: object, relation: str) -> None:
+            if isinstance(x, dict):
+                for k, v in x.items():
+                    refer(key, f"!Ref {v}" if k == "Ref" else f"!GetAtt {v[0] if isinstance(v, list) and v else v}" if k == "Fn::GetAtt" else v, relation)
+            elif isinstance(x, list):
+                for y in x:
+                    refer(key, y, relation)
+            elif isinstance(x, str):
+                # Tags may be gone once the file is read; a value that is just the name of a resource refers to it.
+                for name in re.findall(r"^(?:!(?:Ref|GetAtt)\s+)?([\w-]+)(?:\.\w+)*$|\$\{([\w-]+)", x):
+                    target = known.get(name[0] or name[1])  # noqa: B023
+                    if target and target != key:
+                        out.edge(key, target, relation)
+
+        for name, body in _dict(doc.get("Resources")).items():
+            body = _dict(body)
+            after = body.get("DependsOn")
+            for target in after if isinstance(after, list) else [after]:
+                if str(target) in known:
+                    out.edge(known[str(name)], known[str(target)], "depends_on")
+            refer(known[str(name)], body.get("Properties"), "references")
+    return out
+
+
+def extract_argocd(path: str, text: str) -> Fragment:
+    """Applications, sets and projects: the repositories and paths they deploy from, where to, and their project."""
+    out = Fragment(path)
+    for doc in map(_dict, documents(text)):
+        meta, spec = _dict(doc.get("metadata")), _dict(doc.get("spec"))
+        if not str(doc.get("apiVersion", "")).startswith("argoproj.io/") or not meta.get("name"):
+            continue
+        key = out.node(_key("argo", str(doc.get("kind")), str(meta["name"])), f"{doc.get('kind')}:{meta['name']}", "resource")
+        out.edge(out.file, key, "contains")
+        spec = _dict(_dict(spec.get("template")).get("spec")) or spec
+        sources = spec.get("sources") if isinstance(spec.get("sources"), list) else [spec.get("source")]
+        for source in map(_dict, sources):
+            if source.get("repoURL"):
+                out.edge(key, out.stub(f"Repo:{source['repoURL']}", "repository"), "deploys_from")
+            if source.get("path"):
+                out.edge(key, out.stub(str(source["path"])), "references")
+        to = _dict(spec.get("destination"))
+        if to.get("namespace") or to.get("server") or to.get("name"):
+            out.edge(key, out.stub(f"Cluster:{to.get('server') or to.get('name') or ''}/{to.get('namespace') or ''}", "cluster"), "deploys_to")
+        if spec.get("project"):
+            out.edge(key, out.stub(f"argo AppProject {spec['project']}", "resource"), "belongs_to")
+    return out
+
+
 def extract_yaml(path: str, text: str) -> Fragment:
     """By what the file is: workflow, composition, chart, resources; other YAML gives its file only."""
     name = path.rsplit("/", 1)[-1].lower()
@@ -505,6 +534,10 @@ def extract_yaml(path: str, text: str) -> Fragment:
         return extract_compose(path, text)
     if name == "chart.yaml":
         return extract_chart(path, text)
+    if re.search(r"(?m)^AWSTemplateFormatVersion:|^\s+Type:\s*[\"']?AWS::", text):
+        return extract_cloudformation(path, text)
+    if re.search(r"(?m)^apiVersion:\s*argoproj\.io/.*$", text):
+        return extract_argocd(path, text)
     if re.search(r"(?m)^apiVersion:", text) and re.search(r"(?m)^kind:", text):
         return extract_kubernetes(path, text)
     return Fragment(path)
@@ -621,7 +654,7 @@ BY_ENDING: dict[str, Extractor] = {
     "json": extract_json, "avsc": extract_avro, "html": extract_html, "htm": extract_html, "proto": extract_protobuf, "tf": extract_terraform, "hcl": extract_terraform,
     "yaml": extract_yaml, "yml": extract_yaml, "bzl": extract_bazel, "bazel": extract_bazel, "sln": extract_project, "slnx": extract_project, "csproj": extract_project,
     "fsproj": extract_project, "vbproj": extract_project, "xaml": extract_markup, "razor": extract_markup, "cshtml": extract_markup, "vue": extract_markup, "svelte": extract_markup,
-    "astro": extract_markup, "properties": extract_properties, "sh": extract_shell, "bash": extract_shell, **{e: extract_lines for r in LINE_RULES.values() for e in r[0]},
+    "astro": extract_markup, "properties": extract_properties, "sh": extract_shell, "bash": extract_shell, **{e: extract_lines for r in LINE_RULES.values() for e in r[0]}, **{e: extract_braces for e in ENDINGS},
 }
 
 
@@ -637,7 +670,9 @@ def extractor_for(path: str, text: str) -> Extractor | None:
         return extract_bazel
     if name.endswith(".blade.php"):
         return extract_markup
-    if last == "json" and ('"$schema"' in text[:2000] or '"openapi"' in text[:2000]) and ('"properties"' in text or '"definitions"' in text or '"$defs"' in text):
+    if last in ("json", "template") and ('"AWSTemplateFormatVersion"' in text or re.search(r'"Type"\s*:\s*"AWS::', text)):
+        return extract_cloudformation
+    if last == "json" and ('"$schema"' in text or '"openapi"' in text) and ('"properties"' in text or '"definitions"' in text or '"$defs"' in text):
         return extract_json_schema
     if last in BY_ENDING:
         return BY_ENDING[last]
