@@ -112,9 +112,10 @@ def pack(items: DataFrame, budgets: DataFrame, buckets: int = 256) -> DataFrame:
     for r in sized.groupBy("budget_id", "size").count().collect():
         histograms[r.budget_id][r["size"]] = r["count"]
     runs = [(b, *run) for b, h in histograms.items() for run in plan_containers(h, capacities[b])[0]]
-    plan = F.broadcast(spark.createDataFrame(runs, RUN))
+    plan = spark.createDataFrame(runs, RUN).groupBy("budget_id", "size").agg(F.collect_list(F.struct("rank_from", "rank_to", "each", "first_container")).alias("runs"))
     ranked = prefix_sums(sized.withColumn("key", F.struct("item", "part")).withColumn("one", F.lit(1)), ["budget_id", "size"], "key", "one", "rank", buckets)
-    placed = ranked.join(plan, ["budget_id", "size"]).where("rank >= rank_from and rank < rank_to")
+    mine = F.filter("runs", lambda r: (F.col("rank") >= r.rank_from) & (F.col("rank") < r.rank_to))
+    placed = ranked.join(F.broadcast(plan), ["budget_id", "size"]).withColumn("run", F.get(mine, F.lit(0))).select("*", "run.*")
     container = F.col("first_container") + F.floor((F.col("rank") - F.col("rank_from")) / F.col("each")).cast("bigint")
     empty = pieces.where("size <= 0").select("budget_id", F.lit(None).cast("bigint").alias("container"), "doc_id", "part", "first_token", F.lit(0).cast("bigint").alias("n_tokens"))
     return placed.select("budget_id", container.alias("container"), "doc_id", "part", "first_token", F.col("size").alias("n_tokens")).unionByName(empty)
