@@ -31,6 +31,12 @@ def _gods(g: Graph, top: int = 3) -> DataFrame:
     return cut(A.god_nodes(g, top).select("id"), "gods")
 
 
+def _asked(spark: SparkSession, folder: str) -> DataFrame:
+    """The query set, as seeds: every node whose meta_id is divisible by 50."""
+    ids = table(spark, folder, "node_metadata").where("meta_id % 50 = 0").select(F.col("node_id").alias("id"))
+    return cut(ids.select(F.col("id").alias("seed"), "id"), "asked")
+
+
 def _area(g: Graph) -> DataFrame:
     return g.nodes.where("source_file is not null").select("id", P.top_directory(F.col("source_file")).alias("community"))
 
@@ -55,47 +61,47 @@ def references_elsewhere(spark: SparkSession, folder: str) -> DataFrame:
 
 def neighbourhood(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.reach(W.both_ways(g.edges), _gods(g).select(F.col("id").alias("seed"), "id"), 2)
+    return W.reach(W.both_ways(g.edges), _asked(spark, folder), 2)
 
 
 def neighbourhood_gated(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.reach(W.both_ways(g.edges), _gods(g).select(F.col("id").alias("seed"), "id"), 3, W.hubs(g.nodes, g.edges))
+    return W.reach(W.both_ways(g.edges), _asked(spark, folder), 3, W.hubs(g.nodes, g.edges))
 
 
 def neighbourhood_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """All edges among the nodes around the best connected ones."""
+    """All edges among the nodes beside those of the query set."""
     g = _graph(spark, folder)
-    near = W.reach(W.both_ways(g.edges), _gods(g).select(F.col("id").alias("seed"), "id"), 1)
+    near = W.reach(W.both_ways(g.edges), _asked(spark, folder), 1)
     return W.induced(g.edges, near).select("edge_id", "src", "dst", "relation")
 
 
 def affected(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.dependents(g.edges, _gods(g).select(F.col("id").alias("seed"), "id"), V.AFFECTED, 2)
+    return W.dependents(g.edges, _asked(spark, folder), V.AFFECTED, 2)
 
 
 def impact_closure(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.dependents(g.edges, _gods(g).select(F.col("id").alias("seed"), "id"), V.IMPACT, 10)
+    return W.dependents(g.edges, _asked(spark, folder), V.IMPACT, 10)
 
 
 def impact_scores(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    return W.impact(g, _gods(g, 10), _area(g), W.page_rank(g.nodes, g.edges))
+    return W.impact(g, _asked(spark, folder).select("id"), _area(g), W.page_rank(g.nodes, g.edges))
 
 
 def shortest_paths(spark: SparkSession, folder: str) -> DataFrame:
     g = _graph(spark, folder)
-    found = W.shortest_paths(g.edges, _gods(g, 1).select(F.col("id").alias("seed"), "id"))
+    found = W.shortest_paths(g.edges, _asked(spark, folder))
     return found.select("seed", "id", "depth", F.array_join("path", ">").alias("path"))
 
 
 def implementations(spark: SparkSession, folder: str) -> DataFrame:
-    """Subtypes of the 20 best connected nodes, by least distance up to 8, as its SQL has them; ``all_implementations`` takes every type."""
+    """Subtypes of the nodes of the query set, by least distance up to 8; ``all_implementations`` takes every type and goes on to the end."""
     g = _graph(spark, folder)
     back = g.edges.where(F.col("relation").isin(*V.SUBTYPE)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return W.reach(back, _gods(g, 20).select(F.col("id").alias("seed"), "id"), 8).where("depth > 0")
+    return W.reach(back, _asked(spark, folder), 8).where("depth > 0")
 
 
 def all_implementations(spark: SparkSession, folder: str) -> DataFrame:
@@ -299,6 +305,9 @@ def _gods_sql(top: int) -> str:
     return f"{KINDS}, g AS MATERIALIZED (SELECT id FROM k WHERE NOT is_file AND NOT is_concept AND NOT is_json_key AND NOT is_noise ORDER BY degree DESC, id LIMIT {top})"
 
 
+_ASKED = "g AS MATERIALIZED (SELECT node_id AS id FROM node_metadata WHERE meta_id % 50 = 0)"
+
+
 def _reach(edges: str, seeds: str, depth: int, gate: str = "") -> str:
     return f"""
 walk AS (SELECT seed, id, 0 AS depth FROM ({seeds}) UNION SELECT seed, x.dst, depth + 1 FROM walk JOIN {edges} x ON x.src = walk.id WHERE depth < {depth} {gate}),
@@ -393,14 +402,14 @@ ORACLES = {
       count(*) FILTER (u.source_file IS DISTINCT FROM v.source_file) AS from_other_files FROM c JOIN n u ON u.id = src JOIN n v ON v.id = dst GROUP BY dst""",
     "references_elsewhere": f"""WITH {GRAPH}, c AS (SELECT DISTINCT src, dst, relation FROM e WHERE relation NOT IN {listed(V.NOT_A_REFERENCE)}) SELECT dst AS id, relation, count(*) AS refs
       FROM c JOIN n u ON u.id = src JOIN n v ON v.id = dst WHERE u.source_file <> v.source_file GROUP BY ALL""",
-    "neighbourhood": f"WITH RECURSIVE {GRAPH}, {_gods_sql(3)}, {_BOTH}, {_reach('l', _SEEDS, 2)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached",
-    "neighbourhood_gated": f"""WITH RECURSIVE {GRAPH}, {_gods_sql(3)}, {_BOTH}, h AS MATERIALIZED (SELECT id FROM deg WHERE degree >= 50 AND degree >= (SELECT list_sort(list(degree))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] FROM deg)),
+    "neighbourhood": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_BOTH}, {_reach('l', _SEEDS, 2)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached",
+    "neighbourhood_gated": f"""WITH RECURSIVE {GRAPH}, {_ASKED}, {_BOTH}, h AS MATERIALIZED (SELECT id FROM deg WHERE degree >= 50 AND degree >= (SELECT list_sort(list(degree))[CAST(floor(count(*) * 0.99) AS BIGINT) + 1] FROM deg)),
       {_reach('l', _SEEDS, 3, "AND (depth = 0 OR walk.id NOT IN (SELECT id FROM h))")} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached""",
-    "neighbourhood_edges": f"""WITH RECURSIVE {GRAPH}, {_gods_sql(3)}, {_BOTH}, {_reach('l', _SEEDS, 1)}
+    "neighbourhood_edges": f"""WITH RECURSIVE {GRAPH}, {_ASKED}, {_BOTH}, {_reach('l', _SEEDS, 1)}
       SELECT edge_id, src, dst, relation FROM e WHERE src IN (SELECT id FROM reached) AND dst IN (SELECT id FROM reached)""",
-    "affected": f"WITH RECURSIVE {GRAPH}, {_gods_sql(3)}, {_back(V.AFFECTED)}, {_reach('b', _MEMBERS, 2)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
-    "impact_closure": f"WITH RECURSIVE {GRAPH}, {_gods_sql(3)}, {_back(V.IMPACT)}, {_reach('b', _MEMBERS, 10)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
-    "implementations": f"WITH RECURSIVE {GRAPH}, {_gods_sql(20)}, {_back(V.SUBTYPE)}, {_reach('b', _SEEDS, 8)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
+    "affected": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.AFFECTED)}, {_reach('b', _MEMBERS, 2)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
+    "impact_closure": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.IMPACT)}, {_reach('b', _MEMBERS, 10)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
+    "implementations": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.SUBTYPE)}, {_reach('b', _SEEDS, 8)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
     "method_flows": f"""WITH RECURSIVE {GRAPH}, {_SIMPLE}, p AS (SELECT id AS start, id AS stop, [id] AS path FROM n WHERE node_kind = 'heading'
       UNION ALL SELECT start, fw.dst, list_append(path, fw.dst) FROM p JOIN fw ON fw.src = stop WHERE NOT list_contains(path, fw.dst) AND len(path) <= 3)
       SELECT start, stop AS sink, CAST(len(path) - 1 AS INTEGER) AS length, array_to_string(path, '>') AS path FROM p JOIN n ON n.id = stop WHERE node_kind = 'resource' AND len(path) > 1""",
@@ -484,7 +493,7 @@ def _label_scores(terms: list[str]) -> str:
 
 
 ORACLES |= {
-    "shortest_paths": f"WITH {GRAPH}, {_gods_sql(1)}, {_levels(8)} " + " UNION ALL ".join(f"SELECT seed, id, CAST({k} AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM v{k}" for k in range(9)),
+    "shortest_paths": f"WITH {GRAPH}, {_ASKED}, {_levels(8)} " + " UNION ALL ".join(f"SELECT seed, id, CAST({k} AS INTEGER) AS depth, array_to_string(path, '>') AS path FROM v{k}" for k in range(9)),
     "execution_flows": f"""WITH RECURSIVE {GRAPH}, {Q.RULED}, c AS MATERIALIZED (SELECT id, {Q.CATEGORY} AS category FROM w), {_SIMPLE},
       p AS (SELECT id AS start, id AS stop, [id] AS path FROM c WHERE category IN {listed(P.ENTRY_CATEGORIES)}
         UNION ALL SELECT start, fw.dst, list_append(path, fw.dst) FROM p JOIN fw ON fw.src = stop WHERE NOT list_contains(path, fw.dst) AND len(path) <= 3)
