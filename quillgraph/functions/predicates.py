@@ -249,8 +249,9 @@ def url_type(url: Column) -> Column:
 
 
 def is_sensitive(path: Column) -> Column:
-    """Files that look like credentials."""
-    name = base_name(source_path(text_of(path)))
+    """Files that look like credentials, by a directory above them or by their name; source code in ambiguous directories and templates are none."""
+    whole = source_path(text_of(path))
+    name, above = base_name(whole), F.transform(F.slice(F.split(whole, "/"), 1, F.greatest(F.size(F.split(whole, "/")) - 1, F.lit(0))), F.lower)
     # Patterns of credential file names.
     patterns = (
         r"(?i)^\.(env|envrc)(\.|$)",
@@ -259,7 +260,11 @@ def is_sensitive(path: Column) -> Column:
         r"(?i)^secring(\.(gpg|pgp))?$",
         r"(?i)(\.netrc|\.pgpass|\.htpasswd|\.npmrc|\.pypirc|\.git-credentials|\.boto)$",
     )
-    return _any([name.rlike(p) for p in patterns])
+    # Directories of credential stores, and those that may be source packages as well.
+    stores, ambiguous, templates = (".ssh", ".gnupg", ".aws", ".gcloud"), ("secrets", ".secrets", "credentials"), r"(?i)^\.(env|envrc)\..*(example|sample|template|dist)$"
+    source = ending(path).isin(*(e for e in V.CODE_ENDINGS if e not in ("json", "yaml", "yml", "toml", "xml")))
+    within = lambda names: F.exists(above, lambda p: p.isin(*names))
+    return within(stores) | (within(ambiguous) & ~source) | (_any([name.rlike(p) for p in patterns]) & ~name.rlike(templates))
 
 
 def pull_request_status(base: Column, ci: Column, review: Column, draft: Column, days_old: Column, expected_base: str, stale_days: int = 14) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators.analyze import cohesion, degrees, value_at_percentile
 from quillgraph.operators.skew import global_rank
 from quillgraph.operators.walks import both_ways
-from quillgraph.session import cut
+from quillgraph.session import cut, cut_counted
 
 
 def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -132,21 +133,22 @@ def overlaps(old: DataFrame, new: DataFrame) -> DataFrame:
 def kept_ids(old: DataFrame, new: DataFrame) -> DataFrame:
     """(id, community): ``new`` with the numbers of ``old`` where they overlap most, one to one; the others get free numbers by size.
 
-    Only the overlap counts, a row for each pair of communities that share a member, are matched on the driver.
+    Pairs are taken from the largest overlap down, ties by the numbers: a round takes every pair that comes first for both
+    of its communities, until no pair is left. The others take the free numbers in order of size, then of their least id.
     """
-    taken: set[int] = set()
-    final: dict[int, int] = {}
-    for r in overlaps(old, new).orderBy(F.desc("shared"), "old", "new").toLocalIterator():
-        if r.old not in taken and r.new not in final:
-            final[r.new] = r.old
-            taken.add(r.old)
-    free = 0
-    for r in new.groupBy("community").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).orderBy(F.desc("n"), "first").toLocalIterator():
-        if r.community not in final:
-            while free in taken:
-                free += 1
-            final[r.community] = free
-            taken.add(free)
-    spark = new.sparkSession
-    mapping = spark.createDataFrame([(int(a), int(b)) for a, b in final.items()], "community int, kept int")
+    order = F.struct((-F.col("shared")).alias("s"), "old", "new")
+    left, n = cut_counted(overlaps(old, new), "overlaps")
+    taken = [left.select("old", "new").limit(0)]
+    while n:
+        first = left.groupBy("old").agg(F.min(order).alias("x")).select("x.old", "x.new").intersect(left.groupBy("new").agg(F.min(order).alias("x")).select("x.old", "x.new"))
+        first = cut(first, "taken")
+        taken.append(first)
+        left, n = cut_counted(left.join(first.select("old"), "old", "left_anti").join(first.select("new"), "new", "left_anti"), "overlaps")
+    matched = cut(reduce(DataFrame.unionByName, taken), "matched")
+    sizes = new.groupBy("community").agg((-F.count(F.lit(1))).alias("size"), F.min("id").alias("first"))
+    rest = global_rank(sizes.join(matched.select(F.col("new").alias("community")), "community", "left_anti"), ["size", "first"], "k")
+    used = global_rank(matched.where("old >= 0").select("old"), ["old"], "i").select((F.col("old") - F.col("i")).alias("at"), F.lit(0).alias("free"), F.lit(None).cast("int").alias("community"))
+    # Behind as many taken numbers as lie before it, the k-th free number is its place among both.
+    placed = global_rank(used.unionByName(rest.select(F.col("k").alias("at"), F.lit(1).alias("free"), "community")), ["at", "free"], "kept").where("free = 1")
+    mapping = matched.select(F.col("new").alias("community"), F.col("old").cast("int").alias("kept")).unionByName(placed.select("community", F.col("kept").cast("int").alias("kept")))
     return new.join(mapping, "community").select("id", F.col("kept").alias("community"))

@@ -67,8 +67,12 @@ def environment(path: str) -> str:
     return f"list_filter(list_transform(string_split({path}, '/'), lambda p: CASE {one} END), lambda q: q IS NOT NULL)[1]"
 
 
-SENSITIVE = r"""(regexp_matches(base, '(?i)^\.(env|envrc)(\.|$)') OR regexp_matches(base, '(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$') OR regexp_matches(base, '(?i)(^|[^A-Za-z0-9])(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$')
+_NAMED = r"""(regexp_matches(base, '(?i)^\.(env|envrc)(\.|$)') OR regexp_matches(base, '(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$') OR regexp_matches(base, '(?i)(^|[^A-Za-z0-9])(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$')
   OR regexp_matches(base, '(?i)^secring(\.(gpg|pgp))?$') OR regexp_matches(base, '(?i)(\.netrc|\.pgpass|\.htpasswd|\.npmrc|\.pypirc|\.git-credentials|\.boto)$'))"""
+_ABOVE = "list_transform(string_split(s, '/')[:-2], lambda p: lower(p))"
+_SOURCE = f"lower(CASE WHEN contains(base, '.') THEN regexp_extract(base, '[^.]*$') ELSE '' END) IN {listed(e for e in V.CODE_ENDINGS if e not in ('json', 'yaml', 'yml', 'toml', 'xml'))}"
+SENSITIVE = f"""(list_has_any({_ABOVE}, ['.ssh', '.gnupg', '.aws', '.gcloud']) OR (list_has_any({_ABOVE}, ['secrets', '.secrets', 'credentials']) AND NOT {_SOURCE})
+  OR ({_NAMED} AND NOT regexp_matches(base, '(?i)^\\.(env|envrc)\\..*(example|sample|template|dist)$')))"""
 
 TEST = f"({has('s', 'test_|_test|tests/')} OR {has('l', 'test_|_test')} OR starts_with(l, 'test'))"
 API = "(k IN ('api', 'rpc', 'endpoint') OR " + " OR ".join(f"starts_with(raw, '{v} ') OR contains(raw, ' {v} ')" for v in ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")) + ")"

@@ -202,6 +202,26 @@ def test_communities_find_two_cliques(spark):
     assert kept["a1"] == 5 and kept["b1"] == 9 and kept["alone"] == 0
 
 
+def test_kept_ids_match_from_the_largest_overlap_down(spark):
+    rng = random.Random(4)
+    old = {f"n{i:03}": rng.choice([0, 1, 2, 3, 5, 8, 40]) for i in range(120)}
+    new = {f"n{i:03}": rng.randrange(12) for i in range(20, 140)}
+    shared = {}
+    for x in old.keys() & new.keys():
+        shared[old[x], new[x]] = shared.get((old[x], new[x]), 0) + 1
+    final = {}
+    for (a, b), _ in sorted(shared.items(), key=lambda p: (-p[1], p[0])):
+        if a not in final.values() and b not in final:
+            final[b] = a
+    members = {c: sorted(x for x in new if new[x] == c) for c in set(new.values())}
+    free = iter(i for i in range(1000) if i not in set(final.values()))
+    for c in sorted(members, key=lambda c: (-len(members[c]), members[c][0])):
+        if c not in final:
+            final[c] = next(free)
+    got = C.kept_ids(frame(spark, list(old.items()), "id string, community int"), frame(spark, list(new.items()), "id string, community int"))
+    assert {r.id: r.community for r in got.collect()} == {x: final[c] for x, c in new.items()}
+
+
 def test_louvain_runs_until_modularity_stands_still(spark):
     """A ring of 2,000 nodes takes more than three levels to come near its best modularity, that of some 45 equal arcs."""
     n = 2000
