@@ -22,6 +22,7 @@ OTHER_KEYWORDS = (
     "protected public return static string struct super switch this throw true try typeof undefined var void"
 ).split()
 RESERVED = {w.lower() for w in (*keyword.kwlist, *dir(builtins), *OTHER_KEYWORDS)} | {"self", "cls"}
+# How a draft defines a name.
 DEFINED = re.compile(r"\b(?:def|class|function|interface|type|struct|func|fn)\s+([A-Za-z_]\w*)|\b(?:const|let|var)\s+([A-Za-z_]\w*)\s*=")
 HUMP = re.compile(r"[A-Z]+(?=[A-Z][a-z]|\b)|[A-Z]?[a-z0-9]+|[A-Z]+")
 

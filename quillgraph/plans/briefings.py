@@ -139,3 +139,8 @@ ORACLES = {
     "display_labels": f"""WITH {NODES}, p AS (SELECT *, CASE node_kind WHEN 'heading' THEN 'Heading:' WHEN 'tag' THEN 'Tag:' WHEN 'page' THEN 'Note:' ELSE '' END AS x FROM n)
       SELECT id, CASE WHEN starts_with(label, x) THEN label ELSE x || label END AS shown FROM p""",
 }
+
+ORACLES["scoped_lookup"] = rf"""WITH {NODES}, f AS (SELECT lower(trim(source_file)) AS file, lower(trim(label)) AS symbol FROM n WHERE node_kind = 'class' AND source_file IS NOT NULL ORDER BY id LIMIT 1),
+  h AS (SELECT id, source_file FROM (SELECT n.*, lower(coalesce(source_file, '')) AS p FROM n) x, f WHERE lower(regexp_replace(regexp_replace(label, '[()]+$', ''), '^\.', '')) = symbol
+    AND (p = file OR ends_with(p, '/' || file) OR ends_with(file, '/' || p)))
+  SELECT id, source_file, (SELECT count(DISTINCT source_file) FROM h) = 1 AS certain FROM h"""

@@ -409,6 +409,16 @@ ORACLES = {
       SELECT edge_id, src, dst, relation FROM e WHERE src IN (SELECT id FROM reached) AND dst IN (SELECT id FROM reached)""",
     "affected": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.AFFECTED)}, {_reach('b', _MEMBERS, 2)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
     "impact_closure": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.IMPACT)}, {_reach('b', _MEMBERS, 10)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
+    "impact_scores": f"""WITH RECURSIVE {GRAPH}, {KINDS}, {Q.RULED}, {_ASKED}, {_back(V.IMPACT)}, {_reach('b', _MEMBERS, 10)}, {_ranks(40, _UNIFORM)},
+      fd AS (SELECT DISTINCT seed, id FROM reached WHERE depth > 0 AND id <> seed), real AS (SELECT id, degree FROM k WHERE NOT is_file AND NOT is_concept AND NOT is_noise),
+      thr AS (SELECT greatest(coalesce((SELECT degree FROM real ORDER BY degree DESC LIMIT 1 OFFSET (SELECT greatest(0, CAST(floor(count(*) * 0.05) AS BIGINT) - 1) FROM real)), 10), 10) AS t),
+      fl AS (SELECT id, {Q.TEST} AS test, {Q.API} AS api, {Q.INFRA} AS infra, CASE WHEN source_file IS NOT NULL THEN split_part(source_file, '/', 1) END AS community FROM (SELECT w.* REPLACE (lower(coalesce(file_type, '')) AS k) FROM w)),
+      sm AS (SELECT seed AS id, count(*) AS dependents, count(*) FILTER (test) AS tests, count(*) FILTER (api) AS apis, count(*) FILTER (infra) AS infrastructure,
+        count(*) FILTER (fd.id IN (SELECT id FROM real, thr WHERE degree >= t)) AS gods, count(DISTINCT community) AS communities FROM fd JOIN fl ON fl.id = fd.id GROUP BY seed),
+      sc AS (SELECT g.id, coalesce(dependents, 0) AS dependents, coalesce(tests, 0) AS tests, coalesce(apis, 0) AS apis, coalesce(infrastructure, 0) AS infrastructure, coalesce(gods, 0) AS gods, coalesce(communities, 0) AS communities,
+        round(least(0.4, 0.4 * (ln(coalesce(dependents, 0) + 1) / ln(50))) + least(0.25, coalesce(gods, 0) * 0.125) + least(0.2, coalesce(communities, 0) * 0.05)
+          + 0.15 * least(1.0, coalesce(rank, 0) / (SELECT max(rank) FROM ranked)), 3) AS risk FROM g LEFT JOIN sm ON sm.id = g.id LEFT JOIN ranked ON ranked.id = g.id)
+      SELECT *, CASE WHEN risk >= 0.7 THEN 'CRITICAL' WHEN risk >= 0.45 THEN 'HIGH' WHEN risk >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS tier FROM sc""",
     "implementations": f"WITH RECURSIVE {GRAPH}, {_ASKED}, {_back(V.SUBTYPE)}, {_reach('b', _SEEDS, 8)} SELECT seed, id, CAST(depth AS INTEGER) AS depth FROM reached WHERE depth > 0",
     "method_flows": f"""WITH RECURSIVE {GRAPH}, {_SIMPLE}, p AS (SELECT id AS start, id AS stop, [id] AS path FROM n WHERE node_kind = 'heading'
       UNION ALL SELECT start, fw.dst, list_append(path, fw.dst) FROM p JOIN fw ON fw.src = stop WHERE NOT list_contains(path, fw.dst) AND len(path) <= 3)
