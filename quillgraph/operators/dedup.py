@@ -9,6 +9,7 @@ from quillgraph.functions import similarity as S
 from quillgraph.functions import text as T
 from quillgraph.operators.build import Graph, remap
 from quillgraph.operators.walks import components
+from quillgraph.operators.skew import met_within
 from quillgraph.session import cut
 
 BANDS, ROWS = 14, 9
@@ -40,7 +41,7 @@ def candidate_pairs(keys: DataFrame, bands: int = BANDS, rows: int = ROWS) -> Da
     banded = cut(runs.select("key", each.alias("x")).select("key", "x.band", "x.h"), "bands")
     several = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "h")
     inside = cut(banded.join(several, ["band", "h"]), "bands")
-    pairs = inside.select("band", "h", F.col("key").alias("a")).join(inside.select("band", "h", F.col("key").alias("b")), ["band", "h"])
+    pairs = met_within(inside.select("band", "h", F.col("key").alias("a")), inside.select("band", "h", F.col("key").alias("b")), ["band", "h"])
     return pairs.where("a < b").select("a", "b").distinct()
 
 

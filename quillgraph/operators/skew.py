@@ -43,6 +43,20 @@ def prefix_sums(rows: DataFrame, group: Sequence[str], key: str, value: str, out
     return joined.select("r.*", "o._o").withColumn(out, F.col("_i") + F.col("_o")).drop("_b", "_i", "_o")
 
 
+def met_within(left: DataFrame, right: DataFrame, by: Sequence[str], per_salt: int = 2000) -> DataFrame:
+    """Rows of ``left`` (by, key) and ``right`` (by, other) that are in one group, as (by, key, other).
+
+    Groups of more than ``per_salt`` rows of ``right`` are split: each left row goes to every part of its group, each
+    right row to one, so no task sees a whole hot group.
+    """
+    parts = right.groupBy(*by).agg((1 + F.floor(F.count(F.lit(1)) / per_salt)).cast("int").alias("_parts"))
+    parts = cut(parts, "parts")
+    asked = left.join(parts, list(by)).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    told = right.join(parts, list(by))
+    told = told.withColumn("_part", F.pmod(F.xxhash64(*(c for c in right.columns if c not in by)), F.col("_parts")).cast("int")).drop("_parts")
+    return asked.join(told, [*by, "_part"]).drop("_part")
+
+
 def global_rank(rows: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     """Add ``out``: the place of each row from 0 in the ascending order of ``order``, without sorting in one task.
 

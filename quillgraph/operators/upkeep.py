@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import predicates as P
 from quillgraph.functions import vocabulary as V
+from quillgraph.operators.skew import met_within
 from quillgraph.session import cut
 
 FINDING = ("rule", "severity", "subject", "detail")
@@ -138,7 +139,7 @@ def co_changes(commits: DataFrame, targets: DataFrame, top: int = 4, least: floa
     wanted = targets.select(F.col("file").alias("target")).distinct()
     of = commits.select("commit", F.col("file").alias("target")).distinct().join(wanted, "target", "left_semi")
     total = of.groupBy("target").agg(F.count(F.lit(1)).alias("commits"))
-    both = of.join(commits.select("commit", "file").distinct(), "commit").where("file != target").groupBy("target", "file").agg(F.count(F.lit(1)).alias("together"))
+    both = met_within(of, commits.select("commit", "file").distinct(), ["commit"]).where("file != target").groupBy("target", "file").agg(F.count(F.lit(1)).alias("together"))
     rows = both.join(total, "target").withColumn("share", F.col("together") / F.col("commits")).where(F.col("share") >= least)
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("together"), "file"))
     return rows.withColumn("r", rank).where(F.col("r") <= top).select("target", "file", "together", "share")
