@@ -151,6 +151,35 @@ def test_flows_and_shortest_paths(spark):
     assert paths == {"a": "a", "b": "ab", "c": "ac", "d": "ad"}
 
 
+def written(folder):
+    """Bytes of tables under a folder."""
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder.removeprefix("file://")) for f in fs if f.endswith(".parquet"))
+
+
+def test_flows_write_no_paths_in_between(spark):
+    """Two ways on in each of 12 steps: 8,190 paths from three starts, none of which is written or shuffled on the way."""
+    pairs = [(f"{x}{i:02}", f"{y}{i + 1:02}") for i in range(12) for x in "ab" for y in "ab"] + [(f"s{k}", f"{x}00") for k in range(3) for x in "ab"]
+    e = edges(spark, pairs).withColumn("relation", F.lit("calls"))
+    g = B.Graph(ids(spark, {x for p in pairs for x in p}), e)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = written(shared)
+    starts, sinks = ids(spark, ["s0", "s1", "s2", "nowhere"]), ids(spark, ["a12", "b06", "a12"])
+    got = [tuple(r) for r in W.flows(g, starts, sinks, 13, sep=">").collect()]
+    assert written(shared) - before < 20_000
+    want = [(r.start, r.sink, r.length, ">".join(r.path)) for r in W.flows(g, starts, sinks, 13, most_links=0).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 3 * (2**12 + 2**6)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_flows_are_the_same_by_tasks_and_by_joins(spark, seed):
+    names, pairs = random_edges(seed, 20, 50)
+    g = B.Graph(ids(spark, names), edges(spark, pairs).withColumn("relation", F.lit("calls")))
+    both = [sorted((r.start, r.sink, r.length, tuple(r.path)) for r in W.flows(g, ids(spark, names[:6]), ids(spark, names[4:9]), 7, most_links=m).collect()) for m in (0, 10**6)]
+    assert both[0] == both[1] and both[0]
+    few = [sorted(map(str, W.flows(g, ids(spark, names[:6]), ids(spark, names[4:9]), 7, 3, most_links=m).collect())) for m in (0, 10**6)]
+    assert few[0] == few[1]
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_all_method_flows_go_15_deep(spark):
     from quillgraph.functions import vocabulary as V
