@@ -180,6 +180,17 @@ def test_flows_are_the_same_by_tasks_and_by_joins(spark, seed):
     assert few[0] == few[1]
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_all_method_flows_write_no_more_than_the_graph(spark):
+    from quillgraph.plans import walking
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = written(shared)
+    few, between = walking.method_flows(spark, "/root/testdata/sf0.001"), written(shared)
+    deep = walking.all_method_flows(spark, "/root/testdata/sf0.001")
+    assert few.count() < deep.count() and written(shared) - between <= 1.1 * (between - before)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_all_method_flows_go_15_deep(spark):
     from quillgraph.functions import vocabulary as V
