@@ -213,6 +213,26 @@ def test_all_method_flows_go_15_deep(spark):
     assert {r.path for r in rows} == want and len(rows) == len(want) and max(r.length for r in rows) == 15
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_paths_are_the_same_by_tasks_and_by_joins(spark, seed):
+    names, pairs = random_edges(seed, 40, 90)
+    asked = [("n1", "n1"), ("n2", "n2"), ("two", "n3"), ("two", "n7"), ("away", "nowhere")]
+    seeds = frame(spark, asked, "seed string, id string")
+    both = [sorted((r.seed, r.id, r.depth, r.path) for r in W.shortest_paths(edges(spark, pairs), seeds, 5, ">", m).collect()) for m in (0, 10**6)]
+    assert both[0] == both[1] and max(r[2] for r in both[0]) == 5
+    lists = {(r.seed, r.id): ">".join(r.path) for r in W.shortest_paths(edges(spark, pairs), seeds, 5).collect()}
+    assert lists == {(r[0], r[1]): r[3] for r in both[0]}
+
+
+def test_shortest_paths_write_no_paths_in_between(spark):
+    names, pairs = random_edges(5, 300, 900)
+    seeds = frame(spark, [(x, x) for x in names], "seed string, id string")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = written(shared)
+    rows = W.shortest_paths(edges(spark, pairs), seeds).count()
+    assert rows > 40_000 and written(shared) - before < 40_000
+
+
 def test_implementations_of_every_type(spark):
     chain = [(f"t{i + 1}", f"t{i}") for i in range(40)]
     pairs = [*chain, *((f"x{i}", f"y{i}") for i in range(30)), ("l1", "l2"), ("l2", "l1"), ("self", "self")]
