@@ -5,9 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators import apart
 from quillgraph.operators.analyze import cohesion, degrees, value_at_percentile
 from quillgraph.operators.skew import global_rank
 from quillgraph.operators.walks import both_ways
@@ -32,7 +35,7 @@ def _level(links: DataFrame, resolution: float, least: float) -> tuple[DataFrame
     """One level of modularity moves over weighted links (src, dst, w), both ways, loops once: (id, community), and the modularity gained.
 
     All nodes choose at the same time, in halves told by a hash of node and round so that neighbours do not swap for
-    ever; a node moves to the neighbouring community with the greatest gain, its own among equals. It ends when no node wants
+    ever; a node moves to the neighbouring community with the greatest gain, its own among equals, else the greatest. It ends when no node wants
     to move, or when two rounds running, so that most nodes had their turn, each add less than ``least`` to the greatest
     modularity so far; the labels that had the greatest are returned.
     """
@@ -50,7 +53,7 @@ def _level(links: DataFrame, resolution: float, least: float) -> tuple[DataFrame
         stays = F.col("community") == F.col("own")
         gain = F.round(F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(stays, F.col("k")).otherwise(0.0)) / total, 9)
         new = options.groupBy("id").agg(
-            F.max_by("community", F.struct(gain.alias("g"), stays.alias("s"))).alias("new"), F.first("own").alias("community"), F.first("k").alias("k"),
+            F.max_by("community", F.struct(gain.alias("g"), stays.alias("s"), "community")).alias("new"), F.first("own").alias("community"), F.first("k").alias("k"),
             F.max(F.when(stays, F.col("w"))).alias("inside"),
         )
         new = cut(new, "moves")
@@ -67,13 +70,85 @@ def _level(links: DataFrame, resolution: float, least: float) -> tuple[DataFrame
         label = new.select("id", "k", F.when(turn, F.col("new")).otherwise(F.col("community")).alias("community"))
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, least: float = 1e-4) -> DataFrame:
+def _turns(hashes: np.ndarray, r: int) -> np.ndarray:
+    """Whether xxhash64(id, r) is even, where ``hashes`` are xxhash64(id): Spark hashes the next column with the hash so far as its seed."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (hashes + p5 + np.uint64(4)) ^ (np.array([r], np.uint64) * p1)
+    h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)) & np.uint64(1) == 0
+
+
+def _level_apart(s: np.ndarray, t: np.ndarray, w: np.ndarray, hashes: np.ndarray, resolution: float, least: float) -> tuple[np.ndarray, float]:
+    """The same as :func:`_level`, in memory, on nodes 0 to n - 1 with their ``hashes``."""
+    n = len(hashes)
+    k, loop = np.bincount(s, w, n), s == t
+    total, loops = k.sum() or 1.0, w[loop].sum()
+    s, t, own = s[~loop], t[~loop], np.arange(n)
+    base, w = np.concatenate([s, own]).astype(np.int64) * n, np.concatenate([w[~loop], np.zeros(n)])
+    first, best, kept, idle = None, None, own, 0
+    for r in count():
+        mass = np.bincount(own, k, n)
+        key = base + np.concatenate([own[t], own])
+        order = np.argsort(key)
+        key = key[order]
+        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        into = np.add.reduceat(w[order], begins)
+        node, to = np.divmod(key[begins], n)
+        stays = to == own[node]
+        gain = np.round(into - resolution * k[node] * (mass[to] - np.where(stays, k[node], 0.0)) / total, 9)
+        top = np.maximum.reduceat(gain, np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])))
+        new = own.copy()
+        for good in ((good := gain == top[node]), good & stays):
+            new[node[good]] = to[good]  # the last of a node, that is the greatest community, stands
+        value = (into[stays].sum() + loops) / total - resolution * (mass * mass).sum() / total**2
+        first = value if first is None else first
+        idle = 0 if best is None or value >= best + least else idle + 1
+        if best is None or value > best:
+            best, kept = value, own
+        if idle == 2 or (new == own).all():
+            return kept, best - first
+        own = np.where(_turns(hashes, r), new, own)
+
+
+def _louvain_apart(resolution: float, levels: int, least: float) -> apart.Task:
+    """Rows (s, t): each node and its community, a node as well."""
+
+    def task(links: apart.Links, rest: dict) -> object:
+        s, t, w = links.begin, links.end, np.ones(len(links.end))
+        names, label = np.arange(links.n), np.arange(links.n)
+        for _ in range(levels):
+            up, gained = _level_apart(s, t, w, links.hashes[names], resolution, least)
+            used, up = np.unique(up, return_inverse=True)
+            names, label = names[used], up[label]
+            if gained < least:
+                break
+            pairs, at = np.unique(up[s].astype(np.int64) * len(names) + up[t], return_inverse=True)
+            s, t = np.divmod(pairs, len(names))
+            w = np.bincount(at, w)
+        for i in range(0, links.n, apart.ROWS):
+            to = names[label[i : i + apart.ROWS]].astype(np.int32)
+            yield {"s": pa.array(np.arange(i, i + len(to), dtype=np.int32)), "t": pa.array(to)}
+
+    return task
+
+
+def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, least: float = 1e-4, most_links: int = apart.MOST_LINKS) -> DataFrame:
     """(id, community): modularity moves, then the same over the graph of communities. Isolated nodes are communities of their own.
 
-    It ends with the level that adds less than ``least`` to the modularity, or after ``levels``.
+    It ends with the level that adds less than ``least`` to the modularity, or after ``levels``. Up to ``most_links`` links
+    (both ways) one task makes all moves in memory; with more, each round is a few joins. Both choose alike.
     """
-    links = cut(both_ways(edges).withColumn("w", F.lit(1.0)), "links")
+    links, n = cut_counted(both_ways(edges).withColumn("w", F.lit(1.0)), "links")
     label = nodes.select("id", F.col("id").alias("community")).distinct()
+    if 0 < n <= most_links:
+        names, size, _ = apart.named(links)
+        own = names.limit(0).select(F.col("code").alias("g"), F.lit(apart.SEED).alias("kind"), F.col("code").alias("at"), F.lit(None).cast("binary").alias("a"))
+        found = cut(apart.walked(apart.coded(links, names), names, size, own, _louvain_apart(resolution, levels, least), "s int, t int", 1, "hash"), "moved")
+        side = lambda key, name: names.select(F.col("code").alias(key), F.col("id").alias(name))
+        found = found.join(side("s", "id"), "s").join(side("t", "up"), "t").select("id", "up")
+        return cut(label.join(found, "id", "left").select("id", F.coalesce("up", "community").alias("community")), "label")
     for _ in range(levels):
         step, gained = _level(links, resolution, least)
         step = cut(step, "step")

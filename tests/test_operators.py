@@ -282,6 +282,24 @@ def test_kept_ids_match_from_the_largest_overlap_down(spark):
     assert {r.id: r.community for r in got.collect()} == {x: final[c] for x, c in new.items()}
 
 
+def test_louvain_is_the_same_by_a_task_and_by_joins(spark):
+    names, pairs = random_edges(6, 60, 150)
+    pairs = [*pairs, *(("m0", f"m{i}") for i in range(9)), ("m8", "m7")]
+    names = [*names, *(f"m{i}" for i in range(9)), "alone"]
+    both = [sorted(map(tuple, C.louvain(ids(spark, names), edges(spark, pairs), most_links=m).collect())) for m in (0, 10**6)]
+    assert both[0] == both[1] and 1 < len({c for _, c in both[0]}) < 30
+
+
+def test_communities_take_few_jobs(spark):
+    """Rounds of moves start no jobs of their own."""
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(1500)]
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    before = jobs()
+    C.louvain(ids(spark, [f"n{i}" for i in range(400)]), edges(spark, pairs)).collect()
+    assert jobs() - before < 60
+
+
 def test_louvain_runs_until_modularity_stands_still(spark):
     """A ring of 2,000 nodes takes more than three levels to come near its best modularity, that of some 45 equal arcs."""
     n = 2000
