@@ -109,6 +109,19 @@ def test_betweenness_with_all_pivots_is_exact(spark, seed, most_links):
     assert got.keys() == over.keys() and all(got[k] == pytest.approx(v / (n * (n - 1))) for k, v in over.items())
 
 
+def test_betweenness_of_millions_of_links_writes_no_levels(spark):
+    """2.4 million links both ways: beyond two million, every pivot and link was once a row on disk."""
+    n, k = 60_000, 20
+    ring = spark.range(n * k).select((F.col("id") % n).alias("a"), (F.col("id") % n + F.floor(F.col("id") / n) + 1).alias("b"))
+    pairs = ring.select(F.concat(F.lit("n"), F.col("a")).alias("src"), F.concat(F.lit("n"), F.col("b") % n).alias("dst"))
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = written(shared)
+    names = spark.range(n).select(F.concat(F.lit("n"), F.col("id")).alias("id"))
+    got = W.betweenness(names, pairs, names.limit(1)).agg(F.count("id"), F.sum("betweenness")).head()
+    hops = 2 * sum((i + k - 1) // k for i in range(1, n // 2)) + (n // 2 + k - 1) // k
+    assert got[0] == n and got[1] == pytest.approx((hops - (n - 1)) * n / ((n - 1) * (n - 2))) and written(shared) - before < 60_000_000
+
+
 def test_betweenness_on_a_long_path_and_on_nothing(spark):
     n = 75
     names = [f"n{i:02}" for i in range(n)]
