@@ -246,6 +246,18 @@ def test_shortest_paths_write_no_paths_in_between(spark):
     assert rows > 40_000 and written(shared) - before < 40_000
 
 
+def test_neighbourhoods_of_a_hub_write_no_levels(spark):
+    """All of 300 seeds meet at a hub: 90,000 rows of a graph of 300 links."""
+    names = [f"n{i:03}" for i in range(300)]
+    e = W.both_ways(edges(spark, [("hub", x) for x in names] + [("n001", "n002"), ("n003", "end")]))
+    seeds = frame(spark, [(x, x) for x in names] + [("two", "end"), ("two", "n002"), ("away", "nowhere")], "seed string, id string")
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = written(shared)
+    got = sorted(map(tuple, W.reach(e, seeds, 2, most_links=10**6).collect()))
+    assert written(shared) - before < 60_000
+    assert got == sorted(map(tuple, W.reach(e, seeds, 2).collect())) and len(got) > 90_000
+
+
 def test_implementations_of_every_type(spark):
     chain = [(f"t{i + 1}", f"t{i}") for i in range(40)]
     pairs = [*chain, *((f"x{i}", f"y{i}") for i in range(30)), ("l1", "l2"), ("l2", "l1"), ("self", "self")]
