@@ -5,6 +5,8 @@ import itertools
 import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,6 +260,34 @@ def test_neighbourhoods_of_a_hub_write_no_levels(spark):
     assert got == sorted(map(tuple, W.reach(e, seeds, 2).collect())) and len(got) > 90_000
 
 
+def test_neighbourhoods_of_a_hub_take_little_room(spark, tmp_path):
+    """40 seeds and all of 30,000 nodes meet at a hub: seed by seed, each row had the text of its node anew."""
+    e = W.both_ways(spark.range(30_000).select(F.lit("hub").alias("src"), F.sha1(F.col("id").cast("string")).alias("dst")))
+    seeds = spark.range(40).select(F.sha1(F.col("id").cast("string")).alias("seed")).withColumn("id", F.col("seed"))
+    W.reach(e, seeds, 2, most_links=10**6).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).distinct().count()
+    assert rows == 40 * 30_001 and written(str(tmp_path / "out")) < 12 * rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_neighbourhoods_in_small_blocks(monkeypatch, seed):
+    from quillgraph.operators import apart
+
+    for k, v in (("CELLS", 120), ("ALIKE", 7), ("ROWS", 10)):
+        monkeypatch.setattr(apart, k, v)
+    names, pairs = random_edges(seed, 40, 70)
+    near, code = neighbours(pairs), {x: i for i, x in enumerate(sorted(names))}
+    begin, end = np.array(sorted({(code[x], code[y]) for x in near for y in near[x]}), np.int32).T
+    rows = sorted((x.encode(), code[x]) for x in names[::3])
+    got = []
+    for b in apart.nearest(3)(apart.Links(begin, end, len(names), pa.array(sorted(names))), {apart.SEED: [(c, x) for x, c in rows]}):
+        blocks = [b[k].to_pylist() for k in ("ids", "seeds", "depth")]
+        assert len(blocks[0]) == 1 or sum(len(i) + len(s) for i, s, _ in zip(*blocks)) < 100
+        got += [(s, i, d) for ids_, seeds, d in zip(*blocks) for i in ids_ for s in seeds]
+    want = {(s, k, d) for s in names[::3] for k, d in bfs(s, near).items() if 0 < d <= 3}
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_implementations_of_every_type(spark):
     chain = [(f"t{i + 1}", f"t{i}") for i in range(40)]
     pairs = [*chain, *((f"x{i}", f"y{i}") for i in range(30)), ("l1", "l2"), ("l2", "l1"), ("self", "self")]
