@@ -195,6 +195,51 @@ def test_flows_are_the_same_by_tasks_and_by_joins(spark, seed):
     assert few[0] == few[1]
 
 
+def by_halves(pairs, starts, sinks, depth, groups, sep=">"):
+    """((start, sink, length, path) of all tasks, bytes that they hand on)."""
+    from quillgraph.operators import apart
+
+    names = sorted({x for p in pairs for x in p})
+    code = {x: i for i, x in enumerate(names)}
+    begin, end = np.array(sorted({(code[a], code[b]) for a, b in pairs if a != b}), np.int32).T
+    rows, sent = [], 0
+    for me in range(groups):
+        rest = {apart.GROUP: [(me, None)], apart.SEED: [(code[x], None) for x in starts], apart.SINK: [(code[x], None) for x in sinks]}
+        for b in apart.simple_paths(depth, groups, sep)(apart.Links(begin, end, len(names), pa.array(names)), rest):
+            sent += sum(b[k].nbytes for k in b)
+            rows += [(h["start"], t["sink"], n, h["path"] + t["path"]) for heads, tails, n in zip(*(b[k].to_pylist() for k in ("heads", "tails", "length"))) for t in tails for h in heads]
+    return rows, sent
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_flows_by_halves_of_several_tasks(seed):
+    names, pairs = random_edges(seed, 18, 45)
+    names = sorted({x for p in pairs for x in p})
+    out, rows = {}, []
+    for a, b in set(pairs):
+        out.setdefault(a, []).append(b)
+    starts, sinks = [*names[:5], names[0]], names[3:8]
+    stack = [(x,) for x in starts]
+    while stack:
+        p = stack.pop()
+        if len(p) > 1 and p[-1] in sinks:
+            rows.append((p[0], p[-1], len(p) - 1, ">".join(p)))
+        if len(p) <= 7:
+            stack += [(*p, y) for y in out.get(p[-1], ()) if y not in p]
+    for groups in (1, 3):
+        assert sorted(by_halves(pairs, starts, sinks, 7, groups)[0]) == sorted(rows)
+    lists = by_halves(pairs, starts, sinks, 7, 2, None)[0]
+    assert sorted(">".join(r[3]) for r in lists) == sorted(r[3] for r in rows) and rows
+
+
+def test_flows_hand_on_halves():
+    """Two ways on in each of 12 steps: whole paths were handed on, 4,096 of them from each start."""
+    step = lambda x, i: f"package_module_{x}{i:02}"
+    pairs = [(step(x, i), step(y, i + 1)) for i in range(12) for x in "ab" for y in "ab"] + [(f"s{k}", step(x, 0)) for k in range(3) for x in "ab"]
+    rows, sent = by_halves(pairs, ["s0", "s1", "s2"], [step("a", 12)], 13, 2)
+    assert len(set(rows)) == len(rows) == 3 * 2**12 and sent < 0.25 * sum(len(r[3]) for r in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_all_method_flows_write_no_more_than_the_graph(spark):
     from quillgraph.plans import walking
